@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tidewire.llm.decontamination import op6
 from tidewire.llm.exact_topk import op10
+from tidewire.llm.language_id import op8
 from tidewire.llm.mixing import op3
+from tidewire.llm.quality import op1
 from tidewire.llm.sharding import op9
 from tidewire.llm.token_counts import op5
 
 QUERIES = {
+    "op1_quality": op1,
     "op3_mix_sources": op3,
     "op5_token_counts": op5,
     "op6_decontaminate": op6,
+    "op8_language_id": op8,
     "op9_shards": op9,
     "op10_exact_topk": op10,
 }
