@@ -86,11 +86,13 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_bad: float = 0.002, strength: float = 10.0) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns: (P(good), P(vote | class) as labeller x class x vote, P(good | pattern)).
 
     It starts from the share of good votes, a bad one counting twice; an abstention is a third vote, as some
-    labellers only ever call a text bad. Without rows the prior is one half.
+    labellers only ever call a text bad. A prior of ``strength`` times the data says that a good
+    text seldom (``false_bad``) gets a bad vote from any one labeller; without it the two classes may be
+    spent on telling one kind of bad text from all others. Without rows the prior is one half.
     """
     k = len(LABELLERS)
     votes = (patterns[:, None] // 3 ** np.arange(k)) % 3
@@ -102,6 +104,9 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
         for v in (ABSTAIN, BAD, GOOD):
             table_[:, :, v] = np.stack([(weight[c][:, None] * (votes == v)).sum(axis=0) + 1.0 for c in (0, 1)], axis=1)
         table_ /= table_.sum(axis=2, keepdims=True)
+        bad = (table_[:, 1, BAD] * weight[1].sum() + false_bad * strength * counts.sum()) / (weight[1].sum() + strength * counts.sum())
+        table_[:, 1, [ABSTAIN, GOOD]] *= ((1 - bad) / (1 - table_[:, 1, BAD]))[:, None]
+        table_[:, 1, BAD] = bad
         logs = [np.log(p) + sum(np.log(table_[j, c, votes[:, j]]) for j in range(k)) for c, p in ((0, 1 - prior), (1, prior))]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         if len(new) == 0 or np.abs(new - post).max() < 1e-9:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewire.llm.decontamination import op6
 from tidewire.llm.exact_topk import op10
 from tidewire.llm.language_id import op8
+from tidewire.llm.minhash import op2
 from tidewire.llm.mixing import op3
 from tidewire.llm.quality import op1
 from tidewire.llm.sharding import op9
@@ -12,6 +13,7 @@ from tidewire.llm.token_counts import op5
 
 QUERIES = {
     "op1_quality": op1,
+    "op2_near_duplicates": op2,
     "op3_mix_sources": op3,
     "op5_token_counts": op5,
     "op6_decontaminate": op6,
