@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewire.llm.chaining import op7
 from tidewire.llm.decontamination import op6
 from tidewire.llm.exact_topk import op10
 from tidewire.llm.language_id import op8
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_mix_sources": op3,
     "op5_token_counts": op5,
     "op6_decontaminate": op6,
+    "op7_passages": op7,
     "op8_language_id": op8,
     "op9_shards": op9,
     "op10_exact_topk": op10,
