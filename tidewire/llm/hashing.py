@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BACK = _U(pow(int(_BASE), -1, 1 << 64))
-#: A random 64-bit value for each byte, from a fixed seed.
-_BYTE = np.random.default_rng(1234567).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two independent rolling hashes: odd bases, and a random 64-bit value for each byte, from fixed seeds.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (1234567, 7654321)]
 #: Lower case for A to Z, other bytes unchanged.
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: White space between words: space and the controls 9 to 13.
@@ -29,32 +28,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Powers:
     """base**i and base**-i modulo 2**64, as long as needed."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.base, self.back = _U(base), _U(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
             one = np.ones(n, np.uint64)
-            one[1:] = _BASE
+            one[1:] = self.base
             self.up = np.multiply.accumulate(one)
-            one[1:] = _BACK
+            one[1:] = self.back
             self.down = np.multiply.accumulate(one)
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(b) for b in _BASES]
 
 
 class Rolling:
     """Hash of any byte range of a buffer in constant time, after one pass."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data) + 1
-        up, self.down = _POWERS.get(n)
+        up, self.down = _POWERS[which].get(n)
         self.down = self.down[:n]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data] * up[: n - 1], out=self.sums[1:])
+        np.cumsum(_BYTES[which][data] * up[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the ranges [start, end), their lengths included."""

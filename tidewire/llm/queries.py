@@ -10,12 +10,14 @@ from tidewire.llm.minhash import op2
 from tidewire.llm.mixing import op3
 from tidewire.llm.quality import op1
 from tidewire.llm.sharding import op9
+from tidewire.llm.substring_dedup import op4
 from tidewire.llm.token_counts import op5
 
 QUERIES = {
     "op1_quality": op1,
     "op2_near_duplicates": op2,
     "op3_mix_sources": op3,
+    "op4_substring_dedup": op4,
     "op5_token_counts": op5,
     "op6_decontaminate": op6,
     "op7_passages": op7,
