@@ -53,3 +53,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def collect_garbage(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished steps before the next large one."""
+        self.spark._jvm.System.gc()
