@@ -9,9 +9,11 @@ dictionary and are summed where the text is read; only the rare rest is joined t
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,17 +35,32 @@ def tokenizer_counts(path: str) -> Callable[[], Callable[[list[str]], list[int]]
     """A loader (called once per task) of a function texts -> token counts, for a tokenizers .json file."""
 
     def load():
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        return lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        tok = _tokenizer(path)
+        return lambda texts: [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     return load
 
 
-def _distinct(column: str, flush: int = 200_000):
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The tokenizer of a worker process, loaded once; Spark's tasks are the threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so what a task holds besides the input stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _distinct(column: str, flush: int = 100_000):
     """Distinct pre-tokens of a task with their frequencies; the table is flushed whenever it is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +69,7 @@ def _distinct(column: str, flush: int = 200_000):
         def out():
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in _slices(batches):
             for text in b.column(column):
                 if text := text.as_py():
                     seen.update(pre_tokens(text))
@@ -67,9 +84,8 @@ def _distinct(column: str, flush: int = 200_000):
 def _pieces(load):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = load()
-        for b in batches:
-            words = b.column(0).to_pylist()
-            n = [k for i in range(0, len(words), 4000) for k in count(words[i : i + 4000])]
+        for b in _slices(batches, 2000):
+            n = count(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(1)], names=["word", "pieces", "n"])
 
     return run
@@ -80,7 +96,7 @@ def _per_document(common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
-        for b in batches:
+        for b in _slices(batches):
             size, hot, at, words, counts = [], [], [0], [], []
             for text in b.column("text"):
                 text = text.as_py() or ""
@@ -104,7 +120,7 @@ def _per_document(common):
     return run
 
 
-def count_tokens(df: DataFrame, load, *, row_id: str = "doc_id", text: str = "text", max_common: int = 100_000) -> DataFrame:
+def count_tokens(df: DataFrame, load, *, row_id: str = "doc_id", text: str = "text", max_common: int = 200_000) -> DataFrame:
     """``(row_id, n_bytes, n_tokens)``, one row per row of ``df``, in no order.
 
     ``load``: see ``tokenizer_counts``. ``max_common`` bounds the dictionary sent to the tasks. A null or
