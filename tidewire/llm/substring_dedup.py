@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.hashing import Rolling, chunks, mix, sliding_min
 from tidewire.storage import Scratch, table
 
-_SEGMENT = 1 << 25
+_SEGMENT = 1 << 21
 _RUNS = "a long, run long, owner long, at long"
 
 
@@ -61,7 +61,7 @@ def _runs(column: str, length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in chunks(b, column):
+            for part, data, off in chunks(b, column, 1_000_000):
                 owner = part.column("owner").to_numpy()
                 base = part.column("base").to_numpy()
                 if len(data) <= _SEGMENT:
