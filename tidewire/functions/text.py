@@ -11,12 +11,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from tidewire.functions import rules
 
-_S = F.lit("")
-
-
 def body(title: Column, summary: Column) -> Column:
     """Title and summary as one text; nulls are empty."""
-    return F.concat_ws(" ", F.coalesce(title, _S), F.coalesce(summary, _S))
+    return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
@@ -69,7 +66,7 @@ def tidy_summary(s: Column, n: int = 220) -> Column:
     out = F.regexp_replace(squeeze(s), r"(?is)\s*The post\b.*?appeared first on.*$", "")
     out = F.regexp_replace(out, r"(?is)\s*(?:Continue reading|Read more)\b.*$", "")
     out = F.trim(F.regexp_replace(out, r"\s*\[(?:…|\.\.\.)\]\s*$", ""))
-    return F.when(s.rlike(rules.NO_REUSE), _S).otherwise(clamp(out, n))
+    return F.when(s.rlike(rules.NO_REUSE), F.lit("")).otherwise(clamp(out, n))
 
 
 def split_publisher(title: Column, source: Column, search_feed: Column) -> tuple[Column, Column]:
@@ -87,7 +84,7 @@ def drop_echo(summary: Column, title: Column) -> Column:
     norm = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
     s, t = norm(summary), norm(title)
     echo = (F.length(t) > 0) & s.startswith(F.substring(t, 1, 24)) & (F.length(s) <= F.length(t) + 40)
-    return F.when(echo, _S).otherwise(summary)
+    return F.when(echo, F.lit("")).otherwise(summary)
 
 
 def title_key(title: Column) -> Column:
@@ -160,12 +157,12 @@ def subject_of(label: Column) -> Column:
 def sectors_of(summary: Column) -> Column:
     """Slugs of the sectors named directly or inside an enumeration that ends in an insurance noun."""
     table = [(slug, f"(?i){p}" + (f"|(?:{head}){rules.LIST_TAIL}" if head else "")) for slug, _, p, head, _ in rules.SECTORS]
-    return labels(F.coalesce(summary, _S), table, fallback=None)
+    return labels(F.coalesce(summary, F.lit("")), table, fallback=None)
 
 
 def terms_of(title: Column) -> Column:
     """Slugs of the glossary terms in a headline."""
-    return labels(F.coalesce(title, _S), [(slug, p) for slug, p, _ in rules.TERMS], fallback=None)
+    return labels(F.coalesce(title, F.lit("")), [(slug, p) for slug, p, _ in rules.TERMS], fallback=None)
 
 
 # ---- gates ----
@@ -210,7 +207,7 @@ def deal_noise(text: Column) -> Column:
 def stake_percent(text: Column) -> Column:
     """Percentage attached to a stake, null where none is."""
     one, two = F.regexp_extract(text, rules.STAKE_PCT, 1), F.regexp_extract(text, rules.STAKE_PCT, 2)
-    return F.coalesce(F.nullif(one, _S), F.nullif(two, _S)).cast("double")
+    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit(""))).cast("double")
 
 
 def minority_deal(text: Column) -> Column:
@@ -221,7 +218,7 @@ def minority_deal(text: Column) -> Column:
 
 def named_party(name: Column) -> Column:
     """A name and not a description: a capital, or a single word."""
-    n = F.trim(F.coalesce(name, _S))
+    n = F.trim(F.coalesce(name, F.lit("")))
     return (n != "") & (n.rlike("[A-Z]") | ~n.rlike(r"\s"))
 
 
@@ -250,7 +247,7 @@ def distinctive_words(title: Column) -> Column:
 
 def party_form(name: Column) -> Column:
     """Comparable form of a party's name."""
-    plain = F.regexp_replace(F.lower(F.coalesce(name, _S)), r"[^a-z0-9 ]+", " ")
+    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9 ]+", " ")
     return squeeze(F.regexp_replace(plain, rules.PARTY_NOISE, " "))
 
 
@@ -261,7 +258,7 @@ def target_words(name: Column) -> Column:
 
 def party_set(name: Column) -> Column:
     """The parties of a consortium in comparable form, sorted."""
-    parts = F.transform(F.split(F.coalesce(name, _S), r"(?i)\s*(?:,|;|\band\b|&|\+)\s*"), party_form)
+    parts = F.transform(F.split(F.coalesce(name, F.lit("")), r"(?i)\s*(?:,|;|\band\b|&|\+)\s*"), party_form)
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 4)))
 
 
@@ -410,7 +407,7 @@ def deal_pair(title: Column) -> Column:
 
     reads = []
     for p, acquirer, target, seller in rules.DEAL_PAIRS:
-        s = _clean_name(F.regexp_extract(title, p, seller), False) if seller else _S
+        s = _clean_name(F.regexp_extract(title, p, seller), False) if seller else F.lit("")
         read = F.struct(clean_acquirer(F.regexp_extract(title, p, acquirer)).alias("acquirer"), clean_target(F.regexp_extract(title, p, target)).alias("target"), s.alias("seller"))
         reads.append(F.when(title.rlike(p), _let(read, valid)))
     return F.coalesce(*reads)
@@ -421,7 +418,7 @@ def deal_pair(title: Column) -> Column:
 
 def country_of(place: Column) -> Column:
     """The country a place ends in, canonical; null where it names none."""
-    tail = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(place, _S), r"(?s)^.*,", "")), r"\.$", "")
+    tail = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(place, F.lit("")), r"(?s)^.*,", "")), r"\.$", "")
     alias = {a: c for c, names in rules.COUNTRY_ALIASES.items() for a in names} | {s.lower(): "United States" for s in rules.US_STATES}
     known = F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])[F.lower(tail)]
     return F.when((F.length(tail) >= 2) & ~F.lower(tail).isin(rules.NO_COUNTRY), F.coalesce(known, tail))
@@ -429,7 +426,7 @@ def country_of(place: Column) -> Column:
 
 def city_of(place: Column) -> Column:
     """What stands before the last comma; empty without one."""
-    return F.when(F.contains(place, F.lit(",")), F.trim(F.regexp_replace(place, r",[^,]*$", ""))).otherwise(_S)
+    return F.when(F.contains(place, F.lit(",")), F.trim(F.regexp_replace(place, r",[^,]*$", ""))).otherwise(F.lit(""))
 
 
 def with_article(country: Column) -> Column:

@@ -82,7 +82,7 @@ def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float =
 
 
 def threads(articles: DataFrame, order: list[Column], row_id: str = "link", title: str = "title") -> DataFrame:
-    """``(row_id, thread)``: headlines about one event, by greedy leaders in ``order``.
+    """``(row_id, thread)``: headlines about one event, by greedy leaders in ascending ``order`` of values.
 
     Rows with the same content words match the same rows, and each other if they have two; so one row stands
     for each set of words and the rest follow it, however many copies a headline has.

@@ -334,7 +334,7 @@ def similar_headlines(spark, d):
 
 @query()
 def threads(spark, d):
-    return dedupe.threads(views.articles(spark, d), [F.col("published_at").desc()])
+    return dedupe.threads(views.articles(spark, d), [-F.unix_micros("published_at")])
 
 
 @query(
@@ -477,10 +477,10 @@ def prefix_merge(spark, d):
     return entities.prefix_merges(s.select(F.col("root").alias("slug")).union(more))
 
 
-@query("SELECT concat('fund-', l_suppkey) AS slug FROM lineitem GROUP BY l_suppkey HAVING bool_and(l_linenumber % 7 <> 0)")
+@query("SELECT concat('fund-', l_suppkey) AS slug FROM lineitem GROUP BY l_suppkey HAVING bool_and(NOT (l_linenumber % 7 = 0 AND l_suppkey % 3 = 0))")
 def investor_demotion(spark, d):
     name = F.concat(F.lit("Fund "), "l_suppkey")
-    title = F.when(F.col("l_linenumber") % 7 == 0, F.concat(name, F.lit(" launches a product"))).otherwise(F.concat(F.lit("Acme raises $5M led by "), name))
+    title = F.when((F.col("l_linenumber") % 7 == 0) & (F.col("l_suppkey") % 3 == 0), F.concat(name, F.lit(" launches a product"))).otherwise(F.concat(F.lit("Acme raises $5M led by "), name))
     return entities.investors(table(spark, d, "lineitem").select(text.company_slug(name).alias("slug"), name.alias("name"), title.alias("title")))
 
 
