@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tidewire.functions import rules, text
 from tidewire.operators.rollups import co_occurrence, top_per_group
@@ -77,7 +77,7 @@ def canonical(mentions: DataFrame, aliases: DataFrame, splits: DataFrame | None
     return out.withColumn("slug", text.company_slug(F.col("name")))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def investor_positions(title: pd.Series) -> pd.Series:
     """Where an investor's name would begin; after "from" and "with" only behind a money figure on a raise."""
     lead, money, raise_ = re.compile(rules.INVESTOR_LEAD), re.compile(rules.MONEY_HINT), re.compile(rules.TAGS[0][1])
