@@ -420,7 +420,8 @@ def country_of(place: Column) -> Column:
     """The country a place ends in, canonical; null where it names none."""
     tail = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(place, F.lit("")), r"(?s)^.*,", "")), r"\.$", "")
     alias = {a: c for c, names in rules.COUNTRY_ALIASES.items() for a in names} | {s.lower(): "United States" for s in rules.US_STATES}
-    known = F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])[F.lower(tail)]
+    table = F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])
+    known = F.coalesce(table[F.lower(tail)], table[F.concat(F.lower(tail), F.lit("."))])
     return F.when((F.length(tail) >= 2) & ~F.lower(tail).isin(rules.NO_COUNTRY), F.coalesce(known, tail))
 
 

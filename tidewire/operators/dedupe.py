@@ -51,16 +51,17 @@ def _replay(state: DataFrame, earlier: DataFrame, ord_: DataFrame) -> DataFrame:
     open_ = state.where("leader is null").select("id")
     within = earlier.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
     part = connected_components(within.select("a", "b"))
-    rows = open_.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(ord_, "id").join(within.groupBy("a").agg(F.collect_list("b").alias("before")).withColumnRenamed("a", "id"), "id", "left")
+    led = earlier.join(state.where("leader").select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct().withColumn("led", F.lit(True))
+    rows = open_.join(led, "id", "left").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(ord_, "id").join(within.groupBy("a").agg(F.collect_list("b").alias("before")).withColumnRenamed("a", "id"), "id", "left")
 
     def replay(g):
         heads: set = set()
-        for i, before in g.sort_values("ord")[["id", "before"]].itertuples(index=False):
-            if before is None or not any(x in heads for x in before):
+        for i, before, led in g.sort_values("ord")[["id", "before", "led"]].itertuples(index=False):
+            if not led and (before is None or not any(x in heads for x in before)):
                 heads.add(i)
         return g[["id"]].assign(leader=g["id"].isin(heads))
 
-    done = rows.select("component", "id", "ord", "before").groupBy("component").applyInPandas(replay, f"id {state.schema['id'].dataType.simpleString()}, leader boolean")
+    done = rows.select("component", "id", "ord", "before", F.coalesce("led", F.lit(False)).alias("led")).groupBy("component").applyInPandas(replay, f"id {state.schema['id'].dataType.simpleString()}, leader boolean")
     return state.where("leader is not null").union(done)
 
 

@@ -172,9 +172,7 @@ def link_spans(paragraphs: DataFrame, terms: DataFrame, per_paragraph: int = 2,
 
         hits = []
         for para, body, term, target in page[["para", "body", "term", "target"]].itertuples(index=False):
-            m = re.search(rf"(?i)(?<!\w){re.escape(term)}(?!\w)", body)
-            if m:
-                hits.append((para, m.start(), -m.end(), target))
+            hits += [(para, m.start(), -m.end(), target) for m in re.finditer(rf"(?i)(?<!\w){re.escape(term)}(?!\w)", body)]
         out, used, free, counts = [], set(), {}, {}
         for para, start, end, target in sorted(hits):
             if target not in used and start >= free.get(para, 0) and counts.get(para, 0) < per_paragraph and len(out) < per_page:
