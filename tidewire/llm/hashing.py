@@ -112,7 +112,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
     out = np.zeros(len(words), np.uint64)
     for j in range(k):
         w = np.zeros(len(words), np.uint64)
-        w[: len(words) - j] = words[j:]
+        w[: max(0, len(words) - j)] = words[j:]
         ok = place + j < size
         out = np.where(ok, mix(out + w), out)
     keep = (place + k <= size) | (place == 0)
