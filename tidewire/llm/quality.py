@@ -190,7 +190,7 @@ def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
 
     share = min(1.0, sample_rows / max(1, int(counts.sum())))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sums = sample.repartition(8, F.xxhash64("text")).mapInArrow(_train(spark.sparkContext.broadcast(soft)), "label int, sums binary").collect()
+    sums = sample.repartition(8, F.xxhash64("id", "text")).mapInArrow(_train(spark.sparkContext.broadcast(soft)), "label int, sums binary").collect()
     total = np.stack([sum((np.frombuffer(r["sums"]) for r in sums if r["label"] == c), np.zeros(BUCKETS)) for c in (0, 1)])
     total += 0.01 * total.sum() / total.size + 1e-9
     weights = np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())

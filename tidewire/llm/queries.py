@@ -27,6 +27,31 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_substring_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, i, md5(b[i + 1 : i + 200]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+        r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+        s AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM w JOIN r USING (h)),
+        p AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM s GROUP BY doc_id, g),
+        q AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM p),
+        m AS (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM q) GROUP BY doc_id, run),
+        k AS (SELECT doc_id, coalesce(lag(hi) OVER v, 0) AS a, lo AS z FROM m WINDOW v AS (PARTITION BY doc_id ORDER BY lo) UNION ALL SELECT doc_id, max(hi), 1000000000 FROM m GROUP BY doc_id),
+        t AS (SELECT doc_id, string_agg(hex(b[a + 1 : least(z, octet_length(b))]), '' ORDER BY a) AS x FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+        n AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM m GROUP BY doc_id)
+        SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n.doc_id IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+    "op6_decontaminate": """
+        WITH lower_ AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, k, array_to_string(w[i + 1 : i + k], ' ') AS h FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+        spots AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS h FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM lower_, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+        hit AS (SELECT doc_id, item, i, spots.k FROM spots JOIN win ON spots.k = win.k AND spots.h = win.h),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM lower_ LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
     "op10_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
