@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    at = scratch.put(ends.distinct())
+    at = scratch.put(ends.distinct(), narrow=True)
 
     def mark(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     was = mark(at)
     for _ in range(max_rounds):
         both = at.union(at.select(F.col("v"), F.col("u")))
-        low = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = scratch.put(both.hint("merge").join(low.hint("merge"), "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low2 = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), narrow=True)
+        large = scratch.put(both.hint("merge").join(low.hint("merge"), "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")), narrow=True)
+        low2 = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), narrow=True)
         small = large.hint("merge").join(low2.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.put(small.union(low2.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        new = scratch.put(small.union(low2.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), narrow=True)
         scratch.drop(at, low, large, low2)
         at, now = new, mark(new)
         if now == was:

@@ -50,8 +50,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the table read back."""
+    def put(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+        """Write ``df`` and return the table read back.
+
+        ``narrow`` is for tables of keys and links: at most four files for each of the cluster's task slots, as
+        many small files would cost more than their rows.
+        """
+        if narrow:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
