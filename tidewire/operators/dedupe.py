@@ -107,9 +107,11 @@ def same_raise_pairs(rounds: DataFrame, days: float = 45.0, least_shared: int =
 
 def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame:
     """Reports of one company's round: amounts within a factor of two, close in time; undated ones never match."""
-    side = lambda x: rounds.where(F.col("slug").isNotNull()).select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("amount_m").alias(f"m{x}"), "slug")
+    day = F.floor(F.unix_micros("published_at") / (days * 86400e6))  # near rounds lie in the same or the next span
+    side = lambda x, spans: rounds.where(F.col("slug").isNotNull()).select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("amount_m").alias(f"m{x}"), "slug", spans.alias("span"))
     apart = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) / 86400e6
-    return side("a").join(side("b"), "slug").where((F.col("a") < F.col("b")) & text.same_round(F.col("ma"), F.col("mb")) & (apart <= days)).select("a", "b")
+    pair = side("a", day).join(side("b", F.explode(F.array(day - 1, day, day + 1))), ["slug", "span"])
+    return pair.where((F.col("a") < F.col("b")) & text.same_round(F.col("ma"), F.col("mb")) & (apart <= days)).select("a", "b")
 
 
 def same_deal_pairs(deals: DataFrame, days: float = 180.0) -> DataFrame:

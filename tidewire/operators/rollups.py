@@ -198,3 +198,26 @@ def resolve_rounds(reports: DataFrame, cluster: str = "cluster") -> DataFrame:
     newest = lambda c: F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("published_at", "link", c)))[c].alias(c)
     out = counted.groupBy(cluster).agg(F.min(best).alias("r"), F.collect_set("source").alias("outlets"), F.count(F.lit(1)).alias("reports"), newest("stage"), newest("lead"))
     return out.select(cluster, "r.link", "r.amount_m", "r.source", F.col("r.at").alias("published_at"), "stage", "lead", "reports", F.array_sort(F.array_except("outlets", F.array("r.source"))).alias("also_reported_by"))
+
+
+def index_summary(mentions: DataFrame, accepted: DataFrame, demoted: DataFrame) -> DataFrame:
+    """Stories by the way their names were read, names rejected and companies demoted, in long form."""
+    by = mentions.groupBy(F.concat(F.lit("by:"), F.col("by")).alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    rejected = mentions.join(accepted.select("link"), "link", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("measure"), "n")
+    return by.unionByName(rejected).unionByName(demoted.agg(F.count(F.lit(1)).alias("n")).select(F.lit("demoted").alias("measure"), "n"))
+
+
+def index_totals(groups: DataFrame) -> DataFrame:
+    """Memberships, stories and capital added up over groups; what is in several counts in each."""
+    return groups.agg(F.sum("companies").alias("memberships"), F.sum("stories").alias("stories"), F.sum("rounds").alias("rounds"), total(F.col("total_m")).alias("total_m"))
+
+
+def siblings(terms: DataFrame, n: int = 6) -> DataFrame:
+    """Other terms of the same label in list order: ``terms(ord, slug, label)``.
+
+    Only the first ``n + 1`` of a label can be among anyone's first ``n`` others, so a label is never paired in full.
+    """
+    first = top_per_group(terms, ["label"], [F.col("ord"), F.col("slug")], n + 1)
+    other = first.select(F.col("slug").alias("other"), F.col("ord").alias("o"), "label")
+    pairs = terms.select("slug", "label").join(other, "label").where("slug <> other")
+    return top_per_group(pairs, ["slug"], [F.col("o"), F.col("other")], n).select("slug", "other", "rank")

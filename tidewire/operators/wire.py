@@ -106,3 +106,50 @@ def prominent_labels(articles: DataFrame, least: int = 3, share: float = 0.08) -
     n = articles.agg(F.count(F.lit(1)).alias("all"))
     counts = articles.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(n), F.col("n") >= F.greatest(F.lit(float(least)), F.col("all") * share)).select("tag", "n").orderBy(F.col("n").desc(), "tag")
+
+
+def number_threads(articles: DataFrame, thread: str = "thread", pos: str = "pos") -> DataFrame:
+    """``thread_no``: threads numbered from 1 by the place of their first story."""
+    first = articles.groupBy(thread).agg(F.min(pos).alias("__first"))
+    numbered = first.withColumn("thread_no", F.dense_rank().over(Window.orderBy("__first", thread))).drop("__first")
+    return articles.join(numbered, thread)
+
+
+def pin_lead(heads: DataFrame, lead: DataFrame, members: DataFrame) -> DataFrame:
+    """The lead stands for its thread, whatever head the thread had: ``heads(thread, head)``, ``members(thread, link)``."""
+    pinned = members.join(lead.select("link"), "link", "left_semi").select("thread", F.col("link").alias("__lead"))
+    return heads.join(F.broadcast(pinned), "thread", "left").withColumn("head", F.coalesce("__lead", "head")).drop("__lead")
+
+
+def best_per_thread(articles: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """One story per thread, the best by ``order``, and of these the first ``n``."""
+    one = articles.withColumn("__r", F.row_number().over(Window.partitionBy("thread").orderBy(*order))).where("__r = 1").drop("__r")
+    return one.orderBy(*order).limit(n)
+
+
+def label_counts(articles: DataFrame) -> DataFrame:
+    """Stories of each label that occurs, in chip order."""
+    chips = [n for n, _ in rules.TAGS] + [rules.FALLBACK_TAG]
+    place = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in chips]), F.col("tag")), F.lit(len(chips) + 1))
+    return articles.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).withColumn("ord", F.when(place == 0, len(chips) + 1).otherwise(place)).orderBy("ord", "tag")
+
+
+def sources(articles: DataFrame) -> DataFrame:
+    """The outlets of a batch, sorted."""
+    return articles.select("source").distinct().orderBy("source")
+
+
+def write_payload(articles: DataFrame, path: str, as_of: Column) -> None:
+    """The wire as tables: articles, outlets, label counts and one row about the batch."""
+    articles.write.mode("overwrite").parquet(f"{path}/articles")
+    sources(articles).write.mode("overwrite").parquet(f"{path}/sources")
+    label_counts(articles).write.mode("overwrite").parquet(f"{path}/labels")
+    articles.agg(F.count(F.lit(1)).alias("count")).withColumn("updated_at", as_of).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def brief_inputs(articles: DataFrame, rounds: DataFrame, least_m: float = 5.0, least_rounds: int = 2) -> DataFrame:
+    """What a brief is written from, in long form: prominent labels, disclosed funding, the most covered story."""
+    labels_ = prominent_labels(articles).select(F.lit("label").alias("kind"), F.col("tag").alias("name"), F.col("n").cast("double").alias("value"))
+    money = rounds.where(F.col("amount_m") >= least_m).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("amount_m").cast("decimal(18,6)")).cast("double").alias("v")).where(F.col("k") >= least_rounds)
+    most = fold_threads(articles).orderBy(F.col("outlets").desc(), F.col("score").desc(), "pos").limit(1)
+    return labels_.unionByName(money.select(F.lit("funding").alias("kind"), F.col("k").cast("string").alias("name"), F.col("v").alias("value"))).unionByName(most.select(F.lit("story").alias("kind"), F.col("title").alias("name"), F.col("outlets").cast("double").alias("value")))

@@ -555,3 +555,42 @@ def reply_json(spark, d):
     raw = F.concat(F.lit("Here it is: ```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n``` done"))
     m = F.from_json(text.json_slice(raw), "map<string,string>")
     return table(spark, d, "events").select("event_id", F.element_at(F.map_values(m), 1).alias("first_value"))
+
+
+@query(_SCORED + ", f AS (SELECT thread, min(pos) AS p FROM s GROUP BY thread), k AS (SELECT thread, row_number() OVER (ORDER BY p, thread) AS thread_no FROM f) SELECT link, CAST(thread_no AS INTEGER) AS thread_no FROM s JOIN k USING (thread)")
+def thread_numbers(spark, d):
+    return wire.number_threads(_scored(spark, d)).select("link", "thread_no")
+
+
+@query(_SCORED + ", o AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY score DESC, pos) AS r FROM s) SELECT thread, link FROM o WHERE r = 1 ORDER BY score DESC, pos LIMIT 14")
+def best_per_thread(spark, d):
+    return wire.best_per_thread(_scored(spark, d), [F.col("score").desc(), F.col("pos")], 14).select("thread", "link")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'Cyber' WHEN 'view' THEN 'Funding' ELSE event_type END AS tag FROM events) GROUP BY tag")
+def tag_counts(spark, d):
+    tag = F.when(F.col("event_type") == "click", "Cyber").when(F.col("event_type") == "view", "Funding").otherwise(F.col("event_type"))
+    return wire.label_counts(table(spark, d, "events").select(F.array(tag).alias("tags"))).select("tag", "n")
+
+
+@query(with_views("rounds", "companies", "stories") + _GROUP.format(g="market").replace("SELECT market, companies, coalesce(stories, 0) AS stories, rounds, total_m, largest_m FROM mo", ", z AS (SELECT market, companies, coalesce(stories, 0) AS stories, rounds, total_m, largest_m FROM mo") + ") SELECT CAST(sum(companies) AS BIGINT) AS memberships, CAST(sum(stories) AS BIGINT) AS stories, CAST(sum(rounds) AS BIGINT) AS rounds, CAST(sum(CAST(total_m AS DECIMAL(18,6))) AS DOUBLE) AS total_m FROM z")
+def index_totals(spark, d):
+    return rollups.index_totals(market_rollup(spark, d))
+
+
+@query("SELECT a.p_partkey AS slug, b.p_partkey AS other, r AS rank FROM part a JOIN (SELECT x.p_partkey AS s, y.p_partkey, CAST(row_number() OVER (PARTITION BY x.p_partkey ORDER BY y.p_partkey) AS INTEGER) AS r FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey WHERE x.p_partkey <= 200 AND y.p_partkey <= 200) b ON a.p_partkey = b.s WHERE r <= 6".replace(" WHERE x.p_partkey <= 200 AND y.p_partkey <= 200", ""))
+def sibling_terms(spark, d):
+    p = table(spark, d, "part")
+    return rollups.siblings(p.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("slug"), F.col("p_brand").alias("label")))
+
+
+@query("WITH t AS (SELECT event_id, epoch(TIMESTAMP '2024-01-31') - epoch(ts) AS s, ts FROM events) SELECT event_id, CASE WHEN s < 90 THEN 'just now' WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ago') WHEN s < 86400 THEN concat(CAST(floor(s / 3600) AS BIGINT), 'h ago') WHEN s < 604800 THEN concat(CAST(floor(s / 86400) AS BIGINT), 'd ago') ELSE strftime(ts, '%b %-d') END AS ago FROM (SELECT event_id, ts, epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) AS s FROM events)")
+def relative_times(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", dates.time_ago(ts, F.lit("2024-01-31").cast("timestamp")).alias("ago"))
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d') AS day, isodow(ts - INTERVAL 6 HOUR) <= 5 AS mailable FROM events")
+def local_days(spark, d):
+    day = dates.local_date(F.col("ts").cast("timestamp")).cast("string")
+    return table(spark, d, "events").select("event_id", day.alias("day"), dates.mailable(day).alias("mailable"))
