@@ -84,10 +84,12 @@ def brief_window(articles: DataFrame, previous: Column, as_of: Column, least: in
     """
     floor_ = as_of - F.make_interval(days=F.lit(days))
     since = F.greatest(F.coalesce(previous, floor_), floor_)
-    at = articles.withColumn("fresh", F.col("landed_at") > since).withColumn("n", F.count_if("fresh").over(Window.partitionBy())).withColumn("rn", F.row_number().over(Window.orderBy(F.col("landed_at").desc(), "link")))
-    reason = F.when(previous.isNull(), "no previous brief").when(previous < floor_, "previous brief too old").when(F.col("n") < least, "too few stories").otherwise("since previous brief")
-    at = at.withColumn("reason", reason)
-    return at.where(F.when(F.col("reason") == "since previous brief", F.col("fresh")).otherwise(F.col("rn") <= widen)).drop("fresh", "n", "rn")
+    fresh = F.col("landed_at") > since
+    count = articles.agg(F.count_if(fresh).alias("__n"))
+    newest = articles.orderBy(F.col("landed_at").desc(), "link").limit(widen).select("link", F.lit(True).alias("__new"))
+    reason = F.when(previous.isNull(), "no previous brief").when(previous < floor_, "previous brief too old").when(F.col("__n") < least, "too few stories").otherwise("since previous brief")
+    at = articles.join(F.broadcast(newest), "link", "left").join(F.broadcast(count), F.lit(True)).withColumn("reason", reason)
+    return at.where(F.when(F.col("reason") == "since previous brief", fresh).otherwise(F.coalesce("__new", F.lit(False)))).drop("__n", "__new")
 
 
 def previous_brief(briefs: DataFrame, day: str, n: int = 1) -> DataFrame:
@@ -109,7 +111,7 @@ def prominent_labels(articles: DataFrame, least: int = 3, share: float = 0.08) -
 
 
 def number_threads(articles: DataFrame, thread: str = "thread", pos: str = "pos") -> DataFrame:
-    """``thread_no``: threads numbered from 1 by the place of their first story."""
+    """``thread_no``: threads of one batch of the wire numbered from 1 by the place of their first story."""
     first = articles.groupBy(thread).agg(F.min(pos).alias("__first"))
     numbered = first.withColumn("thread_no", F.dense_rank().over(Window.orderBy("__first", thread))).drop("__first")
     return articles.join(numbered, thread)
