@@ -77,7 +77,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[: n - w + 1], pre[w - 1 : n])
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``limit`` text bytes each: (slice, bytes, offsets); null is empty."""
     texts = batch.column(column)
     texts = (texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts).fill_null(b"")
