@@ -10,17 +10,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if nothing else ships it."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if nothing else ships it; and give
+    them smaller Arrow batches where the session has Spark's default."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    # whole texts are long rows: Spark's default of 10,000 a batch would hold tens of megabytes in each worker
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -45,7 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        importable(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
