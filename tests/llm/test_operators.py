@@ -282,6 +282,25 @@ def test_near_duplicates_of_repeated_rows_and_none(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "options"), [(5, {}), (12, {}), (12, {"block": 2000})])
+def test_near_duplicates_reach_texts_through_linked_ones(spark, copies, options):
+    """A text like a copy of the central text, but not like the central text, is in the class."""
+    rng, texts = random.Random(8), []
+
+    def edited(w, at):
+        return [f"new{rng.randrange(10**9)}" if i in at else x for i, x in enumerate(w)]
+
+    for _ in range(8):
+        base = prose(rng, 300, 10**6).split()
+        near = edited(base, {299})
+        texts += [base, near, edited(near, {1, 140, 165, 190, 215, 240, 265})]
+        texts += [edited(base, {5 + 20 * c}) for c in range(copies)]
+    assert not jp(bag(" ".join(texts[0])), bag(" ".join(texts[2]))) >= 0.8 <= jp(bag(" ".join(texts[1])), bag(" ".join(texts[2])))
+    texts = [" ".join(w) for w in texts]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts), **options).collect()}
+    assert got == {i: i - i % (3 + copies) for i in got}
+
+
 # ---- substrings ----
 
 

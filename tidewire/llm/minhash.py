@@ -5,13 +5,15 @@ whose rate is its weight: its arrivals (exponential gaps, seeded by the shingle)
 a register keeps the earliest arrival, and a shingle stops when its next arrival is later than every
 register's. Two texts agree in a register with the probability of their probability Jaccard similarity.
 Registers are banded. Texts of a band are compared with its most central text, those that are not connected
-with it with the next one, and so on until a round finds no link; small bands are then compared in full. So a
-dense group costs its size and not its square. Every link is verified on the exact similarity.
+with it with the next one, and so on until a round finds no link. Then every band that still holds different
+classes is compared in full, its connected texts too: small ones pair by pair, others block by block, where an
+upper bound of the similarity of all pairs is one matrix product. Every link is verified on the exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,76 @@ def _verify(least: float):
     return run
 
 
+def _across(least: float):
+    """Links between the texts ``(node, comp, h, w)`` of one group that are in different components.
+
+    With P and Q the shares of two texts' weight on what they have in common, 1 / (1 / P + 1 / Q - 1) is at least
+    their similarity, and equal to it where all weights are one. Pairs that reach it are compared exactly.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        n, comp, node = group.num_rows, group.column("comp").to_numpy(), group.column("node").to_numpy()
+        hs, ws = ([x.values.to_numpy() for x in group.column(c)] for c in ("h", "w"))
+        size = np.array([len(x) for x in hs])
+        text = np.repeat(np.arange(n), size)
+        share = np.concatenate([w / w.sum() for w in ws])
+        _, col, held = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        common = np.zeros((n, n))  # share of the row's text that the column's text has too
+        # shingles of many texts as dense columns
+        many = np.cumsum(held > 32) - 1
+        dense = np.flatnonzero(held[col] > 32)
+        at = many[col[dense]]
+        dense = dense[np.argsort(at, kind="stable")]
+        at = np.sort(at)
+        for c in range(0, int(at[-1]) + 1 if len(at) else 0, 1024):
+            part = slice(*np.searchsorted(at, (c, c + 1024)))
+            x = np.zeros((n, 1024), np.float32)
+            x[text[dense[part]], at[part] - c] = share[dense[part]]
+            common += x @ (x > 0).astype(np.float32).T
+        # shingles of few texts pair by pair
+        few = np.flatnonzero((held[col] > 1) & (held[col] <= 32))
+        few = few[np.argsort(col[few], kind="stable")]
+        for step in range(1, 32):
+            i, j = few[:-step], few[step:]
+            same = col[i] == col[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            np.add.at(common, (text[i], text[j]), share[i])
+            np.add.at(common, (text[j], text[i]), share[j])
+        with np.errstate(divide="ignore"):
+            bound = 1 / (1 / common + 1 / common.T - 1)
+        x, y = np.nonzero(np.triu((bound >= least - 1e-3) & (comp[:, None] != comp[None, :]), 1))
+        sims = np.array([similarity(hs[i], ws[i], hs[j], ws[j]) for i, j in zip(x, y, strict=True)])
+        ok = sims >= least if len(sims) else np.zeros(0, bool)
+        a, b = node[x[ok]], node[y[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sims[ok] if len(sims) else np.zeros(0)})
+
+    return run
+
+
+def _blocks(member: DataFrame, limit: int, floor: int = 256) -> DataFrame:
+    """``(unit, node, comp)``: each unit holds two blocks of a band, and every two texts of a band that are in
+    different components meet in one.
+
+    ``member``: rows ``(band, node, comp, n)``. A block has about ``limit`` shingles (a text counts for at
+    least ``floor``). Components of more are cut into blocks of their own, not compared with one another.
+    """
+    weight = F.sum(F.greatest("n", F.lit(floor)))
+    parts = member.groupBy("band", "comp").agg(weight.alias("t")).withColumn("own", F.when(F.col("t") > limit, F.col("comp")))
+    cuts = parts.groupBy("band", "own").agg(F.ceil(F.sum("t") / limit).alias("cuts"))
+    blocks = cuts.select("band", "own", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1)).alias("i"))
+    a, b = blocks.select("band", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "i").alias("x")), blocks.select("band", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "i").alias("y"))
+    units = a.hint("merge").join(b.hint("merge"), "band").where("x <= y and (x.own <> y.own or x.own = -1)")
+    units = units.withColumn("unit", F.struct("band", "x", "y"))
+    sides = units.select("band", F.col("x").alias("block"), "unit").union(units.where("x <> y").select("band", F.col("y").alias("block"), "unit"))
+    placed = member.hint("merge").join(parts.select("band", "comp", "own").hint("merge"), ["band", "comp"])
+    placed = placed.withColumn("of", F.coalesce("own", F.lit(-1))).hint("merge").join(cuts.select("band", F.coalesce("own", F.lit(-1)).alias("of"), "cuts").hint("merge"), ["band", "of"])
+    placed = placed.select("band", F.struct(F.col("of").alias("own"), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("i")).alias("block"), "node", "comp")
+    return placed.hint("merge").join(sides.hint("merge"), ["band", "block"]).select("unit", "node", "comp")
+
+
 def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The pairs ``(lead, node)`` that are not in one component yet."""
     if parts is None:
@@ -149,7 +221,7 @@ def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return both.where(F.coalesce("__a", "lead") != F.coalesce("__b", "node")).drop("__a", "__b")
 
 
-def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, small_band: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, small_band: int = 8, block: int = 1 << 18) -> DataFrame:
     """``(row_id, text_hash, class_id, links, class_size, first)``, one row per row of ``df``.
 
     Texts with equal word sequences, and chains of texts at least ``least`` similar, are one class; its id is
@@ -172,12 +244,14 @@ def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text"
     # a text is the more central the more texts its bands hold: the original of a group of edited copies
     central = scratch.put(member.groupBy("node").agg(F.sum("size").alias("score")), narrow=True)
     member = scratch.put(member.hint("merge").join(central.hint("merge"), "node").select("band", "node", "score"), narrow=True)
+    full = scratch.put(member.select("band", "node").distinct(), narrow=True)
 
     # shingles of the texts that share a band with any other
     asked = scratch.put(member.select("node").distinct().hint("merge").join(nodes.select("node", "id", "k1", "k2").hint("merge"), "node"), narrow=True)
     near = docs.hint("merge").join(asked.select("id").distinct().hint("merge"), "id", "left_semi")
     content = near.select("text").mapInArrow(_content(shingle), "k1 long, k2 long, h array<long>, w array<int>").dropDuplicates(["k1", "k2"])
     content = scratch.put(content.hint("merge").join(asked.select("node", "k1", "k2").hint("merge"), ["k1", "k2"]).select("node", "h", "w"))
+    lengths = scratch.put(content.select("node", F.size("h").alias("n")), narrow=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that are similar enough."""
@@ -188,14 +262,15 @@ def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text"
 
     # the most central text of a band against all others of the band; what it is not connected with goes on to
     # the next round, until a round finds no link
-    links, parts = None, None
+    links, parts, tried = None, None, []
     while True:
         best = member.groupBy("band").agg(F.max(F.struct("score", -F.col("node"))).alias("b"))
         lead = scratch.put(best.select("band", (-F.col("b.col2")).alias("lead")), narrow=True)
         led = scratch.put(_apart(member.hint("merge").join(lead.hint("merge"), "band").where("node <> lead"), parts), narrow=True)
         if led.isEmpty():
             break
-        new = verified(scratch.put(led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), narrow=True))
+        tried.append(scratch.put(led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), narrow=True))
+        new = verified(tried[-1])
         if links is not None and new.isEmpty():
             break
         links = new if links is None else scratch.put(links.union(new).distinct(), narrow=True)
@@ -203,12 +278,22 @@ def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text"
         member = scratch.put(_apart(led, parts).select("band", "node", "score"), narrow=True)
         scratch.collect_garbage()
 
-    # small bands that still join different classes: all their texts against one another
+    # bands that still join different classes: all their texts of different classes against one another
     if parts is not None:
-        count = member.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, small_band)).select("band")
-        left = scratch.put(member.hint("merge").join(scratch.put(count, narrow=True).hint("merge"), "band").select("band", "node"), narrow=True)
-        across = left.withColumnRenamed("node", "lead").hint("merge").join(left.hint("merge"), "band").where("lead < node")
-        more = verified(scratch.put(_apart(across, parts).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), narrow=True))
+        whole = full.hint("merge").join(parts.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+        count = whole.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "k")
+        left = scratch.put(whole.hint("merge").join(scratch.put(count, narrow=True).hint("merge"), "band"), narrow=True)
+        few, many = left.where(F.col("k") <= small_band), left.where(F.col("k") > small_band)
+        one, other = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
+        across = one.hint("merge").join(other.hint("merge"), "band").where("a < b and ca <> cb").select("a", "b").distinct()
+        done = scratch.put(reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
+        more = verified(scratch.put(across.hint("merge").join(done.hint("merge"), ["a", "b"], "left_anti"), narrow=True))
+        if not many.isEmpty():
+            sized = scratch.put(many.select("band", "node", "comp").hint("merge").join(lengths.hint("merge"), "node"), narrow=True)
+            units = scratch.put(_blocks(sized, block), narrow=True)
+            filled = units.hint("merge").join(content.hint("merge"), "node").select("unit", "node", "comp", "h", "w")
+            more = more.union(filled.groupBy("unit").applyInArrow(_across(least), "a long, b long, similarity double").distinct())
+        more = scratch.put(more, narrow=True)
         if not more.isEmpty():
             links = scratch.put(links.union(more).distinct(), narrow=True)
             parts = scratch.put(connected_components(links), narrow=True)
