@@ -353,6 +353,27 @@ def test_chain_takes_the_ordered_matches():
     assert [pos[i] for i in best] == [0, 10, 20, 30]
 
 
+def test_chain_finds_the_passage_behind_a_gap():
+    """A long passage does not hide a second one that begins more than the reach after it."""
+    pos = [*range(0, 300, 6), *range(600, 700, 6)]
+    assert [[pos[i] for i in c] for c in chaining.chain(pos, pos, 6)] == [pos[:50], pos[50:]]
+    assert sorted(len(c) for c in chaining.chain(pos, [2000 + p if p < 600 else p for p in pos], 6)) == [17, 50]
+
+
+def test_chain_takes_the_best_predecessor_within_reach():
+    rng = random.Random(2)
+    for _ in range(30):
+        ms = sorted({(rng.randrange(900), rng.randrange(900)) for _ in range(80)})
+        score = []
+        for i, (p, q) in enumerate(ms):
+            steps = [score[j] + 6 - 0.1 * (p - a + q - b) for j, (a, b) in enumerate(ms[:i]) if 0 < p - a <= 200 and 0 < q - b <= 200]
+            score.append(max([6.0, *steps]))
+        got = chaining.chain([m[0] for m in ms], [m[1] for m in ms], 6)
+        best = got[0]
+        worth = 6 * len(best) - 0.1 * sum(ms[j][c] - ms[i][c] for i, j in zip(best, best[1:]) for c in (0, 1))  # noqa: B905
+        assert worth == pytest.approx(max(score)) and sorted(i for c in got for i in c) == list(range(len(ms)))
+
+
 def test_passages(spark):
     rng = random.Random(3)
     passage = prose(rng, 70, 10**6).split()
