@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Large star: every node hands its larger neighbours its smallest one. Small star: the same with its
     smaller neighbours. The edges converge to stars around the smallest nodes in about log(n) rounds. Hubs
     are aggregated before the shuffle, and each round's tables are written, so a lost executor costs one
-    round at most and skewed joins can be split. Loops and null ends are ignored.
+    round at most and skewed joins can be split. Loops and null ends are ignored. Components that are not
+    settled after ``max_rounds`` rounds, which takes a chain of some 2**max_rounds nodes, are an error.
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -37,4 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())

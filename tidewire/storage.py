@@ -5,24 +5,38 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What a batch for a Python worker may hold while a table is written, where the session does not say. Whole texts
+#: are long rows: 10,000 of them, Spark's default, would be tens of megabytes in each worker.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if nothing else ships it; and give
-    them smaller Arrow batches where the session has Spark's default."""
+    """Let Python workers import this package from where the driver has it, if nothing else ships it."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    # whole texts are long rows: Spark's default of 10,000 a batch would hold tens of megabytes in each worker
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs started inside; the session is as before afterwards."""
+    named = spark.conf.getAll
+    mine = {k: v for k, v in _BATCH.items() if k not in named}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in mine:
+            spark.conf.unset(k)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -34,10 +48,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is a temporary folder made and set.
+    Only on a single machine whose session names none (tests) is a temporary folder made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -67,7 +84,8 @@ class Scratch:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
