@@ -4,16 +4,15 @@ A text is the multiset of its five-word shingles, weighted by frequency. Each sh
 whose rate is its weight: its arrivals (exponential gaps, seeded by the shingle) fall into random registers,
 a register keeps the earliest arrival, and a shingle stops when its next arrival is later than every
 register's. Two texts agree in a register with the probability of their probability Jaccard similarity.
-Registers are banded. Texts of a band are compared with its most central text, those that are not connected
-with it with the next one, and so on until a round finds no link. Then every band that still holds different
-classes is compared in full, its connected texts too: small ones pair by pair, others block by block, where an
-upper bound of the similarity of all pairs is one matrix product. Every link is verified on the exact similarity.
+Registers are banded. Small bands are compared pair by pair; the texts of a large one with its most central text.
+Large bands that then still hold different classes are compared in full, their connected texts too, block by
+block, where an upper bound of the similarity of all pairs is one matrix product. So every two texts that share a
+band are compared or are in one class already, and every link is verified on the exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ from tidewire.operators.graph import connected_components
 from tidewire.storage import Scratch, table
 
 _U = np.uint64
+#: Bytes of text that a worker looks at together.
+_CHUNK = 300_000
 
 
 def weighted(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def prob_minhash(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: i
 def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in chunks(b, "text"):
+            for part, data, off in chunks(b, "text", _CHUNK):
                 h, text, weight, k1, k2 = weighted(data, off, k)
                 n = np.bincount(text, minlength=part.num_rows)
                 reg = prob_minhash(h, text, weight.astype(float), part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
@@ -96,7 +97,7 @@ def _content(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data, off in chunks(b, "text"):
+            for part, data, off in chunks(b, "text", _CHUNK):
                 h, text, weight, k1, k2 = weighted(data, off, k)
                 at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(weight.astype(np.int32)))], names=["k1", "k2", "h", "w"])
@@ -141,51 +142,78 @@ def _verify(least: float):
     return run
 
 
+def _bounds(hs: list[np.ndarray], ws: list[np.ndarray]) -> np.ndarray:
+    """What share of the row's text's weight lies on shingles that the column's text has too (n x n)."""
+    n = len(hs)
+    text = np.repeat(np.arange(n), [len(x) for x in hs])
+    share = np.concatenate([w / w.sum() for w in ws]).astype(np.float32)
+    _, col, held = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+    common = np.zeros((n, n), np.float32)
+    # shingles of many texts as dense columns
+    many = np.cumsum(held > 32) - 1
+    dense = np.flatnonzero(held[col] > 32)
+    at = many[col[dense]]
+    dense = dense[np.argsort(at, kind="stable")]
+    at = np.sort(at)
+    for c in range(0, int(at[-1]) + 1 if len(at) else 0, 1024):
+        part = slice(*np.searchsorted(at, (c, c + 1024)))
+        x = np.zeros((n, 1024), np.float32)
+        x[text[dense[part]], at[part] - c] = share[dense[part]]
+        common += x @ (x > 0).astype(np.float32).T
+    # shingles of few texts pair by pair
+    few = np.flatnonzero((held[col] > 1) & (held[col] <= 32))
+    few = few[np.argsort(col[few], kind="stable")]
+    for step in range(1, 32):
+        i, j = few[:-step], few[step:]
+        same = col[i] == col[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        np.add.at(common, (text[i], text[j]), share[i])
+        np.add.at(common, (text[j], text[i]), share[j])
+    return common
+
+
 def _across(least: float):
-    """Links between the texts ``(node, comp, h, w)`` of one group that are in different components.
+    """Links that connect the components of the texts ``(node, comp, h, w)`` of one group, as far as they can be.
 
     With P and Q the shares of two texts' weight on what they have in common, 1 / (1 / P + 1 / Q - 1) is at least
-    their similarity, and equal to it where all weights are one. Pairs that reach it are compared exactly.
+    their similarity, and equal to it where all weights are one. Pairs that reach it are compared exactly, the
+    closest first; a pair whose components other links have connected by then adds nothing and is left out.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        n, comp, node = group.num_rows, group.column("comp").to_numpy(), group.column("node").to_numpy()
+        comp, node = group.column("comp").to_numpy(), group.column("node").to_numpy()
         hs, ws = ([x.values.to_numpy() for x in group.column(c)] for c in ("h", "w"))
-        size = np.array([len(x) for x in hs])
-        text = np.repeat(np.arange(n), size)
-        share = np.concatenate([w / w.sum() for w in ws])
-        _, col, held = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
-        common = np.zeros((n, n))  # share of the row's text that the column's text has too
-        # shingles of many texts as dense columns
-        many = np.cumsum(held > 32) - 1
-        dense = np.flatnonzero(held[col] > 32)
-        at = many[col[dense]]
-        dense = dense[np.argsort(at, kind="stable")]
-        at = np.sort(at)
-        for c in range(0, int(at[-1]) + 1 if len(at) else 0, 1024):
-            part = slice(*np.searchsorted(at, (c, c + 1024)))
-            x = np.zeros((n, 1024), np.float32)
-            x[text[dense[part]], at[part] - c] = share[dense[part]]
-            common += x @ (x > 0).astype(np.float32).T
-        # shingles of few texts pair by pair
-        few = np.flatnonzero((held[col] > 1) & (held[col] <= 32))
-        few = few[np.argsort(col[few], kind="stable")]
-        for step in range(1, 32):
-            i, j = few[:-step], few[step:]
-            same = col[i] == col[j]
-            if not same.any():
-                break
-            i, j = i[same], j[same]
-            np.add.at(common, (text[i], text[j]), share[i])
-            np.add.at(common, (text[j], text[i]), share[j])
-        with np.errstate(divide="ignore"):
-            bound = 1 / (1 / common + 1 / common.T - 1)
-        x, y = np.nonzero(np.triu((bound >= least - 1e-3) & (comp[:, None] != comp[None, :]), 1))
-        sims = np.array([similarity(hs[i], ws[i], hs[j], ws[j]) for i, j in zip(x, y, strict=True)])
-        ok = sims >= least if len(sims) else np.zeros(0, bool)
-        a, b = node[x[ok]], node[y[ok]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sims[ok] if len(sims) else np.zeros(0)})
+        common, found = _bounds(hs, ws), []
+        names, part = np.unique(comp, return_inverse=True)
+        above = list(range(len(names)))
+
+        def root(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        xs, ys, bs = [], [], []
+        for at in range(0, len(node), 256):
+            with np.errstate(divide="ignore"):
+                bound = 1 / (1 / common[at : at + 256] + 1 / common[:, at : at + 256].T - 1)
+            x, y = np.nonzero((bound >= least - 1e-3) & (part[at : at + 256, None] < part[None, :]))
+            xs.append(x + at)
+            ys.append(y)
+            bs.append(bound[x, y])
+        x, y, bound = np.concatenate(xs), np.concatenate(ys), np.concatenate(bs)
+        order = np.argsort(-bound, kind="stable")
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            p, q = root(part[i]), root(part[j])
+            if p != q and (same := similarity(hs[i], ws[i], hs[j], ws[j])) >= least:
+                above[p] = q
+                found.append((node[i], node[j], same, comp[i], comp[j]))
+        cols = list(zip(*found, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "similarity", "ca", "cb"])
 
     return run
 
@@ -211,16 +239,6 @@ def _blocks(member: DataFrame, limit: int, floor: int = 256) -> DataFrame:
     return placed.hint("merge").join(sides.hint("merge"), ["band", "block"]).select("unit", "node", "comp")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The pairs ``(lead, node)`` that are not in one component yet."""
-    if parts is None:
-        return pairs
-    a = parts.select(F.col("node").alias("lead"), F.col("component").alias("__a"))
-    b = parts.withColumnRenamed("component", "__b")
-    both = pairs.hint("merge").join(a.hint("merge"), "lead", "left").hint("merge").join(b.hint("merge"), "node", "left")
-    return both.where(F.coalesce("__a", "lead") != F.coalesce("__b", "node")).drop("__a", "__b")
-
-
 def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, small_band: int = 8, block: int = 1 << 18) -> DataFrame:
     """``(row_id, text_hash, class_id, links, class_size, first)``, one row per row of ``df``.
 
@@ -229,83 +247,80 @@ def near_duplicates(df: DataFrame, *, row_id: str = "doc_id", text: str = "text"
     (each class is connected by them). ``text_hash`` tells rows with equal ids apart, ``first`` marks the class's
     representative. A text of fewer than
     ``shingle`` words is one shingle; a null, empty or wordless text is like no other and a class of its own.
+    Rows with a null id are rows like others; very long texts are one row of memory at a time; equal rows are
+    one class; an empty table gives an empty one; other columns of ``df`` are not looked at.
     With 24 bands of 5 registers a pair at similarity 0.8 shares a band with probability 0.99993.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "minhash")
     docs = df.select(F.col(row_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sketch = scratch.put(docs.mapInArrow(_sketch(shingle, bands, rows), f"id {kind}, th long, k1 long, k2 long, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    made = f"id {kind}, th long, k1 long, k2 long, n long, bands array<long>"
+    sketch = scratch.put(docs.mapInArrow(_sketch(shingle, bands, rows), made).withColumn("row", F.monotonically_increasing_id()))
 
     # one node per distinct word sequence, named by a row that has it
-    nodes = scratch.put(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("row", "id", "bands")).alias("r")).select("k1", "k2", F.col("r.row").alias("node"), F.col("r.id").alias("id"), F.col("r.bands").alias("bands")))
+    one = F.min(F.struct("row", "id", "th", "bands")).alias("r")
+    nodes = sketch.where("n > 0").groupBy("k1", "k2").agg(one)
+    nodes = scratch.put(nodes.select("k1", "k2", F.col("r.row").alias("node"), "r.id", "r.th", "r.bands"))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = scratch.put(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), narrow=True)
     member = scratch.put(spread.hint("merge").join(shared.hint("merge"), "band").select("band", "node", "size"), narrow=True)
-    # a text is the more central the more texts its bands hold: the original of a group of edited copies
-    central = scratch.put(member.groupBy("node").agg(F.sum("size").alias("score")), narrow=True)
-    member = scratch.put(member.hint("merge").join(central.hint("merge"), "node").select("band", "node", "score"), narrow=True)
-    full = scratch.put(member.select("band", "node").distinct(), narrow=True)
+    few, many = member.where(F.col("size") <= small_band), member.where(F.col("size") > small_band)
+
+    # small bands pair by pair; of a large one all texts with the most central: the one whose bands hold the most
+    # texts, as the original of a group of edited copies does
+    listed = few.groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("l"))
+    pair = F.explode(F.expr("flatten(transform(l, (a, i) -> transform(slice(l, i + 2, size(l)), b -> struct(a as a, b as b))))"))
+    pairs = listed.select(pair.alias("p")).select("p.a", "p.b")
+    central = scratch.put(many.groupBy("node").agg(F.sum("size").alias("score")), narrow=True)
+    large = scratch.put(many.hint("merge").join(central.hint("merge"), "node").select("band", "node", "score"), narrow=True)
+    best = large.groupBy("band").agg(F.max(F.struct("score", -F.col("node"))).alias("b"))
+    lead = scratch.put(best.select("band", (-F.col("b.col2")).alias("lead")), narrow=True)
+    star = large.hint("merge").join(lead.hint("merge"), "band").where("node <> lead")
+    pairs = pairs.union(star.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+    pairs = scratch.put(pairs.distinct(), narrow=True)
 
     # shingles of the texts that share a band with any other
-    asked = scratch.put(member.select("node").distinct().hint("merge").join(nodes.select("node", "id", "k1", "k2").hint("merge"), "node"), narrow=True)
-    near = docs.hint("merge").join(asked.select("id").distinct().hint("merge"), "id", "left_semi")
+    asked = member.select("node").distinct().hint("merge").join(nodes.select("node", "id", "th", "k1", "k2").hint("merge"), "node")
+    asked = scratch.put(asked, narrow=True)
+    rows_of = asked.select(F.col("id").alias("i"), F.col("th").alias("t")).hint("merge")
+    near = docs.hint("merge").join(rows_of, docs["id"].eqNullSafe(F.col("i")) & (docs["th"] == F.col("t")), "left_semi")
     content = near.select("text").mapInArrow(_content(shingle), "k1 long, k2 long, h array<long>, w array<int>").dropDuplicates(["k1", "k2"])
     content = scratch.put(content.hint("merge").join(asked.select("node", "k1", "k2").hint("merge"), ["k1", "k2"]).select("node", "h", "w"))
-    lengths = scratch.put(content.select("node", F.size("h").alias("n")), narrow=True)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` that are similar enough."""
-        own = content.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-        other = content.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-        both = pairs.hint("merge").join(own.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
-        return scratch.put(both.mapInArrow(_verify(least), "a long, b long, similarity double"), narrow=True)
-
-    # the most central text of a band against all others of the band; what it is not connected with goes on to
-    # the next round, until a round finds no link
-    links, parts, tried = None, None, []
-    while True:
-        best = member.groupBy("band").agg(F.max(F.struct("score", -F.col("node"))).alias("b"))
-        lead = scratch.put(best.select("band", (-F.col("b.col2")).alias("lead")), narrow=True)
-        led = scratch.put(_apart(member.hint("merge").join(lead.hint("merge"), "band").where("node <> lead"), parts), narrow=True)
-        if led.isEmpty():
-            break
-        tried.append(scratch.put(led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), narrow=True))
-        new = verified(tried[-1])
-        if links is not None and new.isEmpty():
-            break
-        links = new if links is None else scratch.put(links.union(new).distinct(), narrow=True)
-        parts = scratch.put(connected_components(links), narrow=True)
-        member = scratch.put(_apart(led, parts).select("band", "node", "score"), narrow=True)
-        scratch.collect_garbage()
-
-    # bands that still join different classes: all their texts of different classes against one another
-    if parts is not None:
-        whole = full.hint("merge").join(parts.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-        count = whole.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "k")
-        left = scratch.put(whole.hint("merge").join(scratch.put(count, narrow=True).hint("merge"), "band"), narrow=True)
-        few, many = left.where(F.col("k") <= small_band), left.where(F.col("k") > small_band)
-        one, other = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        across = one.hint("merge").join(other.hint("merge"), "band").where("a < b and ca <> cb").select("a", "b").distinct()
-        done = scratch.put(reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
-        more = verified(scratch.put(across.hint("merge").join(done.hint("merge"), ["a", "b"], "left_anti"), narrow=True))
-        if not many.isEmpty():
-            sized = scratch.put(many.select("band", "node", "comp").hint("merge").join(lengths.hint("merge"), "node"), narrow=True)
-            units = scratch.put(_blocks(sized, block), narrow=True)
-            filled = units.hint("merge").join(content.hint("merge"), "node").select("unit", "node", "comp", "h", "w")
-            more = more.union(filled.groupBy("unit").applyInArrow(_across(least), "a long, b long, similarity double").distinct())
-        more = scratch.put(more, narrow=True)
+
+    own = content.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
+    other = content.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+    both = pairs.hint("merge").join(own.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
+    links = scratch.put(both.mapInArrow(_verify(least), "a long, b long, similarity double"), narrow=True)
+    parts = scratch.put(connected_components(links), narrow=True)
+    scratch.collect_garbage()
+
+    # large bands that still hold several classes: all their texts of different classes against one another
+    whole = large.hint("merge").join(parts.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    whole = scratch.put(whole, narrow=True)
+    open_ = whole.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+    open_ = scratch.put(open_, narrow=True)
+    if not open_.isEmpty():
+        lengths = scratch.put(content.select("node", F.size("h").alias("n")), narrow=True)
+        left = whole.hint("merge").join(open_.hint("merge"), "band").hint("merge").join(lengths.hint("merge"), "node")
+        units = scratch.put(_blocks(scratch.put(left, narrow=True), block), narrow=True)
+        filled = units.hint("merge").join(content.hint("merge"), "node").select("unit", "node", "comp", "h", "w")
+        more = scratch.put(filled.groupBy("unit").applyInArrow(_across(least), "a long, b long, similarity double, ca long, cb long"), narrow=True)
         if not more.isEmpty():
-            links = scratch.put(links.union(more).distinct(), narrow=True)
-            parts = scratch.put(connected_components(links), narrow=True)
-    else:
-        links = spark.createDataFrame([], "a long, b long, similarity double")
-        parts = spark.createDataFrame([], "node long, component long")
+            links = links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")).dropDuplicates(["a", "b"])
+            # components of components
+            joined = scratch.put(connected_components(more, "ca", "cb").select(F.col("node").alias("was"), F.col("component").alias("now")), narrow=True)
+            apart = parts.union(joined.select("was", "was")).distinct()
+            merged = apart.hint("merge").join(joined.hint("merge"), apart["component"] == F.col("was"), "left")
+            parts = scratch.put(merged.select("node", F.coalesce("now", "component").alias("component")), narrow=True)
+    scratch.drop(content)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     known = nodes.select("k1", "k2", "node").hint("merge").join(parts.hint("merge"), "node", "left").hint("merge").join(scratch.put(degree, narrow=True).hint("merge"), "node", "left")
     known = scratch.put(known.select("k1", "k2", F.coalesce("component", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links")), narrow=True)
-    rowed = scratch.put(sketch.select("id", "th", "k1", "k2", "n", "row").hint("merge").join(known.hint("merge"), ["k1", "k2"], "left").select("id", "th", "links", F.when(F.col("n") > 0, F.col("part")).otherwise(F.col("row")).alias("part")), narrow=True)
+    rowed = sketch.select("id", "th", "k1", "k2", "n", "row").hint("merge").join(known.hint("merge"), ["k1", "k2"], "left")
+    rowed = scratch.put(rowed.select("id", "th", "links", F.when(F.col("n") > 0, F.col("part")).otherwise(F.col("row")).alias("part")), narrow=True)
     sizes = scratch.put(rowed.groupBy("part").agg(F.min(F.struct("id", "th")).alias("one"), F.count(F.lit(1)).alias("class_size")), narrow=True)
+    scratch.drop(sketch, nodes, shared, member, large, pairs, asked)
     out = rowed.hint("merge").join(sizes.hint("merge"), "part")
     first = F.struct("id", "th").eqNullSafe(F.col("one"))
     return out.select(F.col("id").alias(row_id), F.col("th").alias("text_hash"), F.col("one.id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "class_size", first.alias("first"))
