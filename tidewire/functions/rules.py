@@ -126,6 +126,42 @@ COMPANY_TYPE = "insurance insurtech insurtechs insurer insurers reinsurance rein
 INVESTOR_LEAD = r"(?i)\b(?:led by|backed by|funded by|investment from|funding from|participation from|investors?:?)\s+"
 LEAD_STOP = "To As For In On At With And After Amid That Its The A An From Over Into While Which Following Bringing Ahead Aiming Backed".split()
 
+# ---- Fixed values: words that tell company names in headlines from what stands around them ----
+#: Words that are no company by themselves.
+GENERIC_WORDS = """insurance insurer insurers insurtech insurtechs reinsurance reinsurer reinsurers fintech insuretech technology tech
+technologies digital ai ml platform platforms group holdings holding market markets report reports research series update updates news
+daily business industry sector solution solutions company companies startup startups firm firms ceo cfo cto coo chief star million
+billion trillion crore funding fund deal deals round rounds valuation investment investors embedded cyber claims underwriting health
+life auto motor property casualty launch partnership partnerships venture ventures capital finance financial services service data
+software systems labs app apps program programme profitability capabilities acquisition mou os subsidiary""".split()
+#: Words that end a name: grammar, actions, places, modifiers.
+GRAMMAR_WORDS = """to for with and or in on at of by as from into over under after before amid via vs than then but so up out off down
+through across against about who what which where when why how the a an this that these those its it their his her more most amid
+despite following also now over""".split()
+ACTION_WORDS = """raises raise raised raising secures secure secured securing lands land landed bags bag bagged closes close closed
+closing nabs snags launches launch launched launching unveils unveil unveiled debuts debut introduces introduce introduced acquires
+acquire acquired acquiring buys buy bought buying partners partner partnered teams team taps tap tapped selects select selected names
+name named naming appoints appoint appointed hires hire hired expands expand expanded picks pick picked onboards integrates integrate
+wins win won adds add added deploys deploy signs sign signed inks ink scores score rolls backs back backed powers power completes
+complete completed providing provides provide signals signal attracts attract extends extend extended announces announce announced
+announcing joins join joined wants plans eyes sets set eyeing offering offers offer offered enters enter helping helps help brings
+bring targeting targets""".split()
+PLACE_WORDS = """us usa uk eu europe european asia asian africa african america americas american latin latam apac emea mena uae india
+indian china chinese japan japanese singapore australia australian canada canadian germany german france french spain spanish italy
+italian brazil brazilian mexico mexican pakistan pakistani malaysia malaysian indonesia indonesian philippines nigeria nigerian kenya
+saudi gulf gcc korea korean vietnam thailand thai north south east west""".split()
+MODIFIER_WORDS = """global digital new top best leading major exclusive breaking latest first heres more sector market industry inside
+meet introducing amid""".split()
+#: Acronyms of the trade that are no companies.
+TRADE_ACRONYMS = """roi llm ltl mga aog tdi naaia efgh llc mou api saas kyc kyb esg ipo faq usd eur gbp gdp evs suv ceo cfo cto coo it hr
+pr ev ai ml os ui ux crm erp gwp nps arr""".split()
+#: Actions whose object is a company.
+OBJECT_ACTIONS = "with acquires acquire buys buy taps selects backs by joins".split()
+#: Last words that make a run of two words or more a company.
+NAME_ENDINGS = """inc incorporated llc ltd limited corp corporation plc co gmbh nv sa se ag re group holdings holding technologies
+technology solutions systems ventures partners capital labs""".split()
+ADJECTIVE_ENDING = r"(?i)-(?:based|driven|led|backed|focused|owned|founded|native|first)$"
+
 # ---- Fixed values: floors, caps and bands ----
 WIRE_CAP, WIRE_DAYS, SAME_RAISE_DAYS, SAME_DEAL_DAYS = 140, 45, 45, 180
 SIZE_BANDS = [("Under $10M", 0.0, 10.0), ("$10M to $50M", 10.0, 50.0), ("$50M to $100M", 50.0, 100.0), ("$100M and above", 100.0, float("inf"))]

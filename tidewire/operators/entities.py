@@ -13,48 +13,91 @@ from tidewire.functions import rules, text
 from tidewire.operators.rollups import co_occurrence, top_per_group
 from tidewire.storage import Scratch
 
-_NAME = re.compile(r"[A-Z][\w.&'-]*|[a-z]+[A-Z][\w.&'-]*")
-#: Words that end a run of capitalised words in a headline: grammar, and verbs whose subject is a company.
-GRAMMAR = set("to for with and or in on at of by as from into over under after before amid via the a an its it their that this who which when why how".split())
-ACTIONS = set("raises raise raised secures secured lands landed bags closes closed launches launched unveils acquires acquired buys bought partners partnered taps selects names appoints hires expands adds signs joins backs wins powers announces announced completes offers enters extends picks".split())
-TAKES_OBJECT = set("with acquires buys taps selects backs by joins".split())
-
-
-def _read_names(title: str | None, known: dict[str, str], generic: set[str]) -> list[str]:
-    """Runs of capitalised words next to an action, in camel case, in the known list, or with a corporate word."""
-    words = [w for w in re.sub(r"[’']s\b", "", title or "").split() if w]
-    plain = [re.sub(r"^\W+|[^\w&]+$", "", w) for w in words]
-    low = [p.lower() for p in plain]
-    out: dict[str, str] = {}
-    i = 0
-    while i < len(words):
-        j = i
-        while j < len(words) and j - i < 5 and _NAME.fullmatch(plain[j]) and low[j] not in GRAMMAR and low[j] not in ACTIONS:
-            j += 1
-            if words[j - 1][-1:] in ",;:—–":
-                break
-        run = plain[i:j]
-        while len(run) > 1 and run[0].lower() in generic:
-            run = run[1:]
-        if run and not all(w.lower() in generic for w in run):
-            slug = "-".join(re.findall(r"[a-z0-9]+", " ".join(run).lower()))
-            acts = (j < len(low) and low[j] in ACTIONS) or (i > 0 and low[i - 1] in TAKES_OBJECT)
-            camel = any(re.search(r"[a-z][A-Z]", w) for w in run)
-            if slug and (slug in known or acts or camel or (len(run) > 1 and run[-1].lower() in rules.COMPANY_TYPE)):
-                out.setdefault(slug, known.get(slug, " ".join(run)))
-        i = max(j, i + 1)
-    return list(out.values())
-
-
-def company_names(title: Column, known: dict[str, str] | None = None, generic: list[str] | None = None) -> Column:
-    """Company names a headline mentions, in order; ``known`` maps slugs to display names."""
-    known, words = known or {}, set(generic if generic is not None else rules.COMPANY_TYPE)
+_ADJECTIVE = re.compile(rules.ADJECTIVE_ENDING)
+_NAMELIKE = re.compile(r"[A-Z][A-Za-z0-9.'&-]*$|[A-Z0-9&.]{2,}$|.*[a-z][A-Z]")
+_FIGURE = re.compile(r"(?i)\$?\d[\d.,]*[kmbn%]?$")
+_VERSION = re.compile(r"v?\d[\d.]*$")
+
+
+class NameReader:
+    """Company names of headlines. ``known`` maps slugs to display names, ``generic`` words are none by themselves."""
+
+    def __init__(self, known: dict[str, str] | None = None, generic: list[str] | None = None):
+        self.known = known or {}
+        self.generic = set(rules.GENERIC_WORDS if generic is None else generic)
+        inside = set(rules.COMPANY_TYPE)  # generic words that may be part of a name
+        self.actions = set(rules.ACTION_WORDS)
+        self.ends = {*rules.GRAMMAR_WORDS, *rules.ACTION_WORDS, *rules.PLACE_WORDS, *rules.MODIFIER_WORDS, *(self.generic - inside)}
+        self.endings, self.acronyms, self.takes = set(rules.NAME_ENDINGS), set(rules.TRADE_ACRONYMS) | self.generic, set(rules.OBJECT_ACTIONS)
+
+    def __call__(self, title: str | None, exclude: str | None = None) -> list[str]:
+        """The names in order, each once; ``exclude`` is a slug not to report (the outlet's)."""
+        clean = re.sub(r"[“”\"()\[\]]", " ", re.sub(r"[’']s\b", "", title or ""))
+        tokens = clean.split()
+        bare = [re.sub(r"[^A-Za-z0-9&.]+$", "", re.sub(r"^[^A-Za-z0-9&]+", "", t)) for t in tokens]
+        low = [t.lower() for t in bare]
+        fits = [self._fits(b, lo) for b, lo in zip(bare, low, strict=True)]
+        out: dict[str, str] = {}
+        at = 0
+        while at < len(tokens):
+            if not fits[at]:
+                at += 1
+                continue
+            end = at + 1
+            while end < len(tokens) and end - at < 5 and tokens[end - 1][-1] not in ",;:—–":
+                if fits[end]:
+                    end += 1
+                elif tokens[end] == "&" and end + 1 < len(tokens) and fits[end + 1]:
+                    end += 2
+                else:
+                    break
+            self._judge(bare, low, at, end, exclude, out)
+            at = end
+        return list(out.values())
+
+    def _fits(self, bare: str, low: str) -> bool:
+        """Whether a token can be part of a name."""
+        gerund = len(low) >= 7 and low.endswith("ing")
+        return bool(bare and _NAMELIKE.match(bare)) and low not in self.ends and not gerund and not _ADJECTIVE.search(bare) and not _VERSION.match(bare)
+
+    def _judge(self, bare: list[str], low: list[str], at: int, end: int, exclude: str | None, out: dict[str, str]) -> None:
+        """Add the run of tokens if something marks it as a company: its own form, or an action before or behind it."""
+        core = [b for b in bare[at:end] if b]
+        while len(core) > 1 and core[0].lower() in self.generic:
+            core = core[1:]
+        if all(w.lower() in self.generic for w in core):
+            return
+        word = lambda i: low[i] if 0 <= i < len(low) else ""
+        acts = word(end) in self.actions or (word(end) in ("and", "&") and word(end + 1) in self.actions)
+        taken = word(at - 1) in self.takes or (word(at - 1) in ("and", "&") and word(at - 2) in self.takes)
+        camel = any(re.search(r"[a-z][A-Z]", b) for b in bare[at:end])
+        acronym = len(core) == 1 and re.fullmatch(r"[A-Z]{3,6}", core[0]) and core[0].lower() not in self.acronyms
+        if not (_slug(core) in self.known or camel or acts or taken or acronym or (len(core) > 1 and core[-1].lower() in self.endings)):
+            return
+        while len(core) > 1 and (core[-1].lower() in ("&", "and") or _FIGURE.match(core[-1]) or (len(core) > 2 and re.fullmatch("[A-Z]{2,6}", core[-1]))):
+            core = core[:-1]
+        slug = _slug(core)
+        if slug and slug != exclude and not all(w.lower() in self.generic for w in core):
+            out[slug] = self.known.get(slug, " ".join(core))
+
+
+def _slug(words: list[str]) -> str:
+    """What ``text.company_slug`` makes of a name."""
+    parts = re.sub(r"[^a-z0-9 ]+", " ", " ".join(words).lower().replace("&", " and ")).split()
+    while len(parts) > 1 and parts[-1] in rules.LEGAL_SUFFIXES:
+        parts.pop()
+    return "-".join(parts)
+
+
+def company_names(title: Column, known: dict[str, str] | None = None, generic: list[str] | None = None, source: Column | None = None) -> Column:
+    """Company names a headline mentions, in order; ``known`` maps slugs to display names, ``source`` is never one."""
+    names = NameReader(known, generic)
 
     @F.pandas_udf(ArrayType(StringType()))
-    def read(t: pd.Series) -> pd.Series:
-        return t.map(lambda s: _read_names(s, known, words))
+    def read(t: pd.Series, outlet: pd.Series) -> pd.Series:
+        return pd.Series([names(s, o) for s, o in zip(t, outlet, strict=True)])
 
-    return read(title)
+    return read(title, F.lit("") if source is None else text.company_slug(source))
 
 
 def sane_names(names: Column, junk: list[str], exclude: Column | None = None, generic: list[str] | None = None) -> Column:
@@ -68,12 +111,18 @@ def sane_names(names: Column, junk: list[str], exclude: Column | None = None, ge
 
 def canonical(mentions: DataFrame, aliases: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     """``(link, name, title)`` with display name and slug after aliases ``(alias_slug, canonical)`` and splits
-    ``(slug, pattern, new_name)`` that apply where the headline matches. Both tables are curated lists."""
-    out = mentions.withColumn("__s", text.company_slug(F.col("name"))).join(F.broadcast(aliases.dropDuplicates(["alias_slug"])), F.col("__s") == F.col("alias_slug"), "left").withColumn("name", F.coalesce("canonical", "name")).drop("alias_slug", "canonical", "__s")
+    ``(slug, pattern, new_name)``: of the splits of a name the first, by ``ord`` if there is such a column, whose
+    pattern the headline matches, names it. Repeated aliases count once; a mention stays one mention."""
+    known = aliases.groupBy("alias_slug").agg(F.min("canonical").alias("canonical"))
+    out = mentions.withColumn("__s", text.company_slug(F.col("name"))).join(known, F.col("__s") == F.col("alias_slug"), "left")
+    out = out.withColumn("name", F.coalesce("canonical", "name")).drop("alias_slug", "canonical", "__s")
     if splits is not None:
-        rule = F.broadcast(splits.withColumnRenamed("slug", "__ss"))
-        hit = out.withColumn("__s", text.company_slug(F.col("name"))).join(rule, (F.col("__s") == F.col("__ss")) & F.expr("title rlike pattern"), "left")
-        out = hit.withColumn("name", F.coalesce("new_name", "name")).drop("__s", "__ss", "pattern", "new_name").dropDuplicates(["link", "name"])
+        order = F.col("ord") if "ord" in splits.columns else F.lit(0)
+        rule = F.array_sort(F.collect_list(F.struct(order.alias("ord"), "pattern", "new_name")))
+        by = splits.groupBy(F.col("slug").alias("__ss")).agg(rule.alias("__rules"))  # a curated list: a few rules a name
+        hit = out.withColumn("__s", text.company_slug(F.col("name"))).join(by, F.col("__s") == F.col("__ss"), "left")
+        named = F.when(F.size("__rules") > 0, F.expr("try_element_at(filter(__rules, r -> title rlike r.pattern), 1).new_name"))
+        out = hit.withColumn("name", F.coalesce(named, "name")).drop("__s", "__ss", "__rules")
     return out.withColumn("slug", text.company_slug(F.col("name")))
 
 
