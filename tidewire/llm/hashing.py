@@ -90,6 +90,12 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterat
         at = to
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` text bytes each, one row at least."""
+    for part, _, _ in chunks(batch, column, limit):
+        yield part
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts of a chunk, and for each text where its words begin (n + 1 offsets)."""
     space = _SPACE[data]
