@@ -188,6 +188,9 @@ SECTORS = [
     ("title-insurance", "Title insurance", r"\btitle insur", r"\btitle\b", "Property & Cat"),
 ]
 
+#: Kinds of companies that market and sector pages leave out.
+KINDS_OUTSIDE = ["Other", "Investor"]
+
 # ---- Fixed values: glossary terms as (slug, pattern on the title, related label) ----
 TERMS = [
     ("mga", r"(?i)\bMGAs?\b|managing general agent", "Industry"), ("reinsurance", r"(?i)\breinsur", "Property & Cat"), ("parametric-insurance", r"(?i)parametric", "Property & Cat"),

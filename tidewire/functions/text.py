@@ -199,6 +199,11 @@ def stale_record(title: Column) -> Column:
     return title.rlike(rules.STALE_RECORD)
 
 
+def deal_candidate(title: Column, summary: Column) -> Column:
+    """Worth reading as a deal: any vocabulary of a deal in title or summary."""
+    return body(title, summary).rlike(rules.DEAL_HINT)
+
+
 def deal_noise(text: Column) -> Column:
     """Deal vocabulary without a deal."""
     return any_of(text, rules.DEAL_NOISE)
@@ -401,15 +406,28 @@ def clean_acquirer(raw: Column) -> Column:
 
 
 def deal_pair(title: Column) -> Column:
-    """``struct(acquirer, target, seller)`` of the first pattern that gives two different names, or null."""
+    """``struct(acquirer, target, seller)`` of the first pattern that gives two different names, or null.
+
+    A pattern's groups are cut out once, in one pass of the pattern, and cleaned in steps that each name the last
+    one's result; where the headline does not match, nothing of that is done.
+    """
+
     def valid(r: Column) -> Column:
         return F.when(looks_like_name(r["acquirer"]) & looks_like_name(r["target"]) & (F.lower(r["acquirer"]) != F.lower(r["target"])), r)
 
+    def reader(acquirer: int, target: int, seller: int):
+        def read(groups: Column) -> Column:
+            s = _clean_name(groups[seller - 1], False) if seller else F.lit("")
+            return F.struct(clean_acquirer(groups[acquirer - 1]).alias("acquirer"), clean_target(groups[target - 1]).alias("target"), s.alias("seller"))
+
+        return read
+
     reads = []
     for p, acquirer, target, seller in rules.DEAL_PAIRS:
-        s = _clean_name(F.regexp_extract(title, p, seller), False) if seller else F.lit("")
-        read = F.struct(clean_acquirer(F.regexp_extract(title, p, acquirer)).alias("acquirer"), clean_target(F.regexp_extract(title, p, target)).alias("target"), s.alias("seller"))
-        reads.append(F.when(title.rlike(p), _let(read, valid)))
+        n = max(acquirer, target, seller)
+        groups = F.split(F.regexp_replace(title, p, "\u0000".join(f"${i}" for i in range(1, n + 1))), "\u0000")
+        made = _let(_let(groups, reader(acquirer, target, seller)), valid)
+        reads.append(F.when(title.rlike(p), made))
     return F.coalesce(*reads)
 
 

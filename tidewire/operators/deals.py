@@ -49,6 +49,22 @@ def newest_first(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return at.join(dedupe.greedy_leaders(at.select(F.col("link").alias("id"), "ord"), pairs).withColumnRenamed("id", "link"), "link")
 
 
+def company_round_clusters(rounds: DataFrame) -> DataFrame:
+    """``rounds`` with ``ord`` and the ``leader`` each follows: reports of one company's round, newest first.
+
+    Reports equal in company, time and amount match the same others and one another, so the first stands for all.
+    """
+    scratch = Scratch(rounds.sparkSession, "clusters")
+    ord_ = F.struct(F.coalesce(-F.unix_micros("published_at"), F.lit(1 << 62)).alias("t"), F.col("link").alias("l"))
+    alone = F.col("slug").isNull() | F.col("published_at").isNull() | ~(F.col("amount_m") > 0) | F.col("amount_m").isNull()
+    key = F.struct(F.col("slug"), F.col("published_at"), F.col("amount_m"), F.when(alone, F.col("link")).alias("one"))
+    at = scratch.put(rounds.withColumn("ord", ord_).withColumn("__k", F.xxhash64(key)).withColumn("__j", F.xxhash64(F.lit(1), key)))
+    heads = scratch.put(at.groupBy("__k", "__j").agg(F.min(F.struct("ord", "link", "slug", "published_at", "amount_m")).alias("h")).select("__k", "__j", "h.*"))
+    led = dedupe.greedy_leaders(heads.select(F.col("link").alias("id"), "ord"), scratch.put(dedupe.same_company_round_pairs(heads)))
+    placed = scratch.put(heads.select("__k", "__j", F.col("link").alias("id")).join(led, "id").select("__k", "__j", "leader"))
+    return at.join(placed, ["__k", "__j"]).drop("__k", "__j")
+
+
 def funding_rounds(articles: DataFrame, facts: DataFrame, mentions: DataFrame, investor_slugs: DataFrame | None = None) -> DataFrame:
     """Archive to rounds: rows, one per raise, attributed, one per company's round, newest first."""
     scratch = Scratch(articles.sparkSession, "rounds")
@@ -56,19 +72,46 @@ def funding_rounds(articles: DataFrame, facts: DataFrame, mentions: DataFrame, i
     led = scratch.put(newest_first(rows, dedupe.same_raise_pairs(rows)))
     raised = led.where("link = leader").select(*rows.columns)
     placed = scratch.put(entities.attach_companies(raised, mentions, investor_slugs))
-    again = scratch.put(newest_first(placed, dedupe.same_company_round_pairs(placed)).withColumnRenamed("leader", "cluster"))
+    again = scratch.put(company_round_clusters(placed).withColumnRenamed("leader", "cluster"))
     done = rollups.resolve_rounds(again)
     return done.join(again.select(F.col("link").alias("cluster"), "slug", "company", "title", "currency", "native_m"), "cluster").orderBy(F.col("published_at").desc(), "link")
 
 
 def ma_deals(articles: DataFrame, facts: DataFrame, index: DataFrame) -> DataFrame:
-    """Archive to deals: rows, one per deal, parties resolved, newest first."""
+    """Archive to deals: rows, one per deal, parties resolved, one per pair of companies, newest first."""
     scratch = Scratch(articles.sparkSession, "deals")
     rows = scratch.put(deal_rows(articles, facts))
     led = scratch.put(newest_first(rows, scratch.put(dedupe.same_deal_pairs(rows))))
     merged = dedupe.merge_evidence(led.withColumns({"stage": F.lit(""), "lead": F.col("seller")})).drop("stage").withColumnRenamed("lead", "seller")
     full = merged.join(rows.select("link", "acquirer", "target", "type", "currency"), "link")
-    return entities.resolve_party(entities.resolve_party(full, index, "acquirer"), index, "target").orderBy(F.col("published_at").desc(), "link")
+    known = scratch.put(entities.resolve_party(entities.resolve_party(full, index, "acquirer"), index, "target"))
+    return merge_by_identity(known).orderBy(F.col("published_at").desc(), "link")
+
+
+def merge_by_identity(deals: DataFrame) -> DataFrame:
+    """Deals whose parties turned out to be the same companies as one: the newest stays, with the others' outlets, and
+    with the first price there is where it has none.
+
+    Deals between the same two known companies are one whatever they are called; the newest of these, and deals
+    with an unknown target, are then compared by name within their acquirer.
+    """
+    scratch = Scratch(deals.sparkSession, "identity")
+    both = F.col("acquirer_slug").isNotNull() & F.col("target_slug").isNotNull()
+    key = F.when(both, F.struct(F.lit(True).alias("known"), F.concat_ws(" > ", "acquirer_slug", "target_slug").alias("of"))).otherwise(F.struct(F.lit(False).alias("known"), F.col("link").cast("string").alias("of")))
+    at = scratch.put(deals.withColumn("__k", key).withColumn("ord", F.struct(F.coalesce(-F.unix_micros("published_at"), F.lit(1 << 62)).alias("t"), F.col("link").alias("l"))))
+    heads = at.groupBy("__k").agg(F.min("ord").alias("__h"))
+    named = scratch.put(at.join(heads, "__k").where(F.col("ord") == F.col("__h")).drop("__h"))
+    led = dedupe.greedy_leaders(named.select(F.col("link").alias("id"), "ord"), scratch.put(dedupe.same_identity_pairs(named)))
+    placed = scratch.put(named.select("__k", F.col("link").alias("id")).join(led, "id").select("__k", "leader"))
+    full = scratch.put(at.join(placed, "__k"))
+    outlets = F.array_union(F.array("source"), F.coalesce("also_reported_by", F.array().cast("array<string>")))
+    priced = F.min(F.when(F.col("amount_m") > 0, F.struct("ord", "amount_m", "amount_link", "amount_source", "currency", "link", "source"))).alias("p")
+    heard = full.select("leader", F.explode(outlets).alias("s")).distinct().groupBy("leader").agg(F.collect_list("s").alias("s"))
+    other = full.groupBy("leader").agg(priced, F.sum("reports").alias("reports")).join(heard, "leader")
+    own = full.where("link = leader").select("leader", *[c for c in deals.columns if c not in ("amount_m", "amount_link", "amount_source", "currency", "reports", "also_reported_by")])
+    out = own.join(other, "leader")
+    more = {"amount_m": F.col("p.amount_m"), "amount_link": F.coalesce("p.amount_link", "p.link"), "amount_source": F.coalesce("p.amount_source", "p.source"), "currency": F.col("p.currency"), "also_reported_by": F.array_sort(F.array_except("s", F.array("source")))}
+    return out.withColumns(more).select(*deals.columns)
 
 
 def worklist(articles: DataFrame, facts: DataFrame, candidate: Column, pv: int, order: list[Column], limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ are the lexicographically first maximal independent set of the match graph.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,52 +17,38 @@ from tidewire.operators.graph import connected_components
 from tidewire.storage import Scratch
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(id, ord)``, ``edges(a, b)`` -> ``(id, leader)``.
 
     A round settles every node whose earlier neighbours are settled: none of them a leader makes it one; any
-    leader among them makes it a member at once. Assignment waits for the end, as an undecided earlier
-    neighbour may still turn into a better leader. What long chains leave after ``max_rounds`` is replayed
-    per component.
+    leader among them makes it a member at once. The first open node of a component always settles, so rounds go on
+    until nothing is open; each works on what is still open. Assignment waits for the end, as an undecided earlier
+    neighbour may still turn into a better leader.
     """
     scratch = Scratch(nodes.sparkSession, "leaders")
     ord_ = nodes.select("id", "ord")
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
     oa, ob = ord_.select(F.col("id").alias("a"), F.col("ord").alias("oa")), ord_.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-    earlier = scratch.put(both.join(oa, "a").join(ob, "b").where("ob < oa").select("a", "b", "ob"))  # b comes before a
-    linked = earlier.select("a").distinct().withColumnRenamed("a", "id")
-    state = scratch.put(nodes.select("id").join(linked, "id", "left").select("id").join(linked.withColumn("has", F.lit(True)), "id", "left").select("id", F.when(F.col("has"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("leader")))
-    for _ in range(max_rounds):
-        open_ = state.where("leader is null")
-        if open_.isEmpty():
+    earlier = scratch.put(both.join(oa, "a").join(ob, "b").where("ob < oa").select("a", "b", "ob"), narrow=True)  # b comes before a
+    linked = scratch.put(earlier.select("a").distinct().withColumnRenamed("a", "id"), narrow=True)
+    leads, open_ = [nodes.select("id").join(linked, "id", "left_anti")], earlier.select("a", "b")
+    known = scratch.put(leads[0].select(F.col("id").alias("b"), F.lit(True).alias("leads")), narrow=True)
+    while True:
+        # what the settled say about the open: a leader before it, or nobody left before it
+        seen = open_.join(known, "b", "left")
+        verdict = seen.groupBy("a").agg(F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
+        done = scratch.put(verdict.where("led or open = 0").select(F.col("a").alias("b"), (~F.col("led")).alias("leads")), narrow=True)
+        if done.isEmpty():
             break
-        seen = earlier.join(state.select(F.col("id").alias("b"), F.col("leader").alias("lb")), "b").join(open_.select(F.col("id").alias("a")), "a", "left_semi")
-        verdict = seen.groupBy("a").agg(F.max(F.coalesce(F.col("lb"), F.lit(False))).alias("any"), F.count_if(F.col("lb").isNull()).alias("open")).select(F.col("a").alias("id"), F.when(F.col("any"), False).when(F.col("open") == 0, True).alias("v"))
-        state = scratch.put(state.join(verdict, "id", "left").select("id", F.coalesce("leader", "v").alias("leader")))
-    if not state.where("leader is null").isEmpty():
-        state = scratch.put(_replay(state, earlier, ord_))
-    heads = state.where("leader").select(F.col("id").alias("b"))
-    joined = earlier.join(heads, "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("first"))
-    return state.join(joined, "id", "left").select("id", F.when(F.col("leader"), F.col("id")).otherwise(F.col("first")).alias("leader"))
-
-
-def _replay(state: DataFrame, earlier: DataFrame, ord_: DataFrame) -> DataFrame:
-    """Settle the undecided nodes of each component in order."""
-    open_ = state.where("leader is null").select("id")
-    within = earlier.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
-    part = connected_components(within.select("a", "b"))
-    led = earlier.join(state.where("leader").select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct().withColumn("led", F.lit(True))
-    rows = open_.join(led, "id", "left").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(ord_, "id").join(within.groupBy("a").agg(F.collect_list("b").alias("before")).withColumnRenamed("a", "id"), "id", "left")
-
-    def replay(g):
-        heads: set = set()
-        for i, before, led in g.sort_values("ord")[["id", "before", "led"]].itertuples(index=False):
-            if not led and (before is None or not any(x in heads for x in before)):
-                heads.add(i)
-        return g[["id"]].assign(leader=g["id"].isin(heads))
-
-    done = rows.select("component", "id", "ord", "before", F.coalesce("led", F.lit(False)).alias("led")).groupBy("component").applyInPandas(replay, f"id {state.schema['id'].dataType.simpleString()}, leader boolean")
-    return state.where("leader is not null").union(done)
+        leads.append(done.where("leads").select(F.col("b").alias("id")))
+        left = open_.join(done.select(F.col("b").alias("a")), "a", "left_anti")
+        # an edge from a settled member says nothing more
+        left = left.join(known.where("not leads").select("b"), "b", "left_anti")
+        open_, known = scratch.put(left, narrow=True), scratch.put(known.union(done), narrow=True)
+    heads = scratch.put(reduce(DataFrame.union, leads), narrow=True)
+    joined = earlier.join(heads.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("first"))
+    own = nodes.select("id").join(heads.withColumn("own", F.lit(True)), "id", "left").join(joined, "id", "left")
+    return own.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("first")).alias("leader"))
 
 
 def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4) -> DataFrame:
@@ -73,11 +59,12 @@ def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float =
     """
     words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
     often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(often, "w").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
+    ranked = words.hint("merge").join(often.hint("merge"), "w").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
     keep = ranked.where((F.col("n") >= least_shared) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * least_jaccard) + 1)).select("id", "w", "n")
-    pair = keep.select(F.col("id").alias("a"), "w", F.col("n").alias("na")).join(keep.select(F.col("id").alias("b"), "w", F.col("n").alias("nb")), "w")
+    pair = keep.select(F.col("id").alias("a"), "w", F.col("n").alias("na")).hint("merge").join(keep.select(F.col("id").alias("b"), "w", F.col("n").alias("nb")).hint("merge"), "w")
     pair = pair.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least_jaccard * F.greatest("na", "nb"))).select("a", "b").distinct()
-    full = pair.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    one, other = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    full = pair.hint("merge").join(one.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     return full.withColumn("both", both).where((F.col("both") >= least_shared) & (F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")) >= least_jaccard)).select("a", "b")
 
@@ -101,16 +88,26 @@ def same_raise_pairs(rounds: DataFrame, days: float = 45.0, least_shared: int =
     """Reports of one raise: equal whole amounts, two distinctive words in common, close in time."""
     w = rounds.select("link", "published_at", F.floor(F.col("amount_m") + 0.5).alias("amount"), F.explode(text.distinctive_words(F.col("title"))).alias("w"))
     a, b = w.select(F.col("link").alias("a"), F.col("published_at").alias("ta"), "amount", "w"), w.select(F.col("link").alias("b"), F.col("published_at").alias("tb"), "amount", "w")
-    near = a.join(b, ["amount", "w"]).where((F.col("a") < F.col("b")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days))
+    near = a.hint("merge").join(b.hint("merge"), ["amount", "w"]).where((F.col("a") < F.col("b")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days))
     return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared).select("a", "b")
 
 
 def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame:
-    """Reports of one company's round: amounts within a factor of two, close in time; undated ones never match."""
-    day = F.floor(F.unix_micros("published_at") / (days * 86400e6))  # near rounds lie in the same or the next span
-    side = lambda x, spans: rounds.where(F.col("slug").isNotNull()).select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("amount_m").alias(f"m{x}"), "slug", spans.alias("span"))
+    """Reports of one company's round: amounts within a factor of two, close in time; undated ones never match.
+
+    Near rounds lie in the same or neighbouring spans of time and powers of two, so a busy company is compared within
+    these.
+    """
+    day = F.floor(F.unix_micros("published_at") / (days * 86400e6))
+    power = F.floor(F.log2("amount_m"))
+
+    def side(x: str, key: Column) -> DataFrame:
+        own = rounds.where(F.col("slug").isNotNull() & (F.col("amount_m") > 0) & F.col("published_at").isNotNull())
+        return own.select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("amount_m").alias(f"m{x}"), "slug", key.alias("cell"))
+
+    near = F.explode(F.flatten(F.array(*[F.array(*[F.struct((day + i).alias("d"), (power + j).alias("p")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
     apart = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) / 86400e6
-    pair = side("a", day).join(side("b", F.explode(F.array(day - 1, day, day + 1))), ["slug", "span"])
+    pair = side("a", F.struct(day.alias("d"), power.alias("p"))).hint("merge").join(side("b", near).hint("merge"), ["slug", "cell"])
     return pair.where((F.col("a") < F.col("b")) & text.same_round(F.col("ma"), F.col("mb")) & (apart <= days)).select("a", "b")
 
 
@@ -118,11 +115,33 @@ def same_deal_pairs(deals: DataFrame, days: float = 180.0) -> DataFrame:
     """Reports of one deal: the same acquirer, and the same target, or a similar one close in time."""
     keys = F.array_distinct(F.concat(F.filter(F.split(text.party_form(F.col("acquirer")), " "), lambda x: F.length(x) >= 3), F.array(text.party_form(F.col("acquirer")))))
     side = lambda x: deals.select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("acquirer").alias(f"q{x}"), F.col("target").alias(f"g{x}"), F.explode(keys).alias("k"))
-    pair = side("a").join(side("b"), "k").where(F.col("a") < F.col("b")).dropDuplicates(["a", "b"])
+    pair = side("a").hint("merge").join(side("b").hint("merge"), "k").where(F.col("a") < F.col("b")).dropDuplicates(["a", "b"])
     same = text.same_party(F.col("qa"), F.col("qb")) & (text.same_party(F.col("ga"), F.col("gb")) | (text.same_target(F.col("ga"), F.col("gb")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days)))
     return pair.where(same).select("a", "b")
 
 
+def same_identity_pairs(deals: DataFrame) -> DataFrame:
+    """Deals of one resolved acquirer whose targets are the same party, of which one at least is no known company.
+
+    Targets meet on what any two names of one party share: a name of four characters or more that lies in another
+    begins with four characters the other holds somewhere; shorter ones are equal; a consortium is its sorted parties.
+    """
+    form = text.party_form(F.col("target"))
+    at = deals.where(F.col("acquirer_slug").isNotNull()).select("link", "acquirer_slug", "target_slug", "target", form.alias("f"), F.array_join(text.party_set(F.col("target")), "|").alias("set")).where("f <> ''")
+    whole = F.array(F.concat(F.lit("="), F.col("f")), F.concat(F.lit("&"), F.col("set")))
+    none = F.array().cast("array<string>")
+    grams = F.when(F.length("f") >= 4, F.transform(F.sequence(F.lit(1), F.length("f") - 3), lambda i: F.substring(F.col("f"), i, F.lit(4)))).otherwise(none)
+    begin = F.when(F.length("f") >= 4, F.array(F.substring("f", 1, 4))).otherwise(none)
+
+    def side(x: str, keys: Column) -> DataFrame:
+        return at.select("acquirer_slug", F.explode(F.array_distinct(F.concat(whole, keys))).alias("k"), F.col("link").alias(x), F.col("target_slug").alias(f"s{x}"), F.col("target").alias(f"g{x}"))
+
+    pair = side("a", begin).hint("merge").join(side("b", grams).hint("merge"), ["acquirer_slug", "k"])
+    pair = pair.where((F.col("a") != F.col("b")) & (F.col("sa").isNull() | F.col("sb").isNull()))
+    pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ga", "gb").dropDuplicates(["a", "b"])
+    return pair.where(text.same_party(F.col("ga"), F.col("gb"))).select("a", "b")
+
+
 def merge_evidence(reports: DataFrame, cluster: str = "leader") -> DataFrame:
     """One row per cluster in visit order ``ord``: other outlets, first named stage and lead, first price and its source."""
     first = lambda c: F.min(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct("ord", c)))[c].alias(c)

@@ -119,6 +119,28 @@ def calendar_spine(rounds: DataFrame) -> DataFrame:
     return months.hint("shuffle_hash").join(made, "period", "left").select("period", F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("total_m", F.lit(0.0)).alias("total_m"))
 
 
+def calendar_grid(rounds: DataFrame, grain: str = "month") -> DataFrame:
+    """Every month or quarter of the years covered, with ``state``: data, gap, or outside the first and last period."""
+    step = {"month": "interval 1 month", "quarter": "interval 3 months"}[grain]
+    ends = rounds.agg(F.min("published_at").alias("a"), F.max("published_at").alias("b")).where(F.col("a").isNotNull())
+    days = F.sequence(F.trunc("a", "year"), F.to_date(F.make_date(F.year("b"), F.lit(12), F.lit(31))), F.expr(step))
+    key = dates.KEYS[grain]
+    cells = ends.select(key(F.col("a")).alias("first"), key(F.col("b")).alias("last"), F.explode(days).alias("d")).select("first", "last", key(F.col("d")).alias("period"))
+    made = period_rollup(rounds, grain).select("period", "rounds", "total_m")
+    state = F.when(~F.col("period").between(F.col("first"), F.col("last")), "outside").when(F.col("rounds").isNull(), "gap").otherwise("data")
+    return cells.hint("shuffle_hash").join(made, "period", "left").select("period", state.alias("state"), F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("total_m", F.lit(0.0)).alias("total_m"))
+
+
+def split_by_period(rounds: DataFrame, grain: str, as_of: Column, least: int, periods: int = 2) -> DataFrame:
+    """The periods with ``least`` rounds, where there are ``periods`` of them, and why one is not whole: it holds
+    ``as_of`` (open), or begins before the first round (truncated)."""
+    made = period_rollup(rounds, grain, as_of, least)
+    bounds = rounds.agg(F.min("published_at").alias("first"))  # one row
+    full = made.join(F.broadcast(bounds), F.lit(True)).join(F.broadcast(made.agg(F.count(F.lit(1)).alias("k"))), F.col("k") >= periods)
+    why = F.when(F.col("open"), "open").when(dates.is_truncated(F.col("period"), F.col("first")), "truncated").otherwise("")
+    return full.select("period", "rounds", "total_m", "median_m", "largest_m", why.alias("partial"))
+
+
 def group_rollup(members: DataFrame, stories: DataFrame, rounds: DataFrame, group: str, floor_companies: int = 1, floor_stories: int = 1) -> DataFrame:
     """Companies, distinct stories, rounds, capital and largest round of each market or sector.
 

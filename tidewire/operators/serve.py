@@ -110,12 +110,29 @@ def url_table(pages: dict[str, tuple[DataFrame, str, float, str]]) -> DataFrame:
 
 
 def upsert_store(stored: DataFrame, incoming: DataFrame, run_at: Column) -> DataFrame:
-    """New links added with ``first_seen``, known ones refreshed; rows that were there before keep theirs, unset too."""
-    cols = [c for c in incoming.columns if c not in ("link", "first_seen")]
-    old = stored.select("link", F.lit(True).alias("__old"), F.col("first_seen").alias("__seen"), *[F.col(c).alias(f"__{c}") for c in cols])
-    new = incoming.select("link", F.lit(True).alias("__new"), *cols)
-    both = new.join(old, "link", "full_outer")
-    return both.select("link", *[F.when(F.col("__new"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in cols], F.when(F.col("__old"), F.col("__seen")).otherwise(run_at).alias("first_seen"))
+    """New links added with ``first_seen``, known ones refreshed; rows that were there before keep theirs, unset too.
+
+    Columns that only the store has, other writers' work, are carried through (null for new links); columns that
+    only ``incoming`` has are new to the store.
+    """
+    fresh = [c for c in incoming.columns if c not in ("link", "first_seen")]
+    kept = [c for c in stored.columns if c not in ("link", "first_seen", *fresh)]
+    shared = [c for c in fresh if c in stored.columns]
+    old = stored.select("link", F.lit(True).alias("__old"), F.col("first_seen").alias("__seen"), *[F.col(c).alias(f"__{c}") for c in (*shared, *kept)])
+    both = incoming.select("link", F.lit(True).alias("__new"), *fresh).join(old, "link", "full_outer")
+    now = [F.when(F.col("__new"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) if c in shared else F.col(c) for c in fresh]
+    seen = F.when(F.col("__old"), F.col("__seen")).otherwise(run_at).alias("first_seen")
+    return both.select("link", *now, *[F.col(f"__{c}").alias(c) for c in kept], seen)
+
+
+def append_verdicts(facts: DataFrame, verdicts: DataFrame, key: str = "link") -> DataFrame:
+    """The cache of verdicts with new ones: the higher version of a key stays, of equal ones the new. Negative
+    verdicts are rows too, so nothing is asked twice."""
+    new = verdicts.withColumn("__new", F.lit(1))
+    both = facts.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    best = both.groupBy(key).agg(F.max(F.struct("pv", "__new")).alias("__b"))
+    joined = both.join(best, key).where((F.col("pv") == F.col("__b.pv")) & (F.col("__new") == F.col("__b.__new")))
+    return joined.dropDuplicates([key]).drop("__b", "__new")
 
 
 def prune(cache: DataFrame, live: DataFrame, key: str = "link") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, rules
+from tidewire.operators.ranges import running
+from tidewire.storage import Scratch
 
 
 def prominence(articles: DataFrame, neighbours: DataFrame, as_of: Column, id_col: str = "link") -> DataFrame:
@@ -103,6 +105,30 @@ def digest(articles: DataFrame) -> DataFrame:
     return base.unionByName(articles.select(F.explode("tags").alias("t")).groupBy(F.concat(F.lit("label:"), F.col("t")).alias("measure")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def batch_digest(articles: DataFrame, rounds: DataFrame, themes: int = 8, covered: int = 6, samples: int = 14) -> DataFrame:
+    """What a brief's writer is shown of a window, in long form ``(part, ord, name, value)``: its counts, the labels
+    of most stories without the fallback, the disclosed capital, the threads that most outlets cover (two at
+    least), and the best story of each of the best threads."""
+    rows = lambda df, part, name, value, order: df.select(F.lit(part).alias("part"), order.cast("int").alias("ord"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("__one").orderBy(*order))
+    counts = rows(digest(articles).where("measure in ('stories', 'outlets')"), "counts", F.col("measure"), F.col("n"), F.lit(0))
+    labels_ = articles.select(F.explode(F.array_distinct("tags")).alias("tag")).where(F.col("tag") != rules.FALLBACK_TAG).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    labels_ = labels_.orderBy(F.col("n").desc(), "tag").limit(themes).withColumn("__one", F.lit(1))
+    money = rounds.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(F.col("amount_m").cast("decimal(18,6)")), F.lit(0)).cast("double").alias("v")).where("k > 0")
+    heads = fold_threads(articles)
+    most = heads.where("outlets >= 2").orderBy(F.col("outlets").desc(), F.col("score").desc(), "pos").limit(covered).withColumn("__one", F.lit(1))
+    best = heads.orderBy(F.col("score").desc(), "pos").limit(samples).withColumn("__one", F.lit(1))
+    parts = [
+        rows(labels_, "theme", F.col("tag"), F.col("n"), place(F.col("n").desc(), "tag")),
+        rows(money, "funding", F.col("k"), F.col("v"), F.lit(0)),
+        rows(most, "covered", F.col("head"), F.col("outlets"), place(F.col("outlets").desc(), F.col("score").desc(), "pos")),
+        rows(best, "sample", F.col("head"), F.col("score"), place(F.col("score").desc(), "pos")),
+    ]
+    for p in parts:
+        counts = counts.unionByName(p)
+    return counts
+
+
 def prominent_labels(articles: DataFrame, least: int = 3, share: float = 0.08) -> DataFrame:
     """Labels of at least ``max(least, share of all stories)`` stories, most frequent first."""
     n = articles.agg(F.count(F.lit(1)).alias("all"))
@@ -111,10 +137,10 @@ def prominent_labels(articles: DataFrame, least: int = 3, share: float = 0.08) -
 
 
 def number_threads(articles: DataFrame, thread: str = "thread", pos: str = "pos") -> DataFrame:
-    """``thread_no``: threads of one batch of the wire numbered from 1 by the place of their first story."""
+    """``thread_no``: threads numbered from 1 by the place of their first story, range by range."""
     first = articles.groupBy(thread).agg(F.min(pos).alias("__first"))
-    numbered = first.withColumn("thread_no", F.dense_rank().over(Window.orderBy("__first", thread))).drop("__first")
-    return articles.join(numbered, thread)
+    numbered = running(first, [F.col("__first"), F.col(thread)], [], Scratch(articles.sparkSession, "threads"), "thread_no")
+    return articles.join(numbered.select(thread, F.col("thread_no").cast("int").alias("thread_no")), thread)
 
 
 def pin_lead(heads: DataFrame, lead: DataFrame, members: DataFrame) -> DataFrame:

@@ -126,12 +126,12 @@ def funding_summary(spark, d):
 
 @query(
     with_views("rounds")
-    + f""", x AS (SELECT * FROM rounds WHERE amount_m >= 495), m AS (SELECT strftime(published_at, '%Y-%m') AS period, count(*) AS rounds, {TOTAL} AS total_m FROM x GROUP BY 1),
-    s AS (SELECT strftime(unnest(generate_series((SELECT date_trunc('month', min(published_at)) FROM x), (SELECT date_trunc('month', max(published_at)) FROM x), INTERVAL 1 MONTH)), '%Y-%m') AS period)
+    + f""", m AS (SELECT strftime(published_at, '%Y-%m') AS period, count(*) AS rounds, {TOTAL} AS total_m FROM rounds GROUP BY 1),
+    s AS (SELECT strftime(unnest(generate_series((SELECT date_trunc('month', min(published_at)) FROM rounds), (SELECT date_trunc('month', max(published_at)) FROM rounds), INTERVAL 1 MONTH)), '%Y-%m') AS period)
     SELECT s.period, coalesce(rounds, 0) AS rounds, coalesce(total_m, 0.0) AS total_m FROM s LEFT JOIN m ON s.period = m.period"""
 )
 def calendar_spine(spark, d):
-    return rollups.calendar_spine(views.rounds(spark, d).where("amount_m >= 495"))
+    return rollups.calendar_spine(views.rounds(spark, d))
 
 
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, concat(year(o_orderdate), '-q', quarter(o_orderdate)) AS quarter, strftime(o_orderdate, '%B %Y') AS month_label, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_start, concat('Q', quarter(o_orderdate), ' ', year(o_orderdate)) AS quarter_label, date_trunc('month', o_orderdate) = TIMESTAMP '1998-08-01' AS open FROM orders")
@@ -232,10 +232,10 @@ def company_deals(spark, d):
     return rollups.deal_sides(views.deals(spark, d)).groupBy("party", "side").agg(F.count(F.lit(1)).alias("deals"), F.count("amount_m").alias("priced"), rollups.total(F.col("amount_m")).alias("disclosed_m"))
 
 
-@query(with_views("deals") + " SELECT strftime(published_at, '%Y-%m-%d') AS date, acquirer, target, CASE WHEN amount_m > 0 THEN floor(amount_m * 1000 + 0.5) / 1000 END AS amount_usd_m, CASE WHEN amount_m > 0 THEN 'USD' END AS currency, CASE WHEN amount_m > 0 THEN 'yes' ELSE 'no' END AS price_disclosed, CAST(link AS VARCHAR) AS url FROM deals")
+@query(with_views("deals") + " SELECT strftime(published_at, '%Y-%m-%d') AS date, acquirer, '' AS acquirer_slug, target, lower(target) AS target_slug, '''=Holdings' AS seller, 'Acquisition' AS type, CASE WHEN amount_m > 0 THEN floor(amount_m * 1000 + 0.5) / 1000 END AS amount_usd_m, CASE WHEN amount_m > 0 THEN 'USD' END AS currency, CASE WHEN amount_m > 0 THEN 'yes' ELSE 'no' END AS price_disclosed, concat(acquirer, ' acquires ', target) AS headline, source, CAST(link AS VARCHAR) AS url, concat(source, '; Other') AS also_reported_by FROM deals")
 def ma_export(spark, d):
-    full = views.deals(spark, d).select("*", F.lit(None).cast("string").alias("acquirer_slug"), F.lit(None).cast("string").alias("target_slug"), F.lit("").alias("seller"), F.lit("Acquisition").alias("type"), F.lit("USD").alias("currency"), F.concat_ws(" acquires ", "acquirer", "target").alias("title"), F.array("source").alias("also_reported_by"))
-    return serve.deals_export(full).select("date", "acquirer", "target", "amount_usd_m", "currency", "price_disclosed", "url")
+    full = views.deals(spark, d).select("*", F.lit(None).cast("string").alias("acquirer_slug"), F.lower("target").alias("target_slug"), F.lit("=Holdings").alias("seller"), F.lit("Acquisition").alias("type"), F.lit("USD").alias("currency"), F.concat_ws(" acquires ", "acquirer", "target").alias("title"), F.array(F.col("source"), F.lit("Other")).alias("also_reported_by"))
+    return serve.deals_export(full)
 
 
 def _export(spark, d):
@@ -332,7 +332,13 @@ def similar_headlines(spark, d):
     return _pairs(spark, d)
 
 
-@query()
+@query(
+    _SETS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, k AS (SELECT link AS id, CASE WHEN len(words) >= 2 THEN array_to_string(words, ' ') ELSE concat('=', link) END AS key FROM articles JOIN w ON w.id = link), h AS (SELECT key, max(id) AS head, min(id) AS low FROM k GROUP BY key),
+    nb AS (SELECT a.head AS a, b.head AS b FROM pairs JOIN h a ON pairs.a = a.low JOIN h b ON pairs.b = b.low), nn AS (SELECT a, b FROM nb UNION SELECT b, a FROM nb), n AS (SELECT head, coalesce(list(b) FILTER (WHERE b IS NOT NULL), []) AS near, row_number() OVER (ORDER BY head DESC) AS i FROM h LEFT JOIN nn ON nn.a = head GROUP BY head),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, [] :: BIGINT[] AS leaders, NULL :: BIGINT AS head, NULL :: BIGINT AS leader UNION ALL SELECT i, CASE WHEN hit IS NULL THEN list_append(leaders, head) ELSE leaders END, head, coalesce(hit, head) FROM (SELECT n.i, n.head, g.leaders, list_filter(g.leaders, lambda x: list_contains(n.near, x))[1] AS hit FROM g JOIN n ON n.i = g.i + 1))
+    SELECT k.id AS link, g.leader AS thread FROM k JOIN h USING (key) JOIN g ON g.head = h.head"""
+)
 def threads(spark, d):
     return dedupe.threads(views.articles(spark, d), [-F.unix_micros("published_at")])
 
@@ -501,12 +507,6 @@ def same_round_pairs(spark, d):
     return dedupe.same_company_round_pairs(views.rounds(spark, d))
 
 
-@query()
-def same_round_clusters(spark, d):
-    r = views.rounds(spark, d)
-    return deal_ops.newest_first(r, dedupe.same_company_round_pairs(r)).select("link", "leader")
-
-
 @query("SELECT o_orderkey AS link, concat('co-', o_custkey) AS slug FROM orders WHERE o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 3 = 2")
 def attach_company(spark, d):
     """Raisers matched to mentioned companies; one that fits none leaves the round open."""
@@ -594,3 +594,6 @@ def relative_times(spark, d):
 def local_days(spark, d):
     day = dates.local_date(F.col("ts").cast("timestamp")).cast("string")
     return table(spark, d, "events").select("event_id", day.alias("day"), dates.mailable(day).alias("mailable"))
+
+
+from tidewire.plans import page_queries  # noqa: E402, F401  registers more

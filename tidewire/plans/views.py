@@ -31,15 +31,15 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deals(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of orders as deals: customer buys supplier, price unknown for returned ones."""
-    li, o = table(spark, d, "lineitem").where("l_linenumber = 1"), table(spark, d, "orders")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("link"), F.concat(F.lit("C"), F.col("o_custkey")).alias("acquirer"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("target"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") / 1000).alias("amount_m"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.concat(F.lit("desk"), (F.col("l_orderkey") % 5).cast("string")).alias("source"))
+    """Lines of orders as deals: customer buys supplier, price unknown for returned ones."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("link"), F.concat(F.lit("C"), F.col("o_custkey")).alias("acquirer"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("target"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") / 1000).alias("amount_m"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.concat(F.lit("desk"), (F.col("l_orderkey") % 5).cast("string")).alias("source"))
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Documents as articles: first line = title, one hour apart."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("link"), F.substring(F.element_at(F.split(t, "\n", 2), 1), 1, 200).alias("title"), "source", "lang", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("published_at"), F.col("doc_id").alias("pos"), "n_chars")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("link"), F.element_at(F.split(t, "\n", 2), 1).alias("title"), "source", "lang", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("published_at"), F.col("doc_id").alias("pos"), "n_chars")
 
 
 SQL = {
@@ -47,8 +47,8 @@ SQL = {
     "companies": "companies AS (SELECT CAST(c_custkey AS VARCHAR) AS slug, c_name AS name, n_name AS market, r_name AS region, c_mktsegment AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "stories": "stories AS (SELECT CAST(o_custkey AS VARCHAR) AS slug, o_orderkey AS link FROM orders)",
     "mentions": "mentions AS (SELECT l_suppkey AS slug, l_orderkey AS link, l_partkey AS part FROM lineitem)",
-    "deals": "deals AS (SELECT l_orderkey AS link, concat('C', o_custkey) AS acquirer, concat('S', l_suppkey) AS target, CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1000 END AS amount_m, o_orderdate AS published_at, concat('desk', l_orderkey % 5) AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)",
-    "articles": "articles AS (SELECT doc_id AS link, left(split_part(coalesce(text, ''), chr(10), 1), 200) AS title, source, lang, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published_at, doc_id AS pos, n_chars FROM documents)",
+    "deals": "deals AS (SELECT l_orderkey * 100 + l_linenumber AS link, concat('C', o_custkey) AS acquirer, concat('S', l_suppkey) AS target, CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1000 END AS amount_m, o_orderdate AS published_at, concat('desk', l_orderkey % 5) AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "articles": "articles AS (SELECT doc_id AS link, split_part(coalesce(text, ''), chr(10), 1) AS title, source, lang, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published_at, doc_id AS pos, n_chars FROM documents)",
 }
 
 
