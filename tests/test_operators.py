@@ -39,7 +39,7 @@ def test_greedy_leaders(spark, shape):
         "empty": [],
     }[shape]
     nodes = spark.createDataFrame([(i, i) for i in range(n)], "id int, ord int")
-    got = dedupe.greedy_leaders(nodes, spark.createDataFrame(edges, "a int, b int"), max_rounds=6)
+    got = dedupe.greedy_leaders(nodes, spark.createDataFrame(edges, "a int, b int"))
     assert {r["id"]: r["leader"] for r in got.collect()} == sequential(n, edges)
 
 
