@@ -1,10 +1,11 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or abstain on every text. Expectation-maximisation over the
-counts of vote patterns (at most 3**8, whatever the corpus size) estimates the class prior and how often
-each labeller says what in each class; the posterior of a pattern is a soft label. Soft labels of a bounded
-sample train a linear scorer over hashed byte n-grams (log odds per bucket, then scale and intercept by
-logistic regression), which scores every text.
+counts of vote patterns (at most 3**8, whatever the corpus size) estimates the class prior, how often each labeller
+says what in each class, and the rate of false alarms that all labellers share; the posterior of a pattern is a
+soft label. Soft labels of a bounded sample train a linear scorer over hashed byte n-grams: log odds per bucket as
+a start, then logistic regression on the soft labels in every part of the sample, the parts' weights averaged.
+The scorer scores every text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidewire.llm.hashing import chunks
 from tidewire.storage import Scratch, table
 
 BUCKETS = 1 << 15
+#: Bytes of text that a worker looks at together, a step of the training too.
+_CHUNK = 300_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("capitals", "exclamations", "symbols", "digits", "word_length", "length", "sentences", "repeats")
 
@@ -80,36 +83,40 @@ def _pattern(votes: np.ndarray) -> np.ndarray:
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(3 ** len(LABELLERS), np.int64)
     for b in batches:
-        for _, data, off in chunks(b, "text"):
+        for _, data, off in chunks(b, "text", _CHUNK):
             total += np.bincount(_pattern(_votes(data, off)), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_bad: float = 0.002, strength: float = 10.0) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, strength: float = 1000.0) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns: (P(good), P(vote | class) as labeller x class x vote, P(good | pattern)).
 
     It starts from the share of good votes, a bad one counting twice; an abstention is a third vote, as some
-    labellers only ever call a text bad. A prior of ``strength`` times the data says that a good
-    text seldom (``false_bad``) gets a bad vote from any one labeller; without it the two classes may be
-    spent on telling one kind of bad text from all others. Without rows the prior is one half.
+    labellers only ever call a text bad. Everything is estimated from the counts. A labeller's rate of bad votes on
+    good texts is drawn to the mean rate of all labellers, by a prior of ``strength`` times the data: with rates of
+    their own, EM spends its two classes on telling one kind of bad text from all others. Without rows the prior
+    is one half and the rates are even.
     """
     k = len(LABELLERS)
+    if not counts.sum():
+        return 0.5, np.full((k, 2, 3), 1 / 3), np.full(len(patterns), 0.5)
     votes = (patterns[:, None] // 3 ** np.arange(k)) % 3
     post = (1 + (votes == GOOD).sum(axis=1)) / (2 + (votes == GOOD).sum(axis=1) + 2 * (votes == BAD).sum(axis=1))
-    prior, table_ = 0.5, np.full((k, 2, 3), 0.5)
+    prior, table_ = 0.5, np.full((k, 2, 3), 1 / 3)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])
         prior = float((weight[1].sum() + 1) / (counts.sum() + 2))
         for v in (ABSTAIN, BAD, GOOD):
             table_[:, :, v] = np.stack([(weight[c][:, None] * (votes == v)).sum(axis=0) + 1.0 for c in (0, 1)], axis=1)
         table_ /= table_.sum(axis=2, keepdims=True)
-        bad = (table_[:, 1, BAD] * weight[1].sum() + false_bad * strength * counts.sum()) / (weight[1].sum() + strength * counts.sum())
+        shared = table_[:, 1, BAD].mean()
+        bad = (table_[:, 1, BAD] * weight[1].sum() + shared * strength * counts.sum()) / (weight[1].sum() + strength * counts.sum())
         table_[:, 1, [ABSTAIN, GOOD]] *= ((1 - bad) / (1 - table_[:, 1, BAD]))[:, None]
         table_[:, 1, BAD] = bad
         logs = [np.log(p) + sum(np.log(table_[j, c, votes[:, j]]) for j in range(k)) for c, p in ((0, 1 - prior), (1, prior))]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if len(new) == 0 or np.abs(new - post).max() < 1e-9:
+        if np.abs(new - post).max() < 1e-9:
             break
         post = new
     return prior, table_, post
@@ -126,11 +133,13 @@ def _buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code[ok].astype(np.int64), text[ok]
 
 
-def _train(shared):
+def _odds(shared):
+    """The soft-labelled n-gram shares of both classes, for log odds per bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         soft, total = shared.value, np.zeros((2, BUCKETS))
         for b in batches:
-            for _, data, off in chunks(b, "text"):
+            for _, data, off in chunks(b, "text", _CHUNK):
                 p = soft[_pattern(_votes(data, off))]
                 code, text = _buckets(data, off)
                 share = 1 / np.maximum(np.bincount(text, minlength=len(p)), 1)
@@ -141,17 +150,57 @@ def _train(shared):
     return run
 
 
+def descend(weights: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int, rate: float) -> np.ndarray:
+    """Logistic regression on soft labels from ``weights`` on, by AdaGrad over groups ``(bucket, text, label)``.
+
+    A text's features are the shares of its n-grams; a bias is the last weight. The scale of the start is fitted
+    first, as log odds of shares are far from a margin's size.
+    """
+    w = np.append(weights, 0.0)
+    shares = [1 / np.maximum(np.bincount(text, minlength=len(y)), 1) for _, text, y in groups]
+    margin = lambda g, s: np.bincount(g[1], weights=w[g[0]], minlength=len(g[2])) * s + w[-1]
+    if groups:
+        scale, w[-1] = _calibrate(np.concatenate([margin(g, s) for g, s in zip(groups, shares, strict=True)]), np.concatenate([g[2] for g in groups]))
+        w[:-1] *= scale
+    seen = np.full(len(w), 1e-8)
+    for _ in range(epochs):
+        for g, s in zip(groups, shares, strict=True):
+            off = 1 / (1 + np.exp(-np.clip(margin(g, s), -30, 30))) - g[2]
+            grad = np.append(np.bincount(g[0], weights=(off * s)[g[1]], minlength=len(w) - 1), off.sum()) / max(len(off), 1)
+            seen += grad**2
+            w -= rate * grad / np.sqrt(seen)
+    return w
+
+
+def _train(shared, epochs: int, rate: float):
+    """The weights that one part of the sample leads to, and its number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, soft = shared.value
+        groups = []
+        for b in batches:
+            for _, data, off in chunks(b, "text", _CHUNK):
+                code, text = _buckets(data, off)
+                groups.append((code.astype(np.uint16), text.astype(np.int32), soft[_pattern(_votes(data, off))]))
+        n = sum(len(g[2]) for g in groups)
+        w = descend(weights, groups, epochs, rate)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "weights"])
+
+    return run
+
+
 def _apply(shared):
-    """Rows ``(id, margin, weak)``: the scorer's raw margin and the labellers' posterior."""
+    """Rows ``(id, grams, score, weak)``: the scorer's P(good) and the labellers' posterior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, soft = shared.value
         for b in batches:
-            for part, data, off in chunks(b, "text"):
+            for part, data, off in chunks(b, "text", _CHUNK):
                 code, text = _buckets(data, off)
                 n = np.bincount(text, minlength=part.num_rows)
-                margin = np.bincount(text, weights=weights[code], minlength=part.num_rows) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(margin), pa.array(soft[_pattern(_votes(data, off))])], names=["id", "margin", "weak"])
+                margin = np.bincount(text, weights=weights[code], minlength=part.num_rows) / np.maximum(n, 1) + weights[-1]
+                made = [pa.array(1 / (1 + np.exp(-np.clip(margin, -700, 700)))), pa.array(soft[_pattern(_votes(data, off))])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *made], names=["id", "grams", "score", "weak"])
 
     return run
 
@@ -172,12 +221,14 @@ def _calibrate(margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple
     return float(w[0] / spread), float(w[1])
 
 
-def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
+def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text", threshold: float = 0.5, sample_rows: int = 20_000, parts: int = 8, epochs: int = 5, rate: float = 0.3) -> DataFrame:
     """``(row_id, score, weak_label, kept)``, one row per row of ``df``.
 
     ``score`` is the scorer's P(good), ``weak_label`` the labellers' posterior, ``kept`` is score >=
-    ``threshold``. A null or empty text is bad (score 0). The labellers' accuracies come from all rows; the
-    scorer is fitted on about ``sample_rows`` rows, chosen by a hash of the text, so reruns agree.
+    ``threshold``. The labellers' accuracies come from all rows; the scorer is fitted on about ``sample_rows``
+    rows (twice that at most), chosen by a hash of id and text, so reruns agree. A null or empty text is bad (score
+    0); a text without a four-byte gram has its weak label as score. Rows with a null id are rows like others, equal
+    rows get equal scores, very long texts are read whole, one at a time; an empty table gives an empty one.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "quality")
     docs = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
@@ -189,18 +240,21 @@ def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     soft[patterns[order]] = post
 
     share = min(1.0, sample_rows / max(1, int(counts.sum())))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sums = sample.repartition(8, F.xxhash64("id", "text")).mapInArrow(_train(spark.sparkContext.broadcast(soft)), "label int, sums binary").collect()
+    key = F.xxhash64(F.lit(11), "id", "text")
+    picked = docs.where((F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & (F.length("text") > 0)).limit(2 * sample_rows)
+    sample = scratch.put(picked.select("text", key.alias("key")).repartition(parts, "key"))
+    sums = sample.select("text").mapInArrow(_odds(spark.sparkContext.broadcast(soft)), "label int, sums binary").collect()
     total = np.stack([sum((np.frombuffer(r["sums"]) for r in sums if r["label"] == c), np.zeros(BUCKETS)) for c in (0, 1)])
     total += 0.01 * total.sum() / total.size + 1e-9
-    weights = np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
+    start = np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
+    tuned = sample.select("text").repartition(parts).mapInArrow(_train(spark.sparkContext.broadcast((start, soft)), epochs, rate), "n long, weights binary").where("n > 0").collect()
+    tuned.sort(key=lambda r: (r["n"], r["weights"]))
+    weights = sum(r["n"] * np.frombuffer(r["weights"]) for r in tuned) / sum(r["n"] for r in tuned) if tuned else np.append(start, 0.0)
 
     shared = spark.sparkContext.broadcast((weights, soft))
-    kinds = f"id {docs.schema['id'].dataType.simpleString()}, margin double, weak double"
+    kinds = f"id {docs.schema['id'].dataType.simpleString()}, grams long, score double, weak double"
     scored = scratch.put(docs.mapInArrow(_apply(shared), kinds))
-    fit = scored.where(F.pmod(F.xxhash64("margin"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("margin", "weak").toPandas()
-    scale, shift = _calibrate(fit["margin"].to_numpy(), fit["weak"].to_numpy()) if len(fit) else (1.0, 0.0)
-    score = F.when((F.col("margin") == 0) & (F.col("weak") < 0.5), 0.0).otherwise(1 / (1 + F.exp(-(F.col("margin") * scale + shift))))
+    score = F.when(F.col("grams") > 0, F.col("score")).when(F.col("weak") < 0.5, 0.0).otherwise(F.col("weak"))
     return scored.select(F.col("id").alias(row_id), score.alias("score"), F.col("weak").alias("weak_label"), (score >= threshold).alias("kept"))
 
 
