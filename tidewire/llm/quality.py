@@ -190,7 +190,7 @@ def _train(shared, epochs: int, rate: float):
 
 
 def _apply(shared):
-    """Rows ``(id, grams, score, weak)``: the scorer's P(good) and the labellers' posterior."""
+    """Rows ``(id, size, grams, score, weak)``: bytes, n-grams, the scorer's P(good) and the labellers' posterior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, soft = shared.value
@@ -200,7 +200,8 @@ def _apply(shared):
                 n = np.bincount(text, minlength=part.num_rows)
                 margin = np.bincount(text, weights=weights[code], minlength=part.num_rows) / np.maximum(n, 1) + weights[-1]
                 made = [pa.array(1 / (1 + np.exp(-np.clip(margin, -700, 700)))), pa.array(soft[_pattern(_votes(data, off))])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *made], names=["id", "grams", "score", "weak"])
+                counts = [pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *counts, *made], names=["id", "size", "grams", "score", "weak"])
 
     return run
 
@@ -252,9 +253,9 @@ def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     weights = sum(r["n"] * np.frombuffer(r["weights"]) for r in tuned) / sum(r["n"] for r in tuned) if tuned else np.append(start, 0.0)
 
     shared = spark.sparkContext.broadcast((weights, soft))
-    kinds = f"id {docs.schema['id'].dataType.simpleString()}, grams long, score double, weak double"
+    kinds = f"id {docs.schema['id'].dataType.simpleString()}, size long, grams long, score double, weak double"
     scored = scratch.put(docs.mapInArrow(_apply(shared), kinds))
-    score = F.when(F.col("grams") > 0, F.col("score")).when(F.col("weak") < 0.5, 0.0).otherwise(F.col("weak"))
+    score = F.when(F.col("size") == 0, 0.0).when(F.col("grams") > 0, F.col("score")).otherwise(F.col("weak"))
     return scored.select(F.col("id").alias(row_id), score.alias("score"), F.col("weak").alias("weak_label"), (score >= threshold).alias("kept"))
 
 
