@@ -19,29 +19,49 @@ from tidewire.storage import Scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without letters or with an uncertain language go."""
+    """Documents whose language is identified; those without letters or with an uncertain language go.
+
+    Null and empty texts go; null declarations and ids are no hindrance; equal rows go or stay together; very long texts
+    are read whole; an empty table, or one without declared languages, keeps nothing; other columns pass as they are.
+    """
     return keep_identified(docs, table(spark, sf_dir, "pages"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id."""
+    """One document of each near-duplicate class: the one with the smallest id, null first.
+
+    A null, empty or wordless text is like no other and stays; of rows equal in id and text one stays; very long texts
+    are compared whole; an empty table stays empty; other columns pass as they are.
+    """
     return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages cut from texts; documents that are mostly benchmark go."""
+    """Benchmark passages cut from texts; documents that are mostly benchmark go.
+
+    Clean rows, null and empty texts among them, pass as they are, but for ``n_chars``, which counts the text that is
+    left (null for a null text); equal rows fare alike; an empty table stays empty; other columns pass as they are.
+    """
     cut = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: a row appears as often as the mix takes it."""
+    """Sources mixed to their targets: a row appears as often as the mix takes it, three times at most.
+
+    Null and empty texts have no words and are not taken; a null source is a source; equal rows are taken alike; an
+    empty table stays empty; other columns, whatever their names, pass as they are.
+    """
     mixed = mix_sources(docs)
     return mixed.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A uniform shuffle into 16 shards with counts at most one apart, and the slot in the shard."""
+    """A uniform shuffle into 16 shards with counts at most one apart, and the slot in the shard.
+
+    Nulls are values, equal rows stay separate rows, very long texts are rows like others; an empty table stays empty;
+    columns named shard and slot are replaced, others pass as they are.
+    """
     return shard_rows(docs, 16, identity=docs.columns)
 
 
