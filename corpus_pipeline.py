@@ -52,8 +52,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and are not taken; a null source is a source; equal rows are taken alike; an
     empty table stays empty; other columns, whatever their names, pass as they are.
     """
-    mixed = mix_sources(docs)
-    return mixed.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).select(*docs.columns)
+    own = {c: f"__doc_{c}" for c in ("size", "source_size", "target", "taken", "copies") if c in docs.columns}
+    mixed = mix_sources(docs.withColumnsRenamed(own)).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return mixed.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
