@@ -25,7 +25,7 @@ from tidewire.storage import Scratch, table
 def _valid(vector: str):
     c = F.col(vector)
     fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return c.isNotNull() & (F.size(c) > 0) & fine
+    return c.isNotNull() & fine
 
 
 def quantise(df: DataFrame, row_id: str, vector: str, scale: int) -> DataFrame:
@@ -53,7 +53,12 @@ def _top(key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
         near = np.flatnonzero(score >= bar)
     else:
         near = np.arange(len(score))
-    return near[np.lexsort((key[near], -score[near]))[:k]]
+    return near[np.lexsort((key[near], -score[near].astype(float) if score.dtype != np.int64 else ~score[near]))[:k]]
+
+
+def _floor(x: float) -> float:
+    """A little less than a sum of floats, by more than its rounding."""
+    return x - 1 - abs(x) * 1e-12
 
 
 def search_block(qkey, q, ckey, c, bar, k: int, step: int):
@@ -61,8 +66,8 @@ def search_block(qkey, q, ckey, c, bar, k: int, step: int):
     dims = max(q.shape[1], c.shape[1])
     pad = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
     q, c = pad(q), pad(c)
-    wide = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims
-    kind = np.float64 if wide < 2**53 else np.int64
+    wide = np.abs(q.astype(float)).max(initial=0) * np.abs(c.astype(float)).max(initial=0) * dims
+    kind = np.float64 if wide < 2**53 else np.int64 if wide < 2**63 else object
     q, c = q.astype(kind), np.asfortranarray(c.astype(kind))
     rest = lambda m: np.sqrt(np.cumsum((m.astype(float) ** 2)[:, ::-1], axis=1)[:, ::-1]) if dims else np.zeros((len(m), 0))
     mass_q, mass_c = rest(q), rest(c)
@@ -77,8 +82,8 @@ def search_block(qkey, q, ckey, c, bar, k: int, step: int):
         while d < dims and len(live) > k:
             bound = mass_q[i, d] * mass_c[live, d]
             # the k-th largest of what each candidate reaches at least is a bar too
-            low = max(low, np.partition(score - bound, len(live) - k)[len(live) - k] - 1) if d < 2 * step or low == -np.inf else low
-            stay = np.flatnonzero(score + bound * (1 + 1e-9) + 1 >= low)
+            low = max(low, _floor(np.partition((score - bound).astype(float), len(live) - k)[len(live) - k])) if d < 2 * step or low == -np.inf else low
+            stay = np.flatnonzero(score + bound * (1 + 1e-9) + np.abs(score).astype(float) * 1e-12 + 1 >= low)
             if len(stay) < len(live):
                 live, score = live[stay], score[stay]
             score = score + c[live, d : d + step] @ q[i, d : d + step]
@@ -86,14 +91,17 @@ def search_block(qkey, q, ckey, c, bar, k: int, step: int):
         while d < dims:
             score = score + c[live, d : d + step] @ q[i, d : d + step]
             d += step
+        if kind is object:
+            score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], np.int64)
         stay = np.flatnonzero(score >= low)
         best = stay[_top(ckey[live[stay]], score[stay], k)]
         out.append((np.full(len(best), qkey[i]), ckey[live[best]], score[best].astype(np.int64)))
     return [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))]
 
 
-def _search(shared, k: int, step: int, rows: int):
-    """A task's k best candidates for each query of the block; the bar rises as the task goes on."""
+def _search(shared, k: int, step: int, rows: int, block: int):
+    """A task's k best candidates for each query; the bar rises as the task goes on. ``block`` queries at a time
+    meet ``rows`` candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qkey, q, bar = shared.value
@@ -102,9 +110,10 @@ def _search(shared, k: int, step: int, rows: int):
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                got = search_block(qkey, q, part.column(0).to_numpy().astype(np.int64), _matrix(part, 1), bar, k, step)
-                best = [np.concatenate(x) for x in zip(best, got, strict=True)]
-                order = np.lexsort((best[1], -best[2], best[0]))
+                ckey, c = part.column(0).to_numpy().astype(np.int64), _matrix(part, 1)
+                got = [search_block(qkey[i : i + block], q[i : i + block], ckey, c, bar[i : i + block], k, step) for i in range(0, len(qkey), block)]
+                best = [np.concatenate(x) for x in zip(best, *got, strict=True)]
+                order = np.lexsort((best[1], ~best[2], best[0]))
                 best = [x[order] for x in best]
                 starts = np.flatnonzero(np.concatenate(([True], best[0][1:] != best[0][:-1]))) if len(order) else np.zeros(0, np.int64)
                 place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
@@ -117,30 +126,34 @@ def _search(shared, k: int, step: int, rows: int):
     return run
 
 
-def _load(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    width = max((len(r["v"]) for r in rows), default=0)
-    return np.array([r["id"] for r in rows], np.int64), np.array([[*r["v"], *[0] * (width - len(r["v"]))] for r in rows], np.int64).reshape(len(rows), width)
+def _load(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the matrix of a bounded table, by id."""
+    found = rows.select("id", "v").toArrow().sort_by("id").combine_chunks()
+    batches = found.to_batches()
+    if not batches:
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+    return batches[0].column(0).to_numpy().astype(np.int64), _matrix(batches[0], 1)
 
 
-def top_k(df: DataFrame, queries: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, query_rows: int = 2048, block_rows: int = 4096, sample_rows: int = 2048, step: int = 16) -> DataFrame:
+def top_k(df: DataFrame, queries: DataFrame, *, row_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, query_rows: int = 16_384, query_block: int = 2048, block_rows: int = 4096, sample_rows: int = 2048, step: int = 16) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` rows of largest integer inner product.
 
-    The query's own id is no candidate; ties go to the smaller id; vectors that are null, empty or hold a
-    null or non-finite component take no part, nor do rows without an id; a shorter vector counts as zero
-    beyond its end; equal ids are separate candidates but one query (the first by its vector). The queries
-    are taken in blocks of about ``query_rows``, each of which goes to all tasks (a block is the bound of
-    what is broadcast) and meets all candidates once; a task returns k rows a query at most.
+    The query's own id is no candidate; ties go to the smaller id; vectors that are null or hold a
+    null or non-finite component take no part, nor do rows without an id; a shorter vector, an empty one too, counts as
+    zero beyond its end; equal ids are separate candidates but one query (the first by its vector). A component beyond
+    64 bits counts as the last number within, and so does a score. Empty tables give an empty one; other columns are
+    not looked at. A job takes some ``query_rows`` queries (what goes to all tasks) against all candidates, in blocks
+    of ``query_block`` against ``block_rows``; a task returns k rows a query at most.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "topk")
     cand = scratch.put(quantise(df, row_id, vector, scale))
     first = F.row_number().over(Window.partitionBy("id").orderBy("v"))
     asked = scratch.put(quantise(queries, row_id, vector, scale).withColumn("n", first).where("n = 1").drop("n"))
-    n_blocks = max(1, -(-asked.count() // query_rows))
-    skey, sample = _load(cand.limit(sample_rows).collect())
+    jobs = max(1, -(-asked.count() // query_rows))
+    skey, sample = _load(cand.limit(sample_rows))
     found = []
-    for block in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id").collect()
-        qkey, q = _load(rows)
+    for job in range(jobs):
+        qkey, q = _load(asked.where(F.pmod(F.xxhash64("id"), F.lit(jobs)) == job))
         bar = np.full(len(qkey), -np.inf)
         for at in range(0, len(qkey), 64):
             got = search_block(qkey[at : at + 64], q[at : at + 64], skey, sample, bar[at : at + 64], k, step)
@@ -148,7 +161,7 @@ def top_k(df: DataFrame, queries: DataFrame, *, row_id: str = "vec_id", vector:
                 own = got[2][got[0] == qkey[i]]
                 bar[i] = own.min() if len(own) == k else -np.inf
         shared = spark.sparkContext.broadcast((qkey, q, bar))
-        found.append(scratch.put(cand.mapInArrow(_search(shared, k, step, block_rows), "query_id long, vec_id long, score long")))
+        found.append(scratch.put(cand.mapInArrow(_search(shared, k, step, block_rows, query_block), "query_id long, vec_id long, score long")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     merged = reduce(DataFrame.unionAll, found)
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
