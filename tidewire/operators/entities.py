@@ -160,7 +160,7 @@ def prefix_merges(slugs: DataFrame, exempt: list[str] | None = None, words: list
     parts = F.split("slug", "-")
     cuts = slugs.select("slug", F.explode(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))).alias("k")).where(~F.col("slug").isin(exempt or []))
     cuts = cuts.select("slug", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "-").alias("root"), F.slice(parts, F.col("k") + 1, F.size(parts)).alias("rest")).where(F.forall("rest", lambda w: w.isin(words)))
-    real = cuts.join(slugs.select(F.col("slug").alias("root")), "root")
+    real = cuts.hint("merge").join(slugs.select(F.col("slug").alias("root")).hint("merge"), "root")
     step = scratch.put(real.groupBy("slug").agg(F.max(F.struct("k", "root"))["root"].alias("root")))
     for _ in range(8):
         onward = step.select(F.col("slug").alias("root"), F.col("root").alias("next"))
@@ -191,9 +191,10 @@ def related(mentions: DataFrame, n: int = 8) -> DataFrame:
 
 def full_index(articles: DataFrame, names: DataFrame, aliases: DataFrame, junk: list[str], splits: DataFrame | None = None) -> DataFrame:
     """Raw mentions ``names(link, names)`` of admitted articles to index records."""
+    scratch = Scratch(articles.sparkSession, "index")
     raw = names.join(articles.select("link", "title", "source"), "link")
-    each = raw.select("link", "title", F.explode(sane_names(F.col("names"), junk, F.col("source"))).alias("name"))
-    named = canonical(each, aliases, splits).where(F.col("slug") != "")
+    each = scratch.put(raw.select("link", "title", F.explode(sane_names(F.col("names"), junk, F.col("source"))).alias("name")))
+    named = scratch.put(canonical(each, aliases, splits).where(F.col("slug") != ""))
     real = named.join(investors(named), "slug", "left_anti")
     merged = prefix_merges(real.select("slug").distinct())
     placed = real.join(merged, "slug", "left").withColumn("slug", F.coalesce("root", "slug")).drop("root")
@@ -215,7 +216,7 @@ def attach_companies(rounds: DataFrame, mentions: DataFrame, investor_slugs: Dat
     seat = F.exists(investor_positions(F.col("title")), lambda p: F.abs(p - (at - 1)) <= 2) & (at > 0)
     named = F.coalesce(F.col("raiser"), F.lit("")) != ""
     order = F.when(named & (a == b), 0).when(named & (F.length(short) >= 4) & long.startswith(short) & (F.length(long) - F.length(short) <= slack), 1).when(~named & ~seat & (at > 0), 2).when(~named & ~seat, 3)
-    cand = rounds.select("link", "title", "raiser").join(pool, "link").withColumn("p", order).where(F.col("p").isNotNull()).withColumn("at", at)
+    cand = rounds.select("link", "title", "raiser").hint("merge").join(pool.hint("merge"), "link").withColumn("p", order).where(F.col("p").isNotNull()).withColumn("at", at)
     best = cand.withColumn("r", F.row_number().over(Window.partitionBy("link").orderBy("p", "at", "c_slug"))).where("r = 1").select("link", F.col("c_slug").alias("slug"), F.col("c_name").alias("company"))
     return rounds.drop("slug", "company").join(best, "link", "left")
 

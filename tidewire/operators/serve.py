@@ -182,7 +182,7 @@ def link_spans(paragraphs: DataFrame, terms: DataFrame, per_paragraph: int = 2,
     """
     words = paragraphs.select("page", "para", "body", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("w"))
     keyed = terms.select("term", "target", F.regexp_extract(F.lower("term"), r"[a-z0-9]+", 0).alias("w"))
-    cand = words.join(keyed, "w").where(F.lower("body").contains(F.lower("term"))).select("page", "para", "body", "term", "target")
+    cand = words.hint("merge").join(keyed.hint("merge"), "w").where(F.lower("body").contains(F.lower("term"))).select("page", "para", "body", "term", "target")
 
     def place(page: pd.DataFrame) -> pd.DataFrame:
         import re

@@ -41,7 +41,7 @@ def sector_chips(members: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` sectors of each company with the fewest companies, by subject where they tie."""
     size = members.groupBy("sector").agg(F.countDistinct("slug").alias("companies"))
     subject = F.create_map(*[F.lit(x) for slug, name, *_ in rules.SECTORS for x in (slug, name)])[F.col("sector")]
-    named = members.select("slug", "sector").distinct().join(size, "sector").withColumn("subject", F.coalesce(subject, F.col("sector")))
+    named = members.select("slug", "sector").distinct().hint("merge").join(size.hint("merge"), "sector").withColumn("subject", F.coalesce(subject, F.col("sector")))
     return top_per_group(named, ["slug"], [F.col("companies"), F.col("subject")], n)
 
 
@@ -104,7 +104,7 @@ def term_rollup(stories: DataFrame, least: int = 3) -> DataFrame:
 
 def companies_of_terms(stories: DataFrame, mentions: DataFrame, n: int = 12) -> DataFrame:
     """The ``n`` companies ``mentions(slug, link)`` in most stories of each term."""
-    both = stories.select("term", "link").distinct().join(mentions.select("slug", "link").distinct(), "link")
+    both = stories.select("term", "link").distinct().hint("merge").join(mentions.select("slug", "link").distinct().hint("merge"), "link")
     return top_per_group(both.groupBy("term", "slug").agg(F.count(F.lit(1)).alias("n")), ["term"], [F.col("n").desc(), F.col("slug")], n)
 
 
