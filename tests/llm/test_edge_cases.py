@@ -35,16 +35,13 @@ def bench(spark):
 OPS = {
     "op1": lambda spark, df: quality.score_quality(df),
     "op2": lambda spark, df: minhash.near_duplicates(df),
-    "op2_kept": lambda spark, df: minhash.deduplicate(df).select("doc_id", "text"),
     "op3": lambda spark, df: mixing.mix_sources(df).select("doc_id", "size", "source_size", "target", "taken", "copies"),
     "op4": lambda spark, df: substring_dedup.remove_repeats(df, length=20, levels=(8, 15)),
     "op5": lambda spark, df: token_counts.count_tokens(df, pieces()),
     "op6": lambda spark, df: decontamination.find_contamination(df, bench(spark), window=3).select("doc_id", "__n", "__spans", "__items"),
-    "op6_kept": lambda spark, df: decontamination.decontaminate(df, bench(spark), window=3).select("doc_id", "text"),
     "op6_passes": lambda spark, df: decontamination.decontaminate(df, bench(spark), window=3, max_words=3).select("doc_id", "text"),
     "op7": lambda spark, df: chaining.repeated_passages(df),
     "op8": lambda spark, df: language_id.identify(df),
-    "op8_kept": lambda spark, df: language_id.keep_identified(df).select("doc_id", "text"),
     "op9": lambda spark, df: sharding.shard_rows(df, 4, identity=["doc_id", "text"]).select("doc_id", "text", "shard", "slot"),
 }
 #: One row for each row of the input.
@@ -53,10 +50,10 @@ WHOLE = ["op1", "op2", "op3", "op4", "op5", "op6", "op8", "op9"]
 
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
-    """Nulls in every column, empty texts, repeated rows, ties, and a text of a megabyte."""
+    """Nulls in every column, empty texts, repeated rows, ties, and a text of half a megabyte."""
     rng = random.Random(3)
     some = [prose(rng, 80) for _ in range(4)]
-    texts = [None, "", "  \n", "one", "x" * 3000, *some, *some, some[0] + " and more", prose(rng, 180_000, 5000), "w1 w2 w3 w4 w5 w6 w7 " * 30]
+    texts = [None, "", "  \n", "one", "x" * 3000, *some, *some, some[0] + " and more", prose(rng, 100_000, 5000), "w1 w2 w3 w4 w5 w6 w7 " * 30]
     rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
     rows += [(None, some[1], None, None, None), (None, None, "en", "a", None), *[(5, some[0], "en", "a", 1)] * 3]
     path = f"file://{tmp_path_factory.mktemp('odd')}/docs"
