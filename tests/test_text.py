@@ -14,18 +14,18 @@ def one(spark, expr, **values):
 @pytest.mark.parametrize(
     ("headline", "usd", "currency"),
     [
-        ("Prosus pours $460M into Alan at $6.3B", 460, "USD"),
-        ("Ominimo reaches $1.6 bn valuation after Series B", None, None),
+        ("Northwind puts $210M into Corvana at $3.1B", 210, "USD"),
+        ("Tallyho hits $2.4 bn valuation on its Series C", None, None),
         ("X raises $30M, bringing its valuation to $1.2B", 30, "USD"),
         ("X secures $30M — market cap of $1.2B", 30, "USD"),
-        ("Deal could value HO insurtech at $2bn+", None, None),
+        ("Offer would value renters start-up at $3bn+", None, None),
         ("X raises $2 billion", 2000, "USD"),
         ("X raises a $5M round", 5, "USD"),
-        ("Quandri secures $16.5 million CAD", 16.5 * 0.73, "CAD"),
+        ("Mapleway closes $12.5 million CAD", 12.5 * 0.73, "CAD"),
         ("X gets C$5m", 5 * 0.73, "CAD"),
         ("X gets A$12 million", 12 * 0.66, "AUD"),
         ("X raises stake to 80%", None, None),
-        ("Plum lands 193 crore", 193 * 10 * 0.012, "INR"),
+        ("Saffron Cover bags 85 crore", 85 * 10 * 0.012, "INR"),
         ("X raises $250,000", 250000, "USD"),
         (None, None, None),
         ("", None, None),
@@ -40,7 +40,7 @@ def test_amount(headline, usd, currency):
 
 @pytest.mark.parametrize(
     ("headline", "stage"),
-    [("Bang Jamin raises $4m pre-series A", "Pre-Series A"), ("Acme closes Series G", "Series E+"), ("Acme pre-seed round", "Pre-seed"), ("Acme grows", "")],
+    [("Lanta Cover takes $3m pre-series A", "Pre-Series A"), ("Acme closes Series G", "Series E+"), ("Acme pre-seed round", "Pre-seed"), ("Acme grows", "")],
 )
 def test_stage(spark, headline, stage):
     assert one(spark, text.stage_of(F.col("t")), t=headline) == stage
@@ -48,7 +48,7 @@ def test_stage(spark, headline, stage):
 
 @pytest.mark.parametrize(
     ("headline", "lead"),
-    [("Plum Raises $20 Mn Led By Peak XV To Expand Insurance Platform", "Peak XV"), ("Acme raises $5M led by Foo Ventures and Bar", "Foo Ventures"), ("Acme raises $5M", "")],
+    [("Quillon Raises $15 Mn Led By Crest IV To Widen Its Network", "Crest IV"), ("Acme raises $5M led by Foo Ventures and Bar", "Foo Ventures"), ("Acme raises $5M", "")],
 )
 def test_lead(spark, headline, lead):
     assert one(spark, text.lead_investor(F.col("t")), t=headline) == lead
@@ -57,12 +57,12 @@ def test_lead(spark, headline, lead):
 @pytest.mark.parametrize(
     ("headline", "noise"),
     [
-        ("A total of $570m was raised across 26 FinTech deals this week", True),
-        ("Stone Point raises $610.5m in first close of new Insurance Solutions Fund", True),
-        ("InsuranceDekho raises $70 million led by Beams Fintech Fund", False),
-        ("Kshema raises $20 mn from Green Climate Fund", False),
-        ("InsuranceDekho could secure up to $100m", True),
-        ("mea lands $50m minority stake from SEP", False),
+        ("A total of $310m was raised across 14 fintech deals in May", True),
+        ("Harrow Lane raises $402m in first close of its new Cover Fund", True),
+        ("Coverbazaar raises $45 million led by Lumen Fintech Fund", False),
+        ("Agrisure raises $12 mn from Blue Harvest Fund", False),
+        ("Coverbazaar could secure up to $90m", True),
+        ("olo lands $35m minority stake from KTV", False),
     ],
 )
 def test_round_noise(spark, headline, noise):
@@ -70,17 +70,17 @@ def test_round_noise(spark, headline, noise):
 
 
 def test_literal_noise_rejects_fund_backers(spark):
-    assert one(spark, text.round_noise(F.col("t"), literal=True), t="InsuranceDekho raises $70 million led by Beams Fintech Fund") is True
+    assert one(spark, text.round_noise(F.col("t"), literal=True), t="Coverbazaar raises $45 million led by Lumen Fintech Fund") is True
 
 
 def test_stale(spark):
-    t = "Hippo Insurance raises $100m in Series D – Digital Wealth & CX Tech Forum – Virtual"
+    t = "Otter Mutual raises $80m in Series C – Digital Wealth & CX Tech Forum – Online"
     assert one(spark, text.stale_record(F.col("t")), t=t) is True
 
 
 @pytest.mark.parametrize(
     ("headline", "minority"),
-    [("Mapfre takes 38.9% stake in Spanish insurtech Tuio", True), ("Wipro to raise stake in Aggne Global to 80%", False), ("Tokio Marine takes minority stake in Igloo", True), ("A buys B", False)],
+    [("Iberalia takes 31.5% stake in Lisbon start-up Vento", True), ("Korvix to raise stake in Delto Global to 75%", False), ("Harbor Re takes minority stake in Canopy", True), ("A buys B", False)],
 )
 def test_minority(spark, headline, minority):
     assert one(spark, text.minority_deal(F.col("t")), t=headline) is minority
@@ -89,12 +89,12 @@ def test_minority(spark, headline, minority):
 @pytest.mark.parametrize(
     ("headline", "acquirer", "target"),
     [
-        ("MAPFRE to Acquire Safety Insurance", "MAPFRE", "Safety Insurance"),
-        ("Mile Auto Acquires Insurance House", "Mile Auto", "Insurance House"),
-        ("iCapital buys insurance tech firm Hexure", "iCapital", "Hexure"),
-        ("Duck Creek acquires London-based insurtech Send Technology", "Duck Creek", "Send Technology"),
-        ("Rent costs: Gallagher acquires Apollo Insurance Solutions", "Gallagher", "Apollo Insurance Solutions"),
-        ("Income sells Hive Platform to Embed Financial", "Embed Financial", "Hive Platform"),
+        ("IBERALIA to Acquire Harbor Insurance", "IBERALIA", "Harbor Insurance"),
+        ("Kilo Motor Acquires Cover House", "Kilo Motor", "Cover House"),
+        ("eLedger buys insurance tech firm Octavo", "eLedger", "Octavo"),
+        ("Heron Lake acquires London-based insurtech Dispatch Technology", "Heron Lake", "Dispatch Technology"),
+        ("Flood losses: Pemberton acquires Castor Insurance Solutions", "Pemberton", "Castor Insurance Solutions"),
+        ("Tarn sells Comb Platform to Inset Financial", "Inset Financial", "Comb Platform"),
         ("Acme acquired by Beta Group for $80M", "Beta Group", "Acme"),
     ],
 )
@@ -104,25 +104,25 @@ def test_deal_pair(spark, headline, acquirer, target):
 
 
 def test_deal_pair_of_a_clause_is_null(spark):
-    assert one(spark, text.deal_pair(F.col("t")), t="Mapfre Expands US Footprint with Strategic Acquisition of Safety Insurance Group") is None
+    assert one(spark, text.deal_pair(F.col("t")), t="Iberalia Expands US Network with Planned Acquisition of Harbor Insurance Group") is None
 
 
 @pytest.mark.parametrize(
     ("headline", "noise"),
-    [("5 Multiline Insurers to Buy Amid Inflation, Softening Pricing", True), ("American Growth raises $70 mn to buy U.S. brokerages", True), ("Igloo acquires Eazy Digital", False)],
+    [("7 Regional Insurers to Buy Amid Storms and Rising Rates", True), ("Prairie Growth raises $55 mn to buy rural brokerages", True), ("Canopy acquires Brisk Digital", False)],
 )
 def test_deal_noise(spark, headline, noise):
     assert one(spark, text.deal_noise(F.col("t")), t=headline) is noise
 
 
-@pytest.mark.parametrize(("name", "named"), [("digital insurance platform", False), ("itel", True), ("Hexure", True), ("", False), (None, False)])
+@pytest.mark.parametrize(("name", "named"), [("digital insurance platform", False), ("olix", True), ("Octavo", True), ("", False), (None, False)])
 def test_named_party(spark, name, named):
     assert one(spark, text.named_party(F.col("t")), t=name) is named
 
 
 @pytest.mark.parametrize(
     ("a", "b", "same"),
-    [("Cinven and La Caisse", "La Caisse and Cinven", True), ("VEON Group", "VEON", True), ("Acme", "Beta", False), ("", "Beta", False), (None, "Beta", False)],
+    [("Marlow and La Ronde", "La Ronde and Marlow", True), ("TREX Group", "TREX", True), ("Acme", "Beta", False), ("", "Beta", False), (None, "Beta", False)],
 )
 def test_same_party(spark, a, b, same):
     assert bool(one(spark, text.same_party(F.col("a"), F.col("b")), a=a, b=b)) is same
@@ -133,7 +133,7 @@ def test_same_party(spark, a, b, same):
     [
         ("sells non-life insurance", []),
         ("renters, homeowners, pet, life and car insurance", ["life-and-annuities", "auto-insurance", "home-and-property-insurance", "pet-insurance"]),
-        ("Tokio Marine underwrites property, casualty and life insurance", ["life-and-annuities", "home-and-property-insurance"]),
+        ("Harbor Re underwrites property, casualty and life insurance", ["life-and-annuities", "home-and-property-insurance"]),
         (None, []),
     ],
 )
@@ -141,7 +141,7 @@ def test_sectors(spark, summary, want):
     assert one(spark, text.sectors_of(F.col("t")), t=summary) == want
 
 
-@pytest.mark.parametrize(("place", "country"), [("Gurugram, India", "India"), ("San Francisco, California", "United States"), ("Global", None), ("", None), (None, None), ("London, U.K.", "United Kingdom")])
+@pytest.mark.parametrize(("place", "country"), [("Pune, India", "India"), ("San Francisco, California", "United States"), ("Global", None), ("", None), (None, None), ("London, U.K.", "United Kingdom")])
 def test_country(spark, place, country):
     assert one(spark, text.country_of(F.col("t")), t=place) == country
 
@@ -160,7 +160,7 @@ def test_tags(spark):
 def test_keys(spark):
     assert one(spark, text.title_key(F.col("t")), t="IH26") == one(spark, text.title_key(F.col("t")), t="1H26")
     assert one(spark, text.csv_guard(F.col("t")), t="=1+1") == "'=1+1"
-    assert one(spark, text.company_slug(F.col("t")), t="Lemonade, Inc.") == "lemonade"
+    assert one(spark, text.company_slug(F.col("t")), t="Limewood, Inc.") == "limewood"
     assert one(spark, text.company_slug(F.col("t")), t="Inc") == "inc"
     assert one(spark, text.link_key(F.col("t")), t="HTTP://A.b/C?utm=1") == "http://a.b/c"
 
@@ -168,7 +168,7 @@ def test_keys(spark):
 def test_markup(spark):
     assert one(spark, text.strip_tags(F.col("t")), t="&lt;p&gt;A &amp;amp; B&#33;&lt;/p&gt;<br/> <![CDATA[c]]>") == "A & B! c"
     assert one(spark, text.tidy_summary(F.col("t")), t="Text. The post X appeared first on Y.") == "Text."
-    assert one(spark, text.tidy_summary(F.col("t")), t="Copyright to Artemis") == ""
+    assert one(spark, text.tidy_summary(F.col("t")), t="Copyright to Somebody") == ""
     assert one(spark, text.tidy_summary(F.col("t")), t="word " * 100).endswith("word…")
 
 
