@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.hashing import Rolling, chunks, mix, sliding_min
+from tidewire.llm.keys import text_key
 from tidewire.storage import Scratch, table
 
 _SEGMENT = 1 << 21
@@ -134,18 +135,19 @@ def repeated_spans(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "substrings")
     text_ = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(row_id).alias("id"), F.xxhash64(F.col(row_id), text_).alias("uid"), text_.alias("text"))
+    docs = df.select(F.col(row_id).alias("id"), text_key(df, row_id, text).alias("uid"), text_.alias("text"))
     keys = scratch.put(docs.where(F.octet_length("text") >= length).select("uid", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2")))
     same = keys.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("first")).where("c > 1")
     copies = scratch.put(keys.hint("merge").join(scratch.put(same).hint("merge"), ["h", "h2"]).select("uid", (F.col("uid") == F.col("first")).alias("first")).groupBy("uid").agg(F.max("first").alias("first")))
 
     long = docs.where(F.octet_length("text") >= length).select(F.col("uid").alias("owner"), F.lit(0).cast("long").alias("base"), "text")
     found = []
-    tuples = long.mapInArrow(_runs("text", length, levels[0]), _RUNS)
+    tuples = scratch.put(long.mapInArrow(_runs("text", length, levels[0]), _RUNS))
     for k in (*levels[1:], length):
         full, rest = _settle(scratch, tuples)
         found.append(full)
         if len(found) == 1:
+            scratch.drop(tuples)
             want = rest.select("owner", F.shiftright("at", 12).alias("lo"), (F.col("at") % 4096 + length - 1).cast("int").alias("size"))
             want = scratch.put(want.groupBy("owner").agg(F.collect_list(F.struct("owner", "lo", "size")).alias("want")))
             stretches = long.select("owner", "text").hint("merge").join(want.hint("merge"), "owner").select("text", "want").mapInArrow(_cut_out, "owner long, base long, bytes binary")
@@ -170,7 +172,8 @@ def remove_repeats(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else is removed; strings do
     not cross texts, overlapping ones count, and all are judged on the input. A null or empty text has no
-    bytes. Equal rows are separate texts, each a repeat of the other.
+    bytes. Equal rows are separate texts, each a repeat of the other; rows with a null id are rows like others; very
+    long texts are taken in segments; an empty table gives an empty one; other columns are not looked at.
     """
     texts, spans = repeated_spans(df, row_id=row_id, text=text, length=length, levels=levels)
     scratch = Scratch(df.sparkSession, "substrings")
