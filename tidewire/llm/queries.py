@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tidewire.llm.bpe import op11
 from tidewire.llm.chaining import op7
+from tidewire.llm.conversations import op12
 from tidewire.llm.decontamination import op6
 from tidewire.llm.exact_topk import op10
 from tidewire.llm.language_id import op8
@@ -12,6 +14,7 @@ from tidewire.llm.quality import op1
 from tidewire.llm.sharding import op9
 from tidewire.llm.substring_dedup import op4
 from tidewire.llm.token_counts import op5
+from tidewire.llm.whitening import op13
 
 QUERIES = {
     "op1_quality": op1,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language_id": op8,
     "op9_shards": op9,
     "op10_exact_topk": op10,
+    "op11_bpe": op11,
+    "op12_conversation_repair": op12,
+    "op13_whitening": op13,
 }
 
 ORACLE_SQL = {
