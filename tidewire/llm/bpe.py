@@ -9,15 +9,15 @@ strings would never join anything across their border; whether it does is looked
 as pairs appear (bounded, by the tokens alone when it starts anew). A sequence whose neighbours all fit is what the
 merges, applied by rank, arrive at.
 
-Normalising and cutting into words are the tokenizer's own first steps and are taken from its library, once per
-distinct run between white space. Decoding reads each token's bytes from one buffer between two offsets.
+Normalising and cutting into words are the tokenizer's own first steps; each distinct word is encoded once. Decoding reads each token's bytes from one buffer between two offsets.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -111,55 +111,86 @@ class Encoder:
             self.matcher.add_word(t[::-1], i)
         self.matcher.make_automaton()
 
-    def compatible(self, one: int, two: int) -> bool:
-        """A cell of the pair-compatibility table."""
-        key = (one, two)
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= self.max_pairs:
-                self.known.clear()
-            found = self.known[key] = self.v.fits(one, two)
+    def compatible(self, key: tuple[int, int]) -> bool:
+        """A cell of the pair-compatibility table that is not there yet."""
+        if len(self.known) >= self.max_pairs:
+            self.known.clear()
+        found = self.known[key] = self.v.fits(*key)
         return found
 
-    def longest(self, word: str) -> list[int]:
-        """For each position the longest token that begins there."""
-        out = [-1] * len(word)
-        last = len(word) - 1
-        for at, token in self.matcher.iter(word[::-1]):
-            if out[last - at] < 0:  # longer tokens are reported first
-                out[last - at] = token
-        return out
-
     def encode(self, word: str) -> list[int]:
         """Token numbers (ranks) of a string of symbols, all of which the vocabulary has."""
-        if not word:
-            return []
-        longest, length, shorter = self.longest(word), self.length, self.shorter
-        open_ = bytearray(b"\1") * (len(word) + 1)  # positions not yet known to be dead ends
-        out, at, token = [], 0, longest[0]
-        while at < len(word):
-            while token >= 0 and not (open_[at + length[token]] and (not out or self.compatible(out[-1], token))):
+        n, length, shorter, known = len(word), self.length, self.shorter, self.known
+        longest, last = [-1] * n, n - 1
+        for at, token in self.matcher.iter(word[::-1]):  # for each position the longest token that begins there
+            if longest[last - at] < 0:  # longer tokens are reported first
+                longest[last - at] = token
+        open_ = bytearray(b"\1") * (n + 1)  # positions not yet known to be dead ends
+        out, before, at, token = [], -1, 0, longest[0] if n else -1
+        while at < n:
+            while token >= 0:
+                end = at + length[token]
+                if open_[end]:
+                    if before < 0:
+                        break
+                    fits = known.get((before, token))
+                    if fits or (fits is None and self.compatible((before, token))):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += length[token]
-                token = longest[at] if at < len(word) else -1
+                before, at = token, end
+                token = longest[at] if at < n else -1
             else:
                 if not out:
                     raise ValueError("a symbol that the vocabulary does not have")
                 open_[at] = 0
                 token = out.pop()
                 at -= length[token]
+                before = out[-1] if out else -1
         return out
 
 
+#: Where normalising is lower case alone and the classes of characters never changed: below U+0180, but for U+0130.
+_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _latin_words() -> re.Pattern:
+    """The cut of ``_CLIP`` for lower-case texts of these characters."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers, space = of("L"), of("N"), "\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+
+
+class _Recent(dict):
+    """Values by key, made when missing; of more than ``size`` keys those not asked for of late are forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int, longest: int):
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class TextEncoder:
     """Whole texts to the ids of a tokenizers .json file, special tokens inside texts included.
 
-    Runs between white space are encoded once and kept (``max_runs`` of them, each of ``max_run`` letters at most).
+    Normalising and cutting into words are the library's, run by run between white space; where the file has the
+    lower-casing normaliser and the cut of ``_CLIP``, texts of Latin characters are cut whole by the same pattern. Words are
+    encoded once and kept (``max_words`` of late, of ``max_word`` letters at most).
     """
 
-    def __init__(self, spec: str, max_runs: int = 200_000, max_run: int = 100):
+    def __init__(self, spec: str, max_words: int = 150_000, max_word: int = 60):
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
@@ -171,35 +202,36 @@ class TextEncoder:
             raise ValueError("added tokens have to be plain strings without white space")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {ord(c): chr(b) for c, b in byte_letters().items()}
-        self.runs, self.max_runs, self.max_run = {}, max_runs, max_run
+        self.words = _Recent(self._plain, max_words, max_word)
+        self.runs = _Recent(self._run, max_words // 4, max_word)
+        steps = [n["type"] for n in (parsed.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (parsed.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.latin = _latin_words() if steps == ["NFC", "Replace", "Lowercase"] and cuts == [_CLIP, None] else None
+
+    def _ids(self, symbols: str) -> bytes:
+        if self.encoder.v.end:
+            symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
+        return self.encoder.v.ids[self.encoder.encode(symbols)].tobytes()
 
-    def _words(self, piece: str) -> Iterator[str]:
-        for word, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(piece) if self.normal else piece):
-            w = word.translate(self.letters)
-            yield w[:-1] + chr(256 + ord(w[-1])) if self.encoder.v.end else w
+    def _plain(self, word: str) -> bytes:
+        return self._ids(word.encode().decode("latin-1"))
 
     def _run(self, run: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split.split(run) if self.split else [run]:
-            if piece in self.special:
-                ids.append(self.special[piece])
-            elif piece:
-                for word in self._words(piece):
-                    ids.extend(self.encoder.v.ids[self.encoder.encode(word)].tolist())
-        return np.array(ids, np.int32).tobytes()
+        if self.latin and not _LATIN.search(run):
+            return b"".join(map(self.words.__getitem__, self.latin.findall(run.lower())))
+        words = self.cut.pre_tokenize_str(self.normal.normalize_str(run) if self.normal else run)
+        return b"".join(self._ids(w.translate(self.letters)) for w, _ in words)
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of one text."""
-        known, found = self.runs, []
-        for run in pre_tokens(text):
-            ids = known.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(run) <= self.max_run:
-                    if len(known) >= self.max_runs:
-                        known.clear()
-                    known[run] = ids
-            found.append(ids)
+        found = []
+        for i, piece in enumerate(self.split.split(text) if self.split else [text]):
+            if i % 2:
+                found.append(np.int32(self.special[piece]).tobytes())
+            elif self.latin and not _LATIN.search(piece):
+                found += map(self.words.__getitem__, self.latin.findall(piece.lower()))
+            else:
+                found += map(self.runs.__getitem__, pre_tokens(piece))
         return np.frombuffer(b"".join(found), np.int32)
 
 
