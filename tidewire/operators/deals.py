@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
-from tidewire.operators import dedupe, entities, rollups
+from tidewire.operators import dedupe, entities, islands, rollups
 from tidewire.storage import Scratch
 
 
@@ -49,27 +49,31 @@ def newest_first(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return at.join(dedupe.greedy_leaders(at.select(F.col("link").alias("id"), "ord"), pairs).withColumnRenamed("id", "link"), "link")
 
 
-def company_round_clusters(rounds: DataFrame) -> DataFrame:
+def company_round_clusters(rounds: DataFrame, days: float = 45.0) -> DataFrame:
     """``rounds`` with ``ord`` and the ``leader`` each follows: reports of one company's round, newest first.
 
-    Reports equal in company, time and amount match the same others and one another, so the first stands for all.
+    Reports equal in company, time and amount match the same others and one another, so the first stands for all. Rounds
+    without a company, a date or a positive amount stand alone.
     """
     scratch = Scratch(rounds.sparkSession, "clusters")
     ord_ = F.struct(F.coalesce(-F.unix_micros("published_at"), F.lit(1 << 62)).alias("t"), F.col("link").alias("l"))
-    alone = F.col("slug").isNull() | F.col("published_at").isNull() | ~(F.col("amount_m") > 0) | F.col("amount_m").isNull()
+    alone = F.col("slug").isNull() | F.col("published_at").isNull() | F.coalesce(F.isnan("amount_m") | ~(F.col("amount_m") > 0), F.lit(True))
     key = F.struct(F.col("slug"), F.col("published_at"), F.col("amount_m"), F.when(alone, F.col("link")).alias("one"))
-    at = scratch.put(rounds.withColumn("ord", ord_).withColumn("__k", F.xxhash64(key)).withColumn("__j", F.xxhash64(F.lit(1), key)))
-    heads = scratch.put(at.groupBy("__k", "__j").agg(F.min(F.struct("ord", "link", "slug", "published_at", "amount_m")).alias("h")).select("__k", "__j", "h.*"))
-    led = dedupe.greedy_leaders(heads.select(F.col("link").alias("id"), "ord"), scratch.put(dedupe.same_company_round_pairs(heads)))
+    at = rounds.withColumn("ord", ord_).withColumn("__one", alone).withColumn("__k", F.xxhash64(key)).withColumn("__j", F.xxhash64(F.lit(1), key))
+    at = scratch.put(at)
+    first = F.min(F.struct("ord", "link", "slug", "published_at", "amount_m"))
+    heads = scratch.put(at.where(~F.col("__one")).groupBy("__k", "__j").agg(first.alias("h")).select("__k", "__j", "h.*"))
+    led = islands.leaders_in_time(heads.select(F.col("slug").alias("group"), F.unix_micros("published_at").alias("t"), F.col("link").alias("id"), F.col("amount_m").alias("m")), days, 2.0)
     placed = scratch.put(heads.select("__k", "__j", F.col("link").alias("id")).join(led, "id").select("__k", "__j", "leader"))
-    return at.join(placed, ["__k", "__j"]).drop("__k", "__j")
+    out = at.join(placed, ["__k", "__j"], "left")
+    return out.withColumn("leader", F.coalesce("leader", "link")).drop("__k", "__j", "__one")
 
 
 def funding_rounds(articles: DataFrame, facts: DataFrame, mentions: DataFrame, investor_slugs: DataFrame | None = None) -> DataFrame:
     """Archive to rounds: rows, one per raise, attributed, one per company's round, newest first."""
     scratch = Scratch(articles.sparkSession, "rounds")
     rows = scratch.put(round_rows(articles, facts))
-    led = scratch.put(newest_first(rows, dedupe.same_raise_pairs(rows)))
+    led = scratch.put(newest_first(rows, scratch.put(dedupe.same_raise_pairs(rows))))
     raised = led.where("link = leader").select(*rows.columns)
     placed = scratch.put(entities.attach_companies(raised, mentions, investor_slugs))
     again = scratch.put(company_round_clusters(placed).withColumnRenamed("leader", "cluster"))

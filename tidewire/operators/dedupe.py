@@ -14,45 +14,64 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text
 from tidewire.operators.graph import connected_components
+from tidewire.operators.islands import settle_islands
 from tidewire.storage import Scratch
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes(id, ord)``, ``edges(a, b)`` -> ``(id, leader)``.
+def greedy_leaders(nodes: DataFrame, edges: DataFrame, island_edges: int = 200_000) -> DataFrame:
+    """``nodes(id, ord)``, ``edges(a, b)`` -> ``(id, leader)``. Distinct edges may
+    bring both orders, ``oa, ob``.
 
-    A round settles every node whose earlier neighbours are settled: none of them a leader makes it one; any
-    leader among them makes it a member at once. The first open node of a component always settles, so rounds go on
-    until nothing is open; each works on what is still open. Assignment waits for the end, as an undecided earlier
-    neighbour may still turn into a better leader.
+    Connected components do not see each other: one with up to ``island_edges`` edges settles in one scan in visit
+    order, however long its chains are. Larger ones go through rounds: a round settles every node whose earlier neighbours
+    are settled, and works on what is still open.
     """
     scratch = Scratch(nodes.sparkSession, "leaders")
-    ord_ = nodes.select("id", "ord")
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
-    oa, ob = ord_.select(F.col("id").alias("a"), F.col("ord").alias("oa")), ord_.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-    earlier = scratch.put(both.join(oa, "a").join(ob, "b").where("ob < oa").select("a", "b", "ob"), narrow=True)  # b comes before a
-    linked = scratch.put(earlier.select("a").distinct().withColumnRenamed("a", "id"), narrow=True)
-    leads, open_ = [nodes.select("id").join(linked, "id", "left_anti")], earlier.select("a", "b")
-    known = scratch.put(leads[0].select(F.col("id").alias("b"), F.lit(True).alias("leads")), narrow=True)
+    later, turn = edges, F.col("ob") < F.col("oa")
+    if "oa" not in edges.columns:
+        both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        oa, ob = (nodes.select(F.col("id").alias(x), F.col("ord").alias(f"o{x}")) for x in "ab")
+        later = both.join(oa, "a").join(ob, "b")
+    side = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
+    earlier = later.select(side("a", "b").alias("a"), side("oa", "ob").alias("oa"), side("b", "a").alias("b"), side("ob", "oa").alias("ob"))
+    earlier, n = scratch.put_counted(earlier, narrow=True)  # b comes before a
+    if n <= island_edges:
+        led = settle_islands(earlier.withColumn("island", F.lit(0)))
+    else:
+        part = scratch.put(connected_components(earlier, at_once=island_edges), narrow=True)
+        placed = scratch.put(earlier.hint("merge").join(part.select(F.col("node").alias("a"), F.col("component").alias("island")).hint("merge"), "a"), narrow=True)
+        big = scratch.put(placed.groupBy("island").count().where(F.col("count") > island_edges).select("island"), narrow=True)
+        led = settle_islands(placed.join(big, "island", "left_anti"))
+        if not big.isEmpty():
+            led = led.union(_in_rounds(scratch, placed.join(big, "island", "left_semi").select("a", "b", "ob")))
+    return nodes.select("id").hint("merge").join(led.hint("merge"), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def _in_rounds(scratch: Scratch, earlier: DataFrame) -> DataFrame:
+    """``earlier(a, b, ob)``, b before a -> ``(id, leader)`` of all members, by rounds over what is open."""
+    open_ = earlier.select("a", "b")
+    known = [scratch.put(earlier.select("b").distinct().join(earlier.select(F.col("a").alias("b")), "b", "left_anti").withColumn("leads", F.lit(True)), narrow=True)]
+    new = known[0]
     while True:
-        # what the settled say about the open: a leader before it, or nobody left before it
-        seen = open_.join(known, "b", "left")
+        # what the settled say about the open: a leader before it, or nobody left before it; what the last round settled
+        # is all that is new, as edges from earlier ones are gone
+        seen = open_.join(new, "b", "left")
         verdict = seen.groupBy("a").agg(F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
         done = scratch.put(verdict.where("led or open = 0").select(F.col("a").alias("b"), (~F.col("led")).alias("leads")), narrow=True)
         if done.isEmpty():
             break
-        leads.append(done.where("leads").select(F.col("b").alias("id")))
         left = open_.join(done.select(F.col("b").alias("a")), "a", "left_anti")
         # an edge from a settled member says nothing more
-        left = left.join(known.where("not leads").select("b"), "b", "left_anti")
-        open_, known = scratch.put(left, narrow=True), scratch.put(known.union(done), narrow=True)
-    heads = scratch.put(reduce(DataFrame.union, leads), narrow=True)
-    joined = earlier.join(heads.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("first"))
-    own = nodes.select("id").join(heads.withColumn("own", F.lit(True)), "id", "left").join(joined, "id", "left")
-    return own.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("first")).alias("leader"))
+        left = left.join(new.where("not leads").select("b"), "b", "left_anti")
+        open_, new = scratch.put(left, narrow=True), done
+        known.append(done)
+    heads = scratch.put(reduce(DataFrame.union, known).where("leads").select("b"), narrow=True)
+    return earlier.join(heads, "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("leader"))
 
 
 def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4) -> DataFrame:
-    """``sets(id, words)`` with distinct ids and sorted-out words -> pairs ``(a, b)`` that are similar.
+    """``sets(id, words)`` with distinct ids and sorted-out words -> pairs ``(a, b)`` that are similar, with the sets'
+    ``ord`` as ``oa`` and ``ob`` where they have one.
 
     Candidates share one of each set's rarest words: at Jaccard >= j a pair shares one of the
     size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet.
@@ -63,10 +82,11 @@ def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float =
     keep = ranked.where((F.col("n") >= least_shared) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * least_jaccard) + 1)).select("id", "w", "n")
     pair = keep.select(F.col("id").alias("a"), "w", F.col("n").alias("na")).hint("merge").join(keep.select(F.col("id").alias("b"), "w", F.col("n").alias("nb")).hint("merge"), "w")
     pair = pair.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least_jaccard * F.greatest("na", "nb"))).select("a", "b").distinct()
-    one, other = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    more = ["ord"] if "ord" in sets.columns else []
+    one, other = (sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), *[F.col(c).alias(f"o{x}") for c in more]) for x in "ab")
     full = pair.hint("merge").join(one.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
     both = F.size(F.array_intersect("wa", "wb"))
-    return full.withColumn("both", both).where((F.col("both") >= least_shared) & (F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")) >= least_jaccard)).select("a", "b")
+    return full.withColumn("both", both).where((F.col("both") >= least_shared) & (F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")) >= least_jaccard)).select("a", "b", *[f"o{x}" for x in "ab" if more])
 
 
 def threads(articles: DataFrame, order: list[Column], row_id: str = "link", title: str = "title") -> DataFrame:
@@ -79,17 +99,44 @@ def threads(articles: DataFrame, order: list[Column], row_id: str = "link", titl
     at = articles.select(F.col(row_id).alias("id"), F.array_sort(text.keyword_set(F.coalesce(F.col(title), F.lit("")))).alias("words"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_id).alias("z")).alias("ord"))
     at = scratch.put(at.withColumn("key", F.when(F.size("words") >= 2, F.array_join("words", " ")).otherwise(F.concat(F.lit("="), F.col("id").cast("string")))))
     heads = scratch.put(at.groupBy("key").agg(F.min(F.struct("ord", "id", "words")).alias("h")).select("key", "h.id", "h.ord", "h.words"))
-    lead = greedy_leaders(heads.select("id", "ord"), scratch.put(similar_pairs(heads.where(F.size("words") >= 2).select("id", "words"))))
-    named = scratch.put(heads.select("key", "id").join(lead, "id").select("key", F.col("leader").alias("thread")))
-    return at.select(F.col("id").alias(row_id), "key").join(named, "key").drop("key")
+    lead = greedy_leaders(heads.select("id", "ord"), similar_pairs(heads.where(F.size("words") >= 2).select("id", "words", "ord")))
+    named = heads.select("key", "id").hint("merge").join(lead.hint("merge"), "id").select("key", F.col("leader").alias("thread"))
+    return at.select(F.col("id").alias(row_id), "key").hint("merge").join(named.hint("merge"), "key").drop("key")
+
+
+def _spans(t: Column, days: float) -> Column:
+    """The number of a time's span of ``days``."""
+    return F.floor(F.unix_micros(t) / (days * 86400e6))
+
+
+def _reach(span: Column) -> Column:
+    return F.array(span - 1, span, span + 1)
 
 
 def same_raise_pairs(rounds: DataFrame, days: float = 45.0, least_shared: int = 2) -> DataFrame:
-    """Reports of one raise: equal whole amounts, two distinctive words in common, close in time."""
-    w = rounds.select("link", "published_at", F.floor(F.col("amount_m") + 0.5).alias("amount"), F.explode(text.distinctive_words(F.col("title"))).alias("w"))
-    a, b = w.select(F.col("link").alias("a"), F.col("published_at").alias("ta"), "amount", "w"), w.select(F.col("link").alias("b"), F.col("published_at").alias("tb"), "amount", "w")
-    near = a.hint("merge").join(b.hint("merge"), ["amount", "w"]).where((F.col("a") < F.col("b")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days))
-    return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared).select("a", "b")
+    """Reports of one raise: equal whole amounts, two distinctive words in common, close in time.
+
+    Two reports meet on amount, span of time and one of the rarer words of each (a pair that shares ``least_shared``
+    words shares one beside each side's ``least_shared`` - 1 most frequent ones). Undated reports are close to all and
+    meet on amount and word.
+    """
+    scratch = Scratch(rounds.sparkSession, "raises")
+    words = text.distinctive_words(F.col("title"))
+    at = scratch.put(rounds.select("link", "published_at", F.floor(F.col("amount_m") + 0.5).alias("amount"), words.alias("words")).where(F.size("words") >= least_shared))
+    each = at.select("link", "amount", "published_at", F.size("words").alias("n"), F.explode("words").alias("w"))
+    often = scratch.put(each.groupBy("amount", "w").agg(F.count(F.lit(1)).alias("df")), narrow=True)
+    rank = F.row_number().over(Window.partitionBy("link").orderBy("df", "w"))
+    rare = each.hint("merge").join(often.hint("merge"), ["amount", "w"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - least_shared + 1)
+    rare = scratch.put(rare.select("link", "amount", "w", "published_at", _spans(F.col("published_at"), days).alias("span")), narrow=True)
+    one = rare.select(F.col("link").alias("a"), "amount", "w", "span", F.col("published_at").alias("ta"))
+    other = rare.select(F.col("link").alias("b"), "amount", "w", "span", F.col("published_at").alias("tb"))
+    dated = one.where("span is not null").hint("merge").join(other.where("span is not null").withColumn("span", F.explode(_reach(F.col("span")))).hint("merge"), ["amount", "w", "span"])
+    undated = one.where("span is null").hint("merge").join(other.drop("span").hint("merge"), ["amount", "w"])
+    near = dated.select("a", "b", "ta", "tb").union(undated.select("a", "b", "ta", "tb")).where((F.col("a") != F.col("b")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days))
+    pair = scratch.put(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
+    wa, wb = at.select(F.col("link").alias("a"), F.col("words").alias("wa")), at.select(F.col("link").alias("b"), F.col("words").alias("wb"))
+    full = pair.hint("merge").join(wa.hint("merge"), "a").hint("merge").join(wb.hint("merge"), "b")
+    return full.where(F.size(F.array_intersect("wa", "wb")) >= least_shared).select("a", "b")
 
 
 def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame:
@@ -111,13 +158,50 @@ def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame
     return pair.where((F.col("a") < F.col("b")) & text.same_round(F.col("ma"), F.col("mb")) & (apart <= days)).select("a", "b")
 
 
+def party_pairs(names: DataFrame) -> DataFrame:
+    """``names(name)`` -> ``(name, other)``: all ordered pairs of distinct names of one party, each with itself.
+
+    Names meet on their whole form, on their sorted parties, or where one form's rarest four characters lie in the
+    other: a form that lies inside another one shares all of its own.
+    """
+    scratch = Scratch(names.sparkSession, "parties")
+    form, parties = text.party_form(F.col("name")), text.party_set(F.col("name"))
+    at = scratch.put(names.select("name").distinct().select("name", form.alias("f"), F.when(F.size(parties) > 1, F.array_join(parties, "|")).alias("set")).where("f <> ''"))
+    every = F.transform(F.sequence(F.lit(1), F.length("f") - 3), lambda i: F.substring(F.col("f"), i, F.lit(4)))
+    grams = scratch.put(at.where(F.length("f") >= 4).select("name", "f", F.explode(F.array_distinct(every)).alias("g")))
+    often = scratch.put(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), narrow=True)
+    rarest = grams.hint("merge").join(often.hint("merge"), "g").groupBy("name", "f").agg(F.min(F.struct("df", "g")).alias("m"))
+    rarest = scratch.put(rarest.select("name", "f", F.col("m.g").alias("g")), narrow=True)
+    wide = grams.select(F.col("name").alias("other"), F.col("f").alias("fo"), "g")
+    inside = rarest.hint("merge").join(wide.hint("merge"), "g").where(F.contains(F.col("fo"), F.col("f"))).select("name", "other")
+    other = at.select(F.col("name").alias("other"), "f", "set")
+    equal = at.select("name", "f").hint("merge").join(other.select("other", "f").hint("merge"), "f").select("name", "other")
+    allied = at.where("set is not null").select("name", "set").hint("merge").join(other.where("set is not null").select("other", "set").hint("merge"), "set").select("name", "other")
+    return scratch.put(inside.union(inside.select("other", "name")).union(equal).union(allied).distinct(), narrow=True)
+
+
 def same_deal_pairs(deals: DataFrame, days: float = 180.0) -> DataFrame:
-    """Reports of one deal: the same acquirer, and the same target, or a similar one close in time."""
-    keys = F.array_distinct(F.concat(F.filter(F.split(text.party_form(F.col("acquirer")), " "), lambda x: F.length(x) >= 3), F.array(text.party_form(F.col("acquirer")))))
-    side = lambda x: deals.select(F.col("link").alias(x), F.col("published_at").alias(f"t{x}"), F.col("acquirer").alias(f"q{x}"), F.col("target").alias(f"g{x}"), F.explode(keys).alias("k"))
-    pair = side("a").hint("merge").join(side("b").hint("merge"), "k").where(F.col("a") < F.col("b")).dropDuplicates(["a", "b"])
-    same = text.same_party(F.col("qa"), F.col("qb")) & (text.same_party(F.col("ga"), F.col("gb")) | (text.same_target(F.col("ga"), F.col("gb")) & (dates.days_apart(F.col("ta"), F.col("tb")) <= days)))
-    return pair.where(same).select("a", "b")
+    """Reports of one deal: the same acquirer, and the same target, or a similar one close in time.
+
+    Names are compared once each (``party_pairs``). Reports then meet on an acquirer's name and either the target's name
+    or a distinctive word of it within neighbouring spans of time (undated reports: at any time).
+    """
+    scratch = Scratch(deals.sparkSession, "same-deal")
+    at = scratch.put(deals.select("link", "published_at", "acquirer", "target"))
+    buys = party_pairs(at.select(F.col("acquirer").alias("name"))).select(F.col("name").alias("acquirer"), F.col("other").alias("met"))
+    sold = party_pairs(at.select(F.col("target").alias("name"))).select(F.col("name").alias("target"), F.col("other").alias("like"))
+    one = scratch.put(at.hint("merge").join(buys.hint("merge"), "acquirer").select(F.col("link").alias("a"), F.col("published_at").alias("ta"), "target", F.col("met").alias("acquirer")))
+    other = at.select(F.col("link").alias("b"), F.col("published_at").alias("tb"), "acquirer", "target")
+    named = one.hint("merge").join(sold.hint("merge"), "target").select("a", "acquirer", F.col("like").alias("target"))
+    same = named.hint("merge").join(other.hint("merge"), ["acquirer", "target"]).select("a", "b")
+    word = F.explode(text.target_words(F.col("target"))).alias("w")
+    left = scratch.put(one.select("a", "ta", "acquirer", _spans(F.col("ta"), days).alias("span"), word))
+    right = scratch.put(other.select("b", "tb", "acquirer", _spans(F.col("tb"), days).alias("span"), word))
+    dated = left.where("span is not null").hint("merge").join(right.where("span is not null").withColumn("span", F.explode(_reach(F.col("span")))).hint("merge"), ["acquirer", "w", "span"])
+    undated = [left.where(x).hint("merge").join(right.where(y).drop("span").hint("merge"), ["acquirer", "w"]) for x, y in (("span is null", "true"), ("span is not null", "span is null"))]
+    near = reduce(DataFrame.union, [x.select("a", "b", "ta", "tb") for x in (dated, *undated)]).where(dates.days_apart(F.col("ta"), F.col("tb")) <= days)
+    both = same.union(near.select("a", "b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def same_identity_pairs(deals: DataFrame) -> DataFrame:
@@ -158,7 +242,7 @@ def two_key_dedupe(articles: DataFrame) -> DataFrame:
     scratch = Scratch(articles.sparkSession, "two-key")
     keyed = scratch.put(articles.withColumn("__l", F.concat(F.lit("l:"), text.link_key(F.col("link")))).withColumn("__t", F.concat(F.lit("t:"), text.title_key(F.col("title")))))
     edges = keyed.select(F.col("__l").alias("a"), F.col("__t").alias("b")).where("b <> 't:'").distinct()
-    part = scratch.put(connected_components(edges))
+    part = scratch.put(connected_components(edges, at_once=200_000))
     rank = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", 2).otherwise(0) + F.when(~F.col("link").rlike("(?i)^https?://news\\.google\\."), 1).otherwise(0)
     placed = keyed.join(part, F.col("__l") == F.col("node"), "left").withColumn("__c", F.coalesce("component", "__l")).withColumn("__r", rank)
     best = placed.groupBy("__c").agg(F.min(F.struct((-F.col("__r")).alias("r"), F.col("pos"))).alias("m"), F.count(F.lit(1)).alias("copies"))

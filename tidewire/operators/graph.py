@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.storage import Scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``(u, v)`` of a task -> each of its nodes with the smallest node it is connected to there."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = sorted((root(u), root(v)))
+            up[v] = u
+    stars = [(x, root(x)) for x in up]
+    stars = [s for s in stars if s[0] != s[1]]
+    if stars:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stars, strict=True), schema, strict=True)], schema=schema)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, at_once: int = 0) -> DataFrame:
     """``(node, component)`` for every node on an edge; the component is its smallest node.
 
     Large star: every node hands its larger neighbours its smallest one. Small star: the same with its
     smaller neighbours. The edges converge to stars around the smallest nodes in about log(n) rounds. Hubs
     are aggregated before the shuffle, and each round's tables are written, so a lost executor costs one
     round at most and skewed joins can be split. Loops and null ends are ignored. Components that are not
-    settled after ``max_rounds`` rounds, which takes a chain of some 2**max_rounds nodes, are an error.
+    settled after ``max_rounds`` rounds, which takes a chain of some 2**max_rounds nodes, are an error. Up to ``at_once``
+    edges are one task's work, without rounds; above that, tasks first replace what they hold by stars.
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -26,6 +51,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return r["n"], r["h"]
 
     was = mark(at)
+    if at_once:
+        kinds = f"u {at.schema['u'].dataType.simpleString()}, v {at.schema['v'].dataType.simpleString()}"
+        stars = scratch.put((at.coalesce(1) if was[0] <= at_once else at).mapInArrow(_forest, kinds).distinct(), narrow=True)
+        at, max_rounds = stars, 0 if was[0] <= at_once else max_rounds
+        was = mark(at) if max_rounds else was
     for _ in range(max_rounds):
         both = at.union(at.select(F.col("v"), F.col("u")))
         low = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), narrow=True)
@@ -39,5 +69,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         was = now
     else:
-        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        if max_rounds:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())

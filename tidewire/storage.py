@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: What a batch for a Python worker may hold while a table is written, where the session does not say. Whole texts
@@ -90,6 +91,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def put_counted(self, df: DataFrame, narrow: bool = False) -> tuple[DataFrame, int]:
+        """``put``, and the number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), narrow)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of ``put`` that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
