@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text
-from tidewire.operators.graph import connected_components
+from tidewire.operators.graph import connected_components, merge_components
 from tidewire.operators.islands import settle_islands
 from tidewire.storage import Scratch
 
@@ -234,21 +234,49 @@ def merge_evidence(reports: DataFrame, cluster: str = "leader") -> DataFrame:
     return out.select("h.link", "h.title", "h.source", "h.published_at", "stage", "lead", F.col("p.amount_m").alias("amount_m"), F.col("p.link").alias("amount_link"), F.col("p.source").alias("amount_source"), "reports", F.array_sort(F.array_except("s", F.array("h.source"))).alias("also_reported_by"))
 
 
+def _keyed(articles: DataFrame) -> DataFrame:
+    rank = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", 2).otherwise(0) + F.when(~F.col("link").rlike("(?i)^https?://news\\.google\\."), 1).otherwise(0)
+    keys = {"__l": F.concat(F.lit("l:"), text.link_key(F.col("link"))), "__t": F.concat(F.lit("t:"), text.title_key(F.col("title"))), "__r": rank}
+    return articles.withColumns(keys)
+
+
+def _key_edges(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__l").alias("a"), F.col("__t").alias("b")).where("b <> 't:'").distinct()
+
+
 def two_key_dedupe(articles: DataFrame) -> DataFrame:
     """One article for all that share a link key or a loose title key, directly or through others.
 
     The richest copy stays: a summary counts 2, a direct link 1, then the earlier position ``pos``.
     """
     scratch = Scratch(articles.sparkSession, "two-key")
-    keyed = scratch.put(articles.withColumn("__l", F.concat(F.lit("l:"), text.link_key(F.col("link")))).withColumn("__t", F.concat(F.lit("t:"), text.title_key(F.col("title")))))
-    edges = keyed.select(F.col("__l").alias("a"), F.col("__t").alias("b")).where("b <> 't:'").distinct()
-    part = scratch.put(connected_components(edges, at_once=200_000))
-    rank = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", 2).otherwise(0) + F.when(~F.col("link").rlike("(?i)^https?://news\\.google\\."), 1).otherwise(0)
-    placed = keyed.join(part, F.col("__l") == F.col("node"), "left").withColumn("__c", F.coalesce("component", "__l")).withColumn("__r", rank)
+    keyed = scratch.put(_keyed(articles))
+    part = scratch.put(connected_components(_key_edges(keyed), at_once=200_000))
+    placed = keyed.join(part, F.col("__l") == F.col("node"), "left").withColumn("__c", F.coalesce("component", "__l"))
     best = placed.groupBy("__c").agg(F.min(F.struct((-F.col("__r")).alias("r"), F.col("pos"))).alias("m"), F.count(F.lit(1)).alias("copies"))
     return placed.join(best, "__c").where(F.col("pos") == F.col("m.pos")).select(*articles.columns, "copies")
 
 
+def two_key_batch(batch: DataFrame, labels: DataFrame | None, best: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One more batch for ``two_key_dedupe``: stored ``labels(node, component)`` of keys and ``best(component, m, copies)``, the
+    winner of each component, -> both with the batch merged in (None: nothing is stored yet).
+
+    Batches give what all their articles give at once, in any order: ``m`` is ``(r, pos)`` of the richest copy.
+    """
+    spark = batch.sparkSession
+    scratch = Scratch(spark, "two-key-batch")
+    keyed = scratch.put(_keyed(batch).select("pos", "__l", "__t", "__r"))
+    if labels is None:
+        labels = spark.createDataFrame([], "node string, component string")
+    labels, moved = merge_components(labels, scratch.put(_key_edges(keyed), narrow=True), scratch)
+    placed = keyed.hint("merge").join(labels.hint("merge"), F.col("__l") == F.col("node"), "left")
+    new = placed.select(F.coalesce("component", "__l").alias("component"), F.struct((-F.col("__r")).alias("r"), F.col("pos")).alias("m"), F.lit(1).cast("long").alias("copies"))
+    if best is not None:
+        old = best.withColumnRenamed("component", "was").hint("merge").join(moved.hint("merge"), "was", "left")
+        new = new.unionByName(old.select(F.coalesce("component", "was").alias("component"), "m", "copies"))
+    return labels, scratch.put(new.groupBy("component").agg(F.min("m").alias("m"), F.sum("copies").alias("copies")), narrow=True)
+
+
 def first_per_title(articles: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each loose title in a group."""
     keyed = articles.withColumn("__k", text.title_key(F.col("title")))

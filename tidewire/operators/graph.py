@@ -72,3 +72,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if max_rounds:
             raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v"), F.col("v")).distinct())
+
+
+def merge_components(labels: DataFrame, edges: DataFrame, scratch: Scratch, at_once: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Stored ``labels(node, component)`` and a batch's ``edges(a, b)`` -> all labels, and ``moved(was, component)``.
+
+    Only the components that the batch touches are looked at: its edges are drawn between stored components (or new
+    nodes), the components of that small graph are found, and what they say is carried back.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    known = scratch.put(ends.hint("merge").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("was")), narrow=True)
+    one, other = (known.select(F.col("node").alias(x), F.col("was").alias(f"w{x}")) for x in "ab")
+    drawn = edges.select("a", "b").hint("merge").join(one.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
+    found = connected_components(scratch.put(drawn.select(F.col("wa").alias("a"), F.col("wb").alias("b")), narrow=True), at_once=at_once)
+    moved = scratch.put(found.select(F.col("node").alias("was"), "component"), narrow=True)
+    new = known.join(labels.select("node"), "node", "left_anti")
+    old = labels.withColumnRenamed("component", "was")
+    both = old.unionByName(new).hint("merge").join(moved.hint("merge"), "was", "left")
+    return scratch.put(both.select("node", F.coalesce("component", "was").alias("component")), narrow=True), moved

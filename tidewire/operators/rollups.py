@@ -59,6 +59,19 @@ def period_rollup(rounds: DataFrame, grain: str, as_of: Column | None = None, le
     return out.withColumn("open", dates.is_open(F.col("period"), as_of)) if as_of is not None else out
 
 
+def all_grains(rounds: DataFrame, least: int = 1) -> DataFrame:
+    """``period_rollup`` of months, quarters and years with their ``grain``, in one pass and one shuffle."""
+    at = rounds.withColumns({g: dates.KEYS[g](F.col("published_at")) for g in ("month", "quarter", "year")})
+    sets = at.groupingSets([["month"], ["quarter"], ["year"]], "month", "quarter", "year")
+    out = sets.agg(
+        F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("rounds"), total(F.col("amount_m")).alias("total_m"), F.median("amount_m").alias("median_m"), F.max("amount_m").alias("largest_m")
+    )
+    # a bit of the id is set for every column that is not grouped by
+    grain = F.when(F.col("__g") == 0b011, "month").when(F.col("__g") == 0b101, "quarter").otherwise("year")
+    named = out.select(grain.alias("grain"), F.coalesce("month", "quarter", "year").alias("period"), "rounds", "total_m", "median_m", "largest_m")
+    return named.where((F.col("rounds") >= least) & F.col("period").isNotNull())
+
+
 def period_change(periods: DataFrame) -> DataFrame:
     """Each period against the one before: percentage in total (null from nothing), difference in rounds."""
     by = Window.orderBy("period")

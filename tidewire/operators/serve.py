@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.functions import dates, rules, text
+from tidewire.storage import Scratch
 
 # ---- filters and sorts ----
 
@@ -73,11 +78,22 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def index_lists(lists: DataFrame, per_part: int = 1000) -> DataFrame:
+    """``lists(slug, list, rank, value)`` -> ``(slug, list, part, entries)``: the lists of a record in parts of about ``per_part``
+    entries, each sorted by rank and value, so that no row and no task holds all links of a large company."""
+    size = lists.groupBy("slug", "list").agg(F.ceil(F.count(F.lit(1)) / per_part).alias("__parts"))
+    dealt = lists.hint("merge").join(size.hint("merge"), ["slug", "list"])
+    part = F.pmod(F.xxhash64("value", "rank"), F.col("__parts")).cast("int").alias("part")
+    return dealt.groupBy("slug", "list", part).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("entries"))
+
+
 def write_index(companies: DataFrame, mentions: DataFrame, topics: DataFrame, relations: DataFrame, path: str) -> None:
-    """Company records with their lists, newest activity first. Nested only here: the tables stay flat."""
-    lists = lambda df, cols, name: df.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    out = companies.join(lists(topics, ["rank", "tag", "n"], "topics"), "slug", "left").join(lists(relations.withColumnRenamed("item", "slug"), ["rank", "other", "n"], "related"), "slug", "left").join(lists(mentions, ["link"], "articles"), "slug", "left")
-    out.orderBy(F.col("last_seen").desc(), "slug").write.mode("overwrite").json(path)
+    """Company records, newest activity first, and their lists in parts (``index_lists``): two JSON tables."""
+    top = topics.select("slug", F.lit("topics").alias("list"), F.col("rank").cast("long").alias("rank"), F.col("tag").cast("string").alias("value"))
+    near = relations.select(F.col("item").alias("slug"), F.lit("related").alias("list"), F.col("rank").cast("long").alias("rank"), F.col("other").cast("string").alias("value"))
+    told = mentions.select("slug", F.lit("articles").alias("list"), F.lit(0).cast("long").alias("rank"), F.col("link").cast("string").alias("value"))
+    companies.orderBy(F.col("last_seen").desc(), "slug").write.mode("overwrite").json(f"{path}/companies")
+    index_lists(top.unionByName(near).unionByName(told)).write.mode("overwrite").json(f"{path}/lists")
 
 
 def funding_feed(rounds: DataFrame, n: int = 40) -> DataFrame:
@@ -174,31 +190,91 @@ def merge_rewrite(cached: DataFrame, rewritten: DataFrame, pv: int, most: int =
 # ---- links in prose ----
 
 
-def link_spans(paragraphs: DataFrame, terms: DataFrame, per_paragraph: int = 2, per_page: int = 6) -> DataFrame:
+def _fold(text: str) -> str:
+    """Lower case, letter for letter."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _scan_terms(terms, page_type: pa.DataType, para_type: pa.DataType):
+    """One scan a paragraph with an automaton of all terms: whole-word matches ``(page, para, start, end, target)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        meant: dict[str, list[tuple]] = {}
+        for term, target, exact, stem in terms.value:
+            meant.setdefault(_fold(term), []).append((term, target, exact, stem))
+        for word in meant:
+            if word:
+                found.add_word(word, word)
+        if len(found):
+            found.make_automaton()
+        schema = pa.schema([("page", page_type), ("para", para_type), ("start", pa.int32()), ("end", pa.int32()), ("target", pa.string())])
+        inside = lambda c: c.isalnum() or c == "_"
+        for b in batches:
+            rows = []
+            for page, para, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for last, word in found.iter(_fold(body)) if body and len(found) else ():
+                    start, end = last + 1 - len(word), last + 1
+                    if start and inside(body[start - 1]):
+                        continue
+                    whole = end == len(body) or not inside(body[end])
+                    for term, target, exact, stem in meant[word]:
+                        if exact and body[start:end] != term or not (whole or stem):
+                            continue
+                        to = end
+                        while stem and to < len(body) and inside(body[to]):
+                            to += 1
+                        rows.append((page, para, start, to, target))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 5, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _budgets(per_paragraph: int, per_page: int):
+    """Matches sorted by page, paragraph, start and length -> those that become links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, para, used, here, free = (), None, set(), 0, 0
+        for b in batches:
+            keep = []
+            for i, row in enumerate(zip(*[c.to_pylist() for c in b.columns], strict=True)):
+                if page != (row[0],):
+                    page, para, used = (row[0],), None, set()
+                if (row[1],) != para:
+                    para, here, free = (row[1],), 0, 0
+                if len(used) < per_page and here < per_paragraph and row[2] >= free and row[4] not in used:
+                    used.add(row[4])
+                    here, free = here + 1, row[3]
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def link_spans(paragraphs: DataFrame, terms: DataFrame, per_paragraph: int = 2, per_page: int = 6, terms_at_once: int = 200_000) -> DataFrame:
     """``paragraphs(page, para, body)`` x ``terms(term, target)`` -> ``(page, para, start, end, target)``.
 
-    Earliest match, then the longest; each target once a page; whole words; budgets by paragraph and page.
-    Candidates meet on the first word of a term, so the term list is joined, not scanned per page.
+    Earliest match, then the longest; each target once a page; whole words; budgets by paragraph and page. Terms may have
+    ``exact`` (case counts, for names of companies) and ``stem`` (a match that begins a word grows to its end).
+    Every paragraph is scanned once by an Aho-Corasick automaton of the terms, ``terms_at_once`` of them; more terms take
+    more scans. A page's matches pass its budgets as a sorted stream.
     """
-    words = paragraphs.select("page", "para", "body", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("w"))
-    keyed = terms.select("term", "target", F.regexp_extract(F.lower("term"), r"[a-z0-9]+", 0).alias("w"))
-    cand = words.hint("merge").join(keyed.hint("merge"), "w").where(F.lower("body").contains(F.lower("term"))).select("page", "para", "body", "term", "target")
-
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        hits = []
-        for para, body, term, target in page[["para", "body", "term", "target"]].itertuples(index=False):
-            hits += [(para, m.start(), -m.end(), target) for m in re.finditer(rf"(?i)(?<!\w){re.escape(term)}(?!\w)", body)]
-        out, used, free, counts = [], set(), {}, {}
-        for para, start, end, target in sorted(hits):
-            if target not in used and start >= free.get(para, 0) and counts.get(para, 0) < per_paragraph and len(out) < per_page:
-                used.add(target)
-                free[para], counts[para] = -end, counts.get(para, 0) + 1
-                out.append((page["page"].iloc[0], para, start, -end, target))
-        return pd.DataFrame(out, columns=["page", "para", "start", "end", "target"])
-
-    return cand.groupBy("page").applyInPandas(place, f"page {paragraphs.schema['page'].dataType.simpleString()}, para {paragraphs.schema['para'].dataType.simpleString()}, start int, end int, target string")
+    spark = paragraphs.sparkSession
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in terms.columns else F.lit(False)
+    known = Scratch(spark, "terms").put(terms.where("term is not null").select("term", F.col("target").cast("string").alias("target"), flag("exact").alias("exact"), flag("stem").alias("stem")))
+    blocks = max(1, -(-known.count() // terms_at_once))
+    rows = paragraphs.select("page", "para", "body")
+    page, para = (rows.schema[c].dataType for c in ("page", "para"))
+    kinds = f"page {page.simpleString()}, para {para.simpleString()}, start int, end int, target string"
+    found = []
+    for i in range(blocks):
+        some = [tuple(r) for r in known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toLocalIterator()]
+        found.append(rows.mapInArrow(_scan_terms(spark.sparkContext.broadcast(some), to_arrow_type(page), to_arrow_type(para)), kinds))
+    order = ["page", "para", "start", F.col("end").desc(), "target"]
+    return reduce(DataFrame.union, found).repartition("page").sortWithinPartitions(*order).mapInArrow(_budgets(per_paragraph, per_page), kinds)
 
 
 def with_previous(rows: DataFrame, order: list[Column], col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, rules
 from tidewire.operators.ranges import running
+from tidewire.sources import feeds
 from tidewire.storage import Scratch
 
 
@@ -99,6 +100,24 @@ def previous_brief(briefs: DataFrame, day: str, n: int = 1) -> DataFrame:
     return briefs.where(F.col("date") < F.lit(day).cast("date")).orderBy(F.col("date").desc()).limit(n)
 
 
+def previous_in_time(asked: DataFrame, briefs: DataFrame, n: int = 3, at: str = "date") -> DataFrame:
+    """An as-of join: each row of ``asked`` with the newest ``n`` briefs strictly before its ``at``, as ``back`` (1 is the
+    newest) and ``brief``, the brief's own row; rows without any earlier brief have none.
+
+    Both tables are sorted by time together, range by range (a row that asks comes before a brief of its own time), briefs
+    get running numbers, and an asking row meets the ``n`` numbers before it. ``at`` of ``briefs`` is distinct.
+    """
+    scratch = Scratch(asked.sparkSession, "as-of")
+    rows = asked.select(F.col(at).alias("at"), F.struct(*asked.columns).alias("asked"), F.lit(None).cast(briefs.select(F.struct(*briefs.columns)).schema[0].dataType).alias("brief"))
+    told = briefs.select(F.col(at).alias("at"), F.lit(None).cast(rows.schema["asked"].dataType).alias("asked"), F.struct(*briefs.columns).alias("brief"))
+    both = rows.unionByName(told).where("at is not null").withColumn("told", F.col("brief").isNotNull().cast("long"))
+    placed = scratch.put(running(both, [F.col("at"), F.col("told"), F.xxhash64("asked", "brief")], ["told"], scratch))
+    number = placed.where("told = 1").select((F.col("told_before") + 1).alias("number"), "brief")
+    back = F.explode(F.array(*[F.struct(F.lit(i).alias("back"), (F.col("told_before") - i + 1).alias("number")) for i in range(1, n + 1)]))
+    wants = placed.where("told = 0").select("asked", back.alias("w")).select("asked.*", "w.back", "w.number")
+    return wants.hint("merge").join(number.hint("merge"), "number").drop("number")
+
+
 def digest(articles: DataFrame) -> DataFrame:
     """Counts of the window in long form: stories, outlets, and stories of each label."""
     base = articles.agg(F.count(F.lit(1)).alias("stories"), F.countDistinct("source").alias("outlets")).selectExpr("stack(2, 'stories', stories, 'outlets', outlets) as (measure, n)")
@@ -167,6 +186,27 @@ def sources(articles: DataFrame) -> DataFrame:
     return articles.select("source").distinct().orderBy("source")
 
 
+def publish_days(articles: DataFrame, path: str, at: str = "published_at") -> list[str]:
+    """The articles as a table with a partition a day; only days whose rows are not what is stored are written, and these
+    days' names are returned. Days that are gone from ``articles`` are emptied as tables, not as folders: they stay as filed.
+
+    Whether a day has changed is told by its number of rows and the sum of their hashes.
+    """
+    spark = articles.sparkSession
+    rows = Scratch(spark, "publish").put(articles.withColumn("day", F.date_format(at, "yyyy-MM-dd")))
+    of = [F.col(c) for c in articles.columns]
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*of).cast("decimal(38,0)")).alias("h")]
+    new = rows.groupBy("day").agg(*mark)
+    old = feeds.or_empty(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)).groupBy("day").agg(*mark)
+    same = old.select("day", F.col("n").alias("was_n"), F.col("h").alias("was_h"))
+    changed = new.join(same, "day", "left").where(~(F.col("n").eqNullSafe(F.col("was_n")) & F.col("h").eqNullSafe(F.col("was_h")))).select("day")
+    days = sorted(r["day"] or "" for r in changed.collect())  # a name a day
+    if days:
+        dealt = rows.where(F.coalesce("day", F.lit("")).isin(days)).repartition("day", F.pmod(F.xxhash64(*of), F.lit(8)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return days
+
+
 def write_payload(articles: DataFrame, path: str, as_of: Column) -> None:
     """The wire as tables: articles, outlets, label counts and one row about the batch."""
     articles.write.mode("overwrite").parquet(f"{path}/articles")

@@ -83,3 +83,16 @@ def brief_verdict(df: DataFrame, reply: str = "reply", low: int = 80) -> DataFra
     field = lambda c: text.squeeze(F.coalesce(x[c], F.lit("")))
     reason = F.when(x.isNull(), "no object").when((field("headline") == "") | (field("teaser") == ""), "empty").when((F.length(field("whatsHappening")) < low) | (F.length(field("whyItMatters")) < low), "short")
     return r.select(*df.columns, F.regexp_replace(field("headline"), r"\.$", "").alias("headline"), field("teaser").alias("teaser"), field("whatsHappening").alias("whats_happening"), field("whyItMatters").alias("why_it_matters"), reason.alias("reason"))
+
+
+def reply_variants(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Replies of unknown shape: the first object or array in the text as a variant ``v`` (null where none parses) and its
+    ``shape``, the schema it has; fields are read with ``try_variant_get``, null where the shape has none."""
+    text_ = F.col(reply)
+    whole = F.coalesce(F.try_parse_json(text_), F.try_parse_json(text.json_slice(text_)))
+    return replies.withColumn("v", whole).withColumn("shape", F.schema_of_variant("v"))
+
+
+def shape_counts(read: DataFrame) -> DataFrame:
+    """How many replies have each shape, unreadable ones under null."""
+    return read.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
