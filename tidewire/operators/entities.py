@@ -13,91 +13,107 @@ from tidewire.functions import rules, text
 from tidewire.operators.rollups import co_occurrence, top_per_group
 from tidewire.storage import Scratch
 
-_ADJECTIVE = re.compile(rules.ADJECTIVE_ENDING)
-_NAMELIKE = re.compile(r"[A-Z][A-Za-z0-9.'&-]*$|[A-Z0-9&.]{2,}$|.*[a-z][A-Z]")
-_FIGURE = re.compile(r"(?i)\$?\d[\d.,]*[kmbn%]?$")
-_VERSION = re.compile(r"v?\d[\d.]*$")
-
-
-class NameReader:
-    """Company names of headlines. ``known`` maps slugs to display names, ``generic`` words are none by themselves."""
-
-    def __init__(self, known: dict[str, str] | None = None, generic: list[str] | None = None):
-        self.known = known or {}
-        self.generic = set(rules.GENERIC_WORDS if generic is None else generic)
-        inside = set(rules.COMPANY_TYPE)  # generic words that may be part of a name
-        self.actions = set(rules.ACTION_WORDS)
-        self.ends = {*rules.GRAMMAR_WORDS, *rules.ACTION_WORDS, *rules.PLACE_WORDS, *rules.MODIFIER_WORDS, *(self.generic - inside)}
-        self.endings, self.acronyms, self.takes = set(rules.NAME_ENDINGS), set(rules.TRADE_ACRONYMS) | self.generic, set(rules.OBJECT_ACTIONS)
-
-    def __call__(self, title: str | None, exclude: str | None = None) -> list[str]:
-        """The names in order, each once; ``exclude`` is a slug not to report (the outlet's)."""
-        clean = re.sub(r"[“”\"()\[\]]", " ", re.sub(r"[’']s\b", "", title or ""))
-        tokens = clean.split()
-        bare = [re.sub(r"[^A-Za-z0-9&.]+$", "", re.sub(r"^[^A-Za-z0-9&]+", "", t)) for t in tokens]
-        low = [t.lower() for t in bare]
-        fits = [self._fits(b, lo) for b, lo in zip(bare, low, strict=True)]
-        out: dict[str, str] = {}
-        at = 0
-        while at < len(tokens):
-            if not fits[at]:
-                at += 1
-                continue
-            end = at + 1
-            while end < len(tokens) and end - at < 5 and tokens[end - 1][-1] not in ",;:—–":
-                if fits[end]:
-                    end += 1
-                elif tokens[end] == "&" and end + 1 < len(tokens) and fits[end + 1]:
-                    end += 2
-                else:
-                    break
-            self._judge(bare, low, at, end, exclude, out)
-            at = end
-        return list(out.values())
-
-    def _fits(self, bare: str, low: str) -> bool:
-        """Whether a token can be part of a name."""
-        gerund = len(low) >= 7 and low.endswith("ing")
-        return bool(bare and _NAMELIKE.match(bare)) and low not in self.ends and not gerund and not _ADJECTIVE.search(bare) and not _VERSION.match(bare)
-
-    def _judge(self, bare: list[str], low: list[str], at: int, end: int, exclude: str | None, out: dict[str, str]) -> None:
-        """Add the run of tokens if something marks it as a company: its own form, or an action before or behind it."""
-        core = [b for b in bare[at:end] if b]
-        while len(core) > 1 and core[0].lower() in self.generic:
-            core = core[1:]
-        if all(w.lower() in self.generic for w in core):
-            return
-        word = lambda i: low[i] if 0 <= i < len(low) else ""
-        acts = word(end) in self.actions or (word(end) in ("and", "&") and word(end + 1) in self.actions)
-        taken = word(at - 1) in self.takes or (word(at - 1) in ("and", "&") and word(at - 2) in self.takes)
-        camel = any(re.search(r"[a-z][A-Z]", b) for b in bare[at:end])
-        acronym = len(core) == 1 and re.fullmatch(r"[A-Z]{3,6}", core[0]) and core[0].lower() not in self.acronyms
-        if not (_slug(core) in self.known or camel or acts or taken or acronym or (len(core) > 1 and core[-1].lower() in self.endings)):
-            return
-        while len(core) > 1 and (core[-1].lower() in ("&", "and") or _FIGURE.match(core[-1]) or (len(core) > 2 and re.fullmatch("[A-Z]{2,6}", core[-1]))):
-            core = core[:-1]
-        slug = _slug(core)
-        if slug and slug != exclude and not all(w.lower() in self.generic for w in core):
-            out[slug] = self.known.get(slug, " ".join(core))
-
-
-def _slug(words: list[str]) -> str:
-    """What ``text.company_slug`` makes of a name."""
-    parts = re.sub(r"[^a-z0-9 ]+", " ", " ".join(words).lower().replace("&", " and ")).split()
-    while len(parts) > 1 and parts[-1] in rules.LEGAL_SUFFIXES:
-        parts.pop()
-    return "-".join(parts)
+#: A run of name-like words in the string that has one letter for each word of a headline: N, n where a mark behind the word
+#: ends the run, & for a lone ampersand, which joins. At most three words' length, a joint, and one word more.
+_RUN = "(?:NNN|NN&|N&N|NN|N&|N)?N&?[Nn]|[Nn]"
+_NAMELIKE = r"^(?:[A-Z][A-Za-z0-9.'&-]*$|[A-Z0-9&.]{2,}$|.*[a-z][A-Z])"
+_UNLIKE = rf"^v?\d[\d.]*$|(?i:^.{{4,}}ing$)|{rules.ADJECTIVE_ENDING}"
+_FIGURE = r"(?i)^\$?\d[\d.,]*[kmbn%]?$"
 
 
-def company_names(title: Column, known: dict[str, str] | None = None, generic: list[str] | None = None, source: Column | None = None) -> Column:
-    """Company names a headline mentions, in order; ``known`` maps slugs to display names, ``source`` is never one."""
-    names = NameReader(known, generic)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _letters(words: Column, cases: list, other: str = ".") -> Column:
+    """A string with a letter for each word: that of the first case that holds."""
+
+    def one(w: Column) -> Column:
+        out = None
+        for test, letter in cases:
+            out = F.when(test(w), letter) if out is None else out.when(test(w), letter)
+        return out.otherwise(other)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def read(t: pd.Series, outlet: pd.Series) -> pd.Series:
-        return pd.Series([names(s, o) for s, o in zip(t, outlet, strict=True)])
+    return F.array_join(F.transform(words, one), "")
 
-    return read(title, F.lit("") if source is None else text.company_slug(source))
+
+def company_names(title: Column, known: dict[str, str] | None = None, generic: list[str] | None = None, source: Column | None = None) -> Column:
+    """Company names a headline mentions, in order, each once; ``known`` maps slugs to display names, ``generic`` words are no
+    name by themselves, ``source`` is never one.
+
+    Words become letters: strings of classes, one letter a word. Runs of name-like words are then found by a pattern over
+    letters, and what stands before and behind a run is read off the same way. A run is a company if one of the marks below
+    holds. Array functions only, no Python worker.
+    """
+    generic = list(rules.GENERIC_WORDS if generic is None else generic)
+    ends = sorted({*rules.GRAMMAR_WORDS, *rules.ACTION_WORDS, *rules.PLACE_WORDS, *rules.MODIFIER_WORDS, *(set(generic) - set(rules.COMPANY_TYPE))})
+    acronyms = sorted({*rules.TRADE_ACRONYMS, *generic})
+    among = lambda words: lambda w: w["low"].isin(list(words))
+    joint = (among(["and", "&"]), "j")
+    fits = lambda w: w["bare"].rlike(_NAMELIKE) & ~w["low"].isin(ends) & ~w["bare"].rlike(_UNLIKE)
+
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"[’']s\b", ""), r"[“”\"()\[\]]", " ")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, "^[^A-Za-z0-9&]+", ""), "[^A-Za-z0-9&.]+$", "")
+    words = F.transform(F.filter(F.split(plain, r"\s+"), lambda t: t != ""), lambda t: F.struct(t.alias("token"), bare(t).alias("bare"), F.lower(bare(t)).alias("low")))
+
+    def classes(w: Column) -> Column:
+        return F.struct(
+            w.alias("words"),
+            _letters(w, [(lambda x: fits(x) & x["token"].rlike("[,;:—–]$"), "n"), (fits, "N"), (lambda x: x["token"] == "&", "&")]).alias("run"),
+            _letters(w, [(among(rules.ACTION_WORDS), "a"), joint]).alias("acts"),
+            _letters(w, [(among(rules.OBJECT_ACTIONS), "t"), joint]).alias("takes"),
+            _letters(w, [(among(generic), "g")]).alias("generic"),
+            # what a name does not end in: joints and figures, and short capitals behind two words
+            _letters(w, [(lambda x: x["low"].isin("&", "and") | x["bare"].rlike(_FIGURE), "c"), (lambda x: x["bare"].rlike("^[A-Z]{2,6}$"), "C")]).alias("tail"),
+        )
+
+    def runs(k: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("runs"))
+        step = lambda acc, p: F.struct(
+            (acc["at"] + F.length(p)).alias("at"),
+            F.when(p.rlike("^[Nn]"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), F.length(p).alias("n"))))).otherwise(acc["runs"]).alias("runs"),
+        )
+        found = F.aggregate(F.regexp_extract_all(k["run"], F.lit(f"{_RUN}|."), F.lit(0)), start, step)["runs"]
+        lead = lambda r: F.length(F.regexp_extract(F.substr(k["generic"], r["at"] + 1, r["n"]), "^g*", 0))
+        cores = F.transform(found, lambda r: _let(lead(r), lambda g: F.struct(r["at"].alias("at"), r["n"].alias("n"), (r["at"] + g).alias("core"), (r["n"] - g).alias("size"))))
+        return F.transform(F.filter(cores, lambda r: r["size"] > 0), lambda r: read(k, r))
+
+    def read(k: Column, r: Column) -> Column:
+        """Slug and name of a run; no slug where nothing marks it as a company."""
+        core = F.slice(k["words"], r["core"] + 1, r["size"])
+        last = F.element_at(core, -1)
+        marks = {
+            "an action behind it": F.substr(k["acts"], r["at"] + r["n"] + 1, F.lit(2)).rlike("^j?a"),
+            "an action on it": F.substr(k["takes"], F.lit(1), r["at"]).rlike("tj?$"),
+            "a capital inside a word": F.exists(F.slice(k["words"], r["at"] + 1, r["n"]), lambda w: w["bare"].rlike("[a-z][A-Z]")),
+            "an acronym": (r["size"] == 1) & last["bare"].rlike("^[A-Z]{3,6}$") & ~last["low"].isin(acronyms),
+            "a company's last word": (r["size"] > 1) & last["low"].isin(list(rules.NAME_ENDINGS)),
+        }
+        if known:
+            marks["a known company"] = text.company_slug(_joined(core)).isin(list(known))
+        company = F.lit(False)
+        for mark in marks.values():
+            company = company | mark
+        tail = F.regexp_replace(F.substr(k["tail"], r["core"] + 1, r["size"]), "(?<=..)[cC]+$", "")
+        name = _joined(F.slice(core, F.lit(1), F.length(F.regexp_replace(tail, "(?<=^.)c$", ""))))
+        return _let(name, lambda n: F.struct(F.when(company, text.company_slug(n)).alias("slug"), n.alias("name")))
+
+    def distinct(found: Column) -> Column:
+        slugs = F.array_distinct(F.transform(found, lambda x: x["slug"]))
+        return F.transform(slugs, lambda s: F.element_at(F.filter(found, lambda x: x["slug"] == s), -1)["name"])
+
+    outlet = F.lit("") if source is None else text.company_slug(source)
+    wanted = lambda x: x["slug"].isNotNull() & (x["slug"] != "") & (x["slug"] != F.coalesce(outlet, F.lit("")))
+    named = _let(words, lambda w: _let(classes(w), lambda k: F.filter(runs(k), wanted)))
+    if known:
+        names = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+        named = F.transform(named, lambda x: F.struct(x["slug"].alias("slug"), F.coalesce(F.try_element_at(names, x["slug"]), x["name"]).alias("name")))
+    return _let(named, distinct)
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["bare"]), " ")
 
 
 def sane_names(names: Column, junk: list[str], exclude: Column | None = None, generic: list[str] | None = None) -> Column:
