@@ -302,3 +302,60 @@ def test_em_at_the_settings_of_the_query():
     found = np.array([soft[int(p)] > 0.5 for p in quality._pattern(votes)])
     assert (found == good).mean() > 0.9 and found[good].mean() > 0.9
     assert rates[:, 1, quality.BAD].max() < 0.03
+
+
+def test_passages_in_a_crowd(spark):
+    """Ten exact passages of 80 words, each whole in two texts and in halves of 42 words in fifteen others each."""
+    rng, texts, whole = random.Random(12), [], []
+    for _ in range(10):
+        p = prose(rng, 80, 10**6).split()
+        around = lambda w: " ".join([prose(rng, 30, 10**6), *w, prose(rng, 30, 10**6)])
+        texts += [around(p[:42]) for _ in range(15)] + [around(p[38:]) for _ in range(15)]
+        whole.append((len(texts), len(texts) + 1))
+        texts += [around(p), around(p)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = chaining.repeated_passages(df).collect()
+    met = {frozenset((r["doc_id"], r["match_id"])) for r in got if r["length"] >= 75}
+    assert all(frozenset(w) in met for w in whole)
+
+
+def test_passages_of_a_text_of_one_word(spark):
+    df = spark.createDataFrame([(1, "word " * 3000), (2, "alone"), (3, prose(random.Random(1), 80, 10**6))], "doc_id long, text string")
+    got = chaining.repeated_passages(df).collect()
+    covered = set()
+    for r in got:
+        assert r["doc_id"] == r["match_id"] == 1 and r["length"] >= 50
+        covered |= set(range(r["start"], r["start"] + r["length"]))
+    assert len(covered) >= 2950 and len(got) < 100
+
+
+def test_exact_passages_of_a_whole_table(spark):
+    """Every text that holds 50 words found elsewhere has a row that covers them, whatever else the texts share."""
+    rng = random.Random(21)
+    parts = [prose(rng, rng.choice([20, 30, 45, 60, 90]), 10**6) for _ in range(25)]
+    texts = [" ".join(prose(rng, rng.randrange(5, 40), 10**6) if rng.random() < 0.4 else rng.choice(parts) for _ in range(rng.randrange(1, 8))) for _ in range(120)]
+    windows = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            windows.setdefault(" ".join(w[j : j + 50]), []).append((i, j))
+    got = chaining.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    covered = {}
+    for r in got:
+        for who, at, n in ((r["doc_id"], r["start"], r["length"]), (r["match_id"], r["match_start"], r["match_length"])):
+            covered.setdefault(who, set()).update(range(at, at + n))
+    repeated = [(i, j) for places in windows.values() if len(places) > 1 for i, j in places]
+    found = sum(set(range(j, j + 50)) <= covered.get(i, set()) for i, j in repeated)
+    assert len(repeated) > 500 and found >= 0.95 * len(repeated)
+
+
+@pytest.mark.parametrize("bits", [3, 6, 64])
+def test_text_keys_part_what_hashes_do_not(spark, bits):
+    from tidewire.llm.keys import text_key
+
+    rows = [(i, f"t{i}") for i in range(200)] + [(None, None), (None, ""), (5, None), (5, "t5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = df.select("doc_id", "text", text_key(df, "doc_id", "text", bits).alias("k")).collect()
+    # null and empty texts are alike
+    assert len({r["k"] for r in got}) == len({(i, t or "") for i, t in rows})
+    assert all(len({r["k"] for r in got if (r["doc_id"], r["text"] or "") == x}) == 1 for x in {(i, t or "") for i, t in rows})
