@@ -168,8 +168,8 @@ def investors(mentions: DataFrame) -> DataFrame:
 def prefix_merges(slugs: DataFrame, exempt: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
     """``(slug, root)``: a slug folds into the longest shorter slug it extends by corporate words only.
 
-    Chains are followed to their end: each step at least drops a word, so a slug's own roots, longest first,
-    settle it in as many joins as the longest chain has links.
+    Chains are followed to their end: each step at least drops a word, so joins of the roots with themselves settle all
+    in as many turns as the longest chain's links have binary digits, and end when a turn changes nothing.
     """
     scratch = Scratch(slugs.sparkSession, "prefix")
     words = words or rules.COMPANY_TYPE
@@ -178,7 +178,7 @@ def prefix_merges(slugs: DataFrame, exempt: list[str] | None = None, words: list
     cuts = cuts.select("slug", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "-").alias("root"), F.slice(parts, F.col("k") + 1, F.size(parts)).alias("rest")).where(F.forall("rest", lambda w: w.isin(words)))
     real = cuts.hint("merge").join(slugs.select(F.col("slug").alias("root")).hint("merge"), "root")
     step = scratch.put(real.groupBy("slug").agg(F.max(F.struct("k", "root"))["root"].alias("root")))
-    for _ in range(8):
+    while True:  # each turn doubles the links that are behind a step; a name has few words
         onward = step.select(F.col("slug").alias("root"), F.col("root").alias("next"))
         longer = scratch.put(step.join(onward, "root", "left").select("slug", F.coalesce("next", "root").alias("root")))
         if longer.join(step.withColumnRenamed("root", "was"), "slug").where("root <> was").isEmpty():

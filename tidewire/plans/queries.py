@@ -598,3 +598,4 @@ def local_days(spark, d):
 
 from tidewire.plans import page_queries  # noqa: E402, F401  registers more
 from tidewire.plans import state_queries  # noqa: E402, F401  registers more
+from tidewire.plans import rule_queries  # noqa: E402, F401  registers more
