@@ -124,3 +124,17 @@ def test_same_deal_pairs_lose_nothing(spark):
     same = text.same_party(F.col("qa"), F.col("qb")) & (text.same_party(F.col("ga"), F.col("gb")) | (text.same_target(F.col("ga"), F.col("gb")) & near))
     want = {(r["a"], r["b"]) for r in a.join(b, F.col("a") < F.col("b")).where(same).collect()}
     assert {(r["a"], r["b"]) for r in dedupe.same_deal_pairs(df).collect()} == want and want
+
+
+def test_rank_in_groups(many_ranges):
+    from tidewire.operators.ranges import rank_in_groups
+    from tidewire.storage import Scratch
+
+    rng = random.Random(11)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"g{i % 7}", rng.randrange(50), i) for i in range(600)]
+    df = many_ranges.createDataFrame(rows, "g string, v int, i int")
+    got = {r["i"]: (r["rank"], r["k"]) for r in rank_in_groups(df, ["g"], [F.col("v").desc(), F.col("i")], Scratch(many_ranges, "rank"), size="k").collect()}
+    groups = {}
+    for g, v, i in rows:
+        groups.setdefault(g, []).append((-v, i))
+    assert got == {i: (n, len(x)) for x in groups.values() for n, (_, i) in enumerate(sorted(x), 1)}

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
+from tidewire.operators.ranges import rank_in_groups
 from tidewire.operators.rollups import top_per_group
+from tidewire.storage import Scratch
 
 # ---- membership ----
 
@@ -53,7 +55,7 @@ def order_groups(groups: DataFrame, name: str) -> DataFrame:
 def directory(companies: DataFrame, group: str, rank: str = "rank") -> DataFrame:
     """The companies ``(group, slug, name, stories, total_m)`` of each group in order: coverage, capital, name."""
     order = [F.col("stories").desc(), F.coalesce("total_m", F.lit(0.0)).desc(), F.collate(F.col("name"), "UNICODE_CI_AI"), F.col("slug")]
-    return top_per_group(companies, [group], order, 1 << 30, rank)
+    return rank_in_groups(companies, [group], order, Scratch(companies.sparkSession, "directory"), rank)
 
 
 def capital_by_market(groups: DataFrame, n: int = 12) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, rules
-from tidewire.operators.ranges import running
+from tidewire.operators.ranges import rank_in_groups, running
 from tidewire.sources import feeds
 from tidewire.storage import Scratch
 
@@ -16,7 +16,8 @@ def prominence(articles: DataFrame, neighbours: DataFrame, as_of: Column, id_col
 
     Corroboration counts the outlets among an article and its neighbours (pairs ``(a, b)``), not its thread.
     """
-    both = neighbours.select("a", "b").union(neighbours.select(F.col("b"), F.col("a"))).distinct()
+    pairs = Scratch(articles.sparkSession, "prominence").put(neighbours.select("a", "b"), narrow=True)  # read in both directions
+    both = pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct()
     near = both.join(articles.select(F.col(id_col).alias("b"), F.col("source").alias("other")), "b").groupBy("a").agg(F.collect_set("other").alias("others"))
     out = articles.join(near, F.col(id_col) == F.col("a"), "left")
     outlets = F.size(F.array_union(F.array("source"), F.coalesce("others", F.array().cast("array<string>"))))
@@ -63,8 +64,7 @@ def top_headlines(articles: DataFrame, as_of: Column, n: int, hours: tuple[int,
 def sample_evidence(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """Per group the newest half of ``n`` and evenly spaced rows from the rest, titles already distinct."""
     half = (n + 1) // 2
-    w = Window.partitionBy(*group)
-    at = rows.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("k", F.count(F.lit(1)).over(w))
+    at = rank_in_groups(rows, group, order, Scratch(rows.sparkSession, "sample"), "rn", "k")
     rest, picks = F.col("k") - half, n - half
     i = F.col("rn") - half - 1
     slot = F.ceil(i * picks / rest)

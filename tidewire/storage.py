@@ -62,6 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` for the broadcast side of a join if it has ``rows`` rows at most, else for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
 class Scratch:
     """Intermediate tables of one job, in the shared folder.
 
