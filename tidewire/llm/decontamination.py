@@ -297,7 +297,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", ma
     """The rows of ``df`` with hit spans removed from their texts; rows hit over more than ``max_coverage`` go.
 
     Spans are those of windows of ``window`` words, the length limit. Clean rows, null and empty texts among
-    them, are returned unchanged; equal rows fare alike; an empty table or benchmark changes nothing.
+    them, are returned unchanged; equal rows fare alike; very long texts are read whole, one at a time; an empty table or
+    benchmark changes nothing; other columns, whatever their names, pass as they are.
     """
     blocks = item_blocks(benchmark, item, item_text, max_words)
     first, second = next(blocks, None), next(blocks, None)

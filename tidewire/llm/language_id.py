@@ -204,7 +204,10 @@ def identify(df: DataFrame, pages: DataFrame | None = None, *, row_id: str = "do
 
 
 def keep_identified(df: DataFrame, pages: DataFrame | None = None, *, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose language is identified, unchanged; rows equal in id and text go or stay together."""
+    """The rows of ``df`` whose language is identified, unchanged; rows equal in id and text go or stay together.
+
+    Null and empty texts go, very long ones are read whole, an empty table stays empty; other columns pass as they are.
+    """
     found = identify(df, pages, row_id=row_id, text=text, **options)
     gone = Scratch(df.sparkSession, "lang").put(found.where(~F.col("kept")).select(F.col(row_id).alias("__id"), F.col("text_hash").alias("__h")).distinct())
     return df.join(gone, F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h")), "left_anti")

@@ -229,7 +229,8 @@ def score_quality(df: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     ``threshold``. The labellers' accuracies come from all rows; the scorer is fitted on about ``sample_rows``
     rows (twice that at most), chosen by a hash of id and text, so reruns agree. A null or empty text is bad (score
     0); a text without a four-byte gram has its weak label as score. Rows with a null id are rows like others, equal
-    rows get equal scores, very long texts are read whole, one at a time; an empty table gives an empty one.
+    rows get equal scores, and so does a text whose score is the threshold (kept); very long texts are read whole, one at
+    a time; an empty table gives an empty one; other columns, whatever their names, are not looked at.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "quality")
     docs = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"))

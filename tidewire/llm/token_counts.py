@@ -124,7 +124,8 @@ def count_tokens(df: DataFrame, load, *, row_id: str = "doc_id", text: str = "te
     """``(row_id, n_bytes, n_tokens)``, one row per row of ``df``, in no order.
 
     ``load``: see ``tokenizer_counts``. ``max_common`` bounds the dictionary sent to the tasks. A null or
-    empty text has 0 bytes and 0 tokens; equal ids stay separate rows; other columns are not looked at.
+    empty text has 0 bytes and 0 tokens; equal ids stay separate rows; very long texts are read whole, one at a time; an
+    empty table gives an empty one; other columns, whatever their names, are not looked at.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "tokens")
     docs = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
