@@ -16,7 +16,7 @@ from tidewire.functions import dates, rules, text
 from tidewire.operators import deals as deal_ops
 from tidewire.operators import entities, rollups, serve, topics, wire
 from tidewire.plans import views
-from tidewire.plans.queries import HALF_UP, STAMP, query, stamp
+from tidewire.plans.queries import STAMP, query, stamp
 from tidewire.plans.views import with_views
 from tidewire.sources import feeds
 from tidewire.storage import Scratch, table

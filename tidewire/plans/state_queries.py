@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import dedupe, rollups, serve, wire
 from tidewire.plans import page_queries, views
-from tidewire.plans.queries import ORACLE_SQL, STAMP, TOTAL, query, r6, stamp
+from tidewire.plans.queries import ORACLE_SQL, TOTAL, query, r6, stamp
 from tidewire.plans.views import with_views
 from tidewire.sources import feeds, replies
 from tidewire.storage import Scratch, table
