@@ -65,6 +65,14 @@ def test_similar_pairs_lose_nothing(spark):
     assert got == want
 
 
+def test_similar_pairs_write_no_candidates(spark):
+    sets = spark.createDataFrame([(i, ["common", "every", f"own{i}", f"x{i}"]) for i in range(50)] + [(50, ["common", "own3", "x3"])], "id int, words array<string>")
+    pairs = dedupe.similar_pairs(sets)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(3, 50)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 1  # met and compared in one join: only similar pairs leave it
+
+
 def test_two_key_dedupe_prefers_the_richer_copy(spark):
     rows = [(0, "https://a/x?u=1", "Big News", ""), (1, "https://a/x?u=2", "Other words", "summary"), (2, "https://b/y", "BIG NEWS!", ""), (3, "https://c/z", "Alone", "")]
     got = dedupe.two_key_dedupe(spark.createDataFrame(rows, "pos int, link string, title string, summary string")).collect()

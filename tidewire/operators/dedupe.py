@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import dates, text
 from tidewire.operators.graph import connected_components, merge_components
 from tidewire.operators.islands import settle_islands
+from tidewire.operators.ranges import running
 from tidewire.storage import Scratch
 
 
@@ -74,19 +75,33 @@ def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float =
     ``ord`` as ``oa`` and ``ob`` where they have one.
 
     Candidates share one of each set's rarest words: at Jaccard >= j a pair shares one of the
-    size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet.
+    size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet. Words are numbered from
+    the rarest on, so a set is a short array of numbers that goes along with its rare ones: what two sets can still share
+    behind a common word bounds them before they are compared, and a pair is compared whole where it meets, and taken
+    only at its first common word. Nothing but similar pairs leaves the join.
     """
-    words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    scratch = Scratch(sets.sparkSession, "similar")
+    words = sets.where(F.size("words") >= least_shared).select("id", F.explode("words").alias("w"))
     often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.hint("merge").join(often.hint("merge"), "w").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-    keep = ranked.where((F.col("n") >= least_shared) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * least_jaccard) + 1)).select("id", "w", "n")
-    pair = keep.select(F.col("id").alias("a"), "w", F.col("n").alias("na")).hint("merge").join(keep.select(F.col("id").alias("b"), "w", F.col("n").alias("nb")).hint("merge"), "w")
-    pair = pair.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least_jaccard * F.greatest("na", "nb"))).select("a", "b").distinct()
+    number = scratch.put(running(often, [F.col("df"), F.col("w")], [], scratch).select("w", F.col("rank").cast("int").alias("k")), narrow=True)
+    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"))
     more = ["ord"] if "ord" in sets.columns else []
-    one, other = (sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), *[F.col(c).alias(f"o{x}") for c in more]) for x in "ab")
-    full = pair.hint("merge").join(one.hint("merge"), "a").hint("merge").join(other.hint("merge"), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    return full.withColumn("both", both).where((F.col("both") >= least_shared) & (F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")) >= least_jaccard)).select("a", "b", *[f"o{x}" for x in "ab" if more])
+    if more:
+        coded = coded.hint("merge").join(sets.select("id", *more).hint("merge"), "id")
+    coded = scratch.put(coded.select("id", F.size("s").alias("n"), "s", *more))
+    rarest = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1).cast("int"))
+
+    def side(x: str) -> DataFrame:
+        at = coded.select("id", "n", "s", *more, F.posexplode(rarest).alias("r", "k"))
+        return at.select("k", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("s").alias(f"s{x}"), *[F.col(c).alias(f"o{x}") for c in more])
+
+    def alike(both: Column) -> Column:
+        return (both >= least_shared) & (both / (F.col("na") + F.col("nb") - both) >= least_jaccard)
+
+    at_most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))  # at their first common word, places from 0
+    met = side("a").hint("merge").join(side("b").hint("merge"), "k").where((F.col("a") < F.col("b")) & alike(at_most))
+    met = met.withColumn("both", F.array_intersect("sa", "sb"))
+    return met.where((F.element_at("both", 1) == F.col("k")) & alike(F.size("both"))).select("a", "b", *[f"o{x}" for x in "ab" if more])
 
 
 def threads(articles: DataFrame, order: list[Column], row_id: str = "link", title: str = "title") -> DataFrame:
