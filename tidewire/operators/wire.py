@@ -17,7 +17,7 @@ def prominence(articles: DataFrame, neighbours: DataFrame, as_of: Column, id_col
     Corroboration counts the outlets among an article and its neighbours (pairs ``(a, b)``), not its thread.
     """
     pairs = Scratch(articles.sparkSession, "prominence").put(neighbours.select("a", "b"), narrow=True)  # read in both directions
-    both = pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct()
+    both = pairs.union(pairs.select(F.col("b"), F.col("a")))  # outlets are a set: a pair may come twice
     near = both.join(articles.select(F.col(id_col).alias("b"), F.col("source").alias("other")), "b").groupBy("a").agg(F.collect_set("other").alias("others"))
     out = articles.join(near, F.col(id_col) == F.col("a"), "left")
     outlets = F.size(F.array_union(F.array("source"), F.coalesce("others", F.array().cast("array<string>"))))
