@@ -73,6 +73,29 @@ def test_similar_pairs_write_no_candidates(spark):
     assert plan.count("SortMergeJoin") == 1  # met and compared in one join: only similar pairs leave it
 
 
+@pytest.mark.parametrize("undated", [0.0, 0.2])
+def test_raise_leaders_are_those_of_the_pairs(spark, undated):
+    """Also across ranges, and where most reports of an amount match each other."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(["alpha", "bravo", "charlie", "delta", "echo1", "foxtrot"], rng.randrange(1, 4))), float(rng.choice([5, 7])), None if rng.random() < undated else rng.randrange(400) * 86400) for i in range(300)]
+    df = spark.createDataFrame(rows, "link int, title string, amount_m double, at long").withColumn("published_at", F.timestamp_seconds("at")).drop("at")
+    want = {r["link"]: r["leader"] for r in deal_ops.newest_first(df, dedupe.same_raise_pairs(df)).collect()}
+    got = {r["id"]: r["leader"] for r in dedupe.raise_leaders(df).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_reports_of_one_amount_make_no_pairs(spark, monkeypatch):
+    """Reports that share the trade's words match one another: of 300 that follow their own leaders none is paired."""
+    made = []
+    monkeypatch.setattr(dedupe, "same_raise_pairs", lambda *a, **b: made.append(a))
+    words = [f"zeta{i} omega{i}" for i in range(300)]
+    rows = [(2 * i + x, f"{w} raises $125M" + " led by Peak Capital" * (x == 0), "Desk", 1700000000 + i * 60 + 30 * x) for i, w in enumerate(words) for x in (0, 1)]
+    a = spark.createDataFrame(rows, "link long, title string, source string, at long").select("link", "title", "source", F.timestamp_seconds("at").alias("published_at"), F.lit("It sells insurance.").alias("summary"), F.array(F.lit("Funding")).alias("tags"))
+    facts = spark.createDataFrame([], "link bigint, round boolean, company string, amount_m double, currency string, stage string, lead string")
+    m = a.select("link", F.lower(F.substring_index("title", " ", 1)).alias("slug"), F.substring_index("title", " ", 2).alias("name"))
+    assert sorted(r["link"] for r in deal_ops.funding_rounds(a, facts, m).collect()) == [2 * i + 1 for i in range(300)] and not made
+
+
 def test_two_key_dedupe_prefers_the_richer_copy(spark):
     rows = [(0, "https://a/x?u=1", "Big News", ""), (1, "https://a/x?u=2", "Other words", "summary"), (2, "https://b/y", "BIG NEWS!", ""), (3, "https://c/z", "Alone", "")]
     got = dedupe.two_key_dedupe(spark.createDataFrame(rows, "pos int, link string, title string, summary string")).collect()

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text
 from tidewire.operators.graph import connected_components, merge_components
-from tidewire.operators.islands import settle_islands
-from tidewire.operators.ranges import running
+from tidewire.operators.islands import settle_islands, word_leaders_in_time
 from tidewire.storage import Scratch
 
 
@@ -81,13 +80,12 @@ def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float =
     only at its first common word. Nothing but similar pairs leaves the join.
     """
     scratch = Scratch(sets.sparkSession, "similar")
-    words = sets.where(F.size("words") >= least_shared).select("id", F.explode("words").alias("w"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    number = scratch.put(running(often, [F.col("df"), F.col("w")], [], scratch).select("w", F.col("rank").cast("int").alias("k")), narrow=True)
-    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"))
     more = ["ord"] if "ord" in sets.columns else []
-    if more:
-        coded = coded.hint("merge").join(sets.select("id", *more).hint("merge"), "id")
+    words = sets.where(F.size("words") >= least_shared).select("id", *more, F.explode("words").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # eight bits of rarity (quarters of a power of two) above a number that no two words share
+    number = scratch.put(often.select("w", (F.shiftleft(F.floor(4 * F.log2("df")).cast("long"), 55) + F.monotonically_increasing_id()).alias("k")))
+    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"), *[F.first(c).alias(c) for c in more])
     coded = scratch.put(coded.select("id", F.size("s").alias("n"), "s", *more))
     rarest = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1).cast("int"))
 
@@ -154,6 +152,26 @@ def same_raise_pairs(rounds: DataFrame, days: float = 45.0, least_shared: int =
     return full.where(F.size(F.array_intersect("wa", "wb")) >= least_shared).select("a", "b")
 
 
+def raise_leaders(rounds: DataFrame, days: float = 45.0, least_shared: int = 2) -> DataFrame:
+    """``(id, leader)`` of reports by ``same_raise_pairs``, newest first (then by link), without their pairs: many reports of one
+    amount that share words of the trade match each other, but need only be compared with leaders.
+
+    Undated reports come last; they are close to all, and meet what leads among the dated ones.
+    """
+    scratch = Scratch(rounds.sparkSession, "raise-leaders")
+    words = text.distinctive_words(F.col("title"))
+    at = rounds.where("published_at is not null").select(F.floor(F.col("amount_m") + 0.5).alias("group"), F.unix_micros("published_at").alias("t"), F.col("link").alias("id"), words.alias("m"))
+    led = scratch.put(word_leaders_in_time(scratch.put(at.where((F.size("m") >= least_shared) & F.col("group").isNotNull())), days, least_shared), narrow=True)
+    undated = rounds.where("published_at is null")
+    if undated.isEmpty():
+        return led
+    heads = rounds.join(led.where("id = leader").select(F.col("id").alias("link")), "link", "left_semi")
+    open_ = scratch.put(heads.unionByName(undated).select("link", "published_at", "amount_m", "title"))
+    nodes = open_.select(F.col("link").alias("id"), F.struct(F.col("published_at").isNull(), F.coalesce(-F.unix_micros("published_at"), F.lit(0)), "link").alias("ord"))
+    late = greedy_leaders(nodes, scratch.put(same_raise_pairs(open_, days, least_shared)))
+    return led.unionByName(late.join(undated.select(F.col("link").alias("id")), "id", "left_semi"))
+
+
 def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame:
     """Reports of one company's round: amounts within a factor of two, close in time; undated ones never match.
 

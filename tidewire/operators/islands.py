@@ -8,7 +8,9 @@ connected components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +50,47 @@ class _Scan:
         return [x for x in self.leaders if (x[0] - self.last) / _DAY <= self.days]
 
 
+class _WordScan(_Scan):
+    """The same for rows with sets of words, which match from ``factor`` words in common on: leaders are found by word."""
+
+    def __init__(self, days: float, factor: int, group=None, leaders: list[tuple] = ()):
+        super().__init__(days, factor, group, leaders)
+        self._start(leaders)
+
+    def _start(self, leaders) -> None:
+        self.leaders, self.gone, self.by_word = deque(), 0, {}
+        for x in leaders:
+            self._add(x)
+
+    def _add(self, leader: tuple) -> None:
+        for w in leader[1]:
+            self.by_word.setdefault(w, deque()).append(self.gone + len(self.leaders))
+        self.leaders.append((leader[0], frozenset(leader[1]), leader[2]))
+
+    def take(self, group, t: int, m: list[str], row):
+        if self.group != group:
+            self.group = group
+            self._start(())
+        self.last = t
+        while self.leaders and (self.leaders[0][0] - t) / _DAY > self.days:
+            for w in self.leaders.popleft()[1]:  # the oldest is first in each list
+                self.by_word[w].popleft()
+                if not self.by_word[w]:
+                    del self.by_word[w]
+            self.gone += 1
+        lists = sorted((self.by_word[w] for w in m if w in self.by_word), key=len)
+        # who shares that many words is beside the longest lists in another one too
+        for i in sorted(set().union(*lists[: max(0, len(lists) - self.factor + 1)])):
+            _, words, who = self.leaders[i - self.gone]
+            if len(words.intersection(m)) >= self.factor:
+                return who
+        self._add((t, m, row))
+        return row
+
+    def reach(self) -> list[tuple]:
+        return [(t, sorted(m), who) for t, m, who in self.leaders if (t - self.last) / _DAY <= self.days]
+
+
 def _rows(batches: Iterator[pa.RecordBatch], columns: int, size: int = 5000) -> Iterator[tuple]:
     for b in batches:
         for at in range(0, b.num_rows, size):
@@ -59,11 +102,11 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _first_pass(days: float, factor: float, schema: pa.Schema):
+def _first_pass(scan_from: Callable[..., _Scan], schema: pa.Schema):
     """A sorted range: rows with leaders, but those of its first island without; and one row that describes the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, out, first, n, open_ = _Scan(days, factor), [], None, None, True
+        scan, out, first, n, open_ = scan_from(), [], None, None, True
         for n, group, t, id_, m in _rows(batches, 5):
             cut = scan.cut(group, t)
             open_ = open_ and (first is None or not cut)
@@ -81,7 +124,7 @@ def _first_pass(days: float, factor: float, schema: pa.Schema):
     return run
 
 
-def _again(days: float, factor: float, known, schema: pa.Schema, ends: bool):
+def _again(scan_from: Callable[..., _Scan], known, schema: pa.Schema, ends: bool):
     """Open rows of ranges in order, with the leaders that reach in: their leaders, or what reaches on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +137,7 @@ def _again(days: float, factor: float, known, schema: pa.Schema, ends: bool):
         for n, group, t, id_, m in _rows(batches, 5):
             if n != at:
                 close()
-                at, scan = n, _Scan(days, factor, *coming.get(n, (None, [])))
+                at, scan = n, scan_from(*coming.get(n, (None, [])))
             leader = scan.take(group, t, m, id_)
             if not ends:
                 out.append((id_, leader))
@@ -116,18 +159,31 @@ def leaders_in_time(rows: DataFrame, days: float, factor: float) -> DataFrame:
     through several ranges, these run side by side on what is known of the list, and again where it has changed, until it
     has not: greedy choices forget where they came from, so that takes few turns, and never more than there are ranges.
     """
+    return _in_time(rows.withColumn("m", F.col("m").cast("double")), days, partial(_Scan, days, factor))
+
+
+def word_leaders_in_time(rows: DataFrame, days: float, least_shared: int) -> DataFrame:
+    """``leaders_in_time`` where ``m`` is an array of distinct words and rows match that share ``least_shared`` of them.
+
+    Rows are compared with the leaders of their span only, found by their rarer words there; rows that follow one leader
+    are never compared with each other, so any number of them that match one another makes no pairs.
+    """
+    return _in_time(rows, days, partial(_WordScan, days, least_shared))
+
+
+def _in_time(rows: DataFrame, days: float, scan_from: Callable[..., _Scan]) -> DataFrame:
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "islands")
-    kinds = {c: rows.schema[c].dataType for c in ("group", "id")}
-    group, id_ = (kinds[c].simpleString() for c in ("group", "id"))
+    kinds = {c: rows.schema[c].dataType for c in ("group", "id", "m")}
+    group, id_, m_ = (kinds[c].simpleString() for c in ("group", "id", "m"))
     arrow = {c: to_arrow_type(k) for c, k in kinds.items()}
-    edge = pa.list_(pa.struct([("t", pa.int64()), ("m", pa.float64()), ("id", arrow["id"])]))
+    edge = pa.list_(pa.struct([("t", pa.int64()), ("m", arrow["m"]), ("id", arrow["id"])]))
     begin = pa.struct([("group", arrow["group"]), ("t", pa.int64())])
-    full = pa.schema([("n", pa.int32()), ("group", arrow["group"]), ("t", pa.int64()), ("id", arrow["id"]), ("m", pa.float64()), ("leader", arrow["id"]), ("open", pa.bool_()), ("first", begin), ("edge", edge)])
-    ddl = f"n int, `group` {group}, t long, id {id_}, m double, leader {id_}, open boolean, first struct<`group`:{group},t:bigint>, edge array<struct<t:bigint,m:double,id:{id_}>>"
+    full = pa.schema([("n", pa.int32()), ("group", arrow["group"]), ("t", pa.int64()), ("id", arrow["id"]), ("m", arrow["m"]), ("leader", arrow["id"]), ("open", pa.bool_()), ("first", begin), ("edge", edge)])
+    ddl = f"n int, `group` {group}, t long, id {id_}, m {m_}, leader {id_}, open boolean, first struct<`group`:{group},t:bigint>, edge array<struct<t:bigint,m:{m_},id:{id_}>>"
     order = [F.col("group"), F.col("t").desc(), F.col("id")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.select(F.spark_partition_id().alias("n"), "group", "t", "id", F.col("m").cast("double").alias("m"))
-    at = scratch.put(ranged.mapInArrow(_first_pass(days, factor, full), ddl))
+    ranged = ranged.select(F.spark_partition_id().alias("n"), "group", "t", "id", "m")
+    at = scratch.put(ranged.mapInArrow(_first_pass(scan_from, full), ddl))
     open_ = at.where("open and id is not null").select("n", "group", "t", "id", "m")
 
     ranges = at.where("first is not null").select("n", "group", "t", "open", "first", "edge").orderBy("n").collect()
@@ -150,12 +206,12 @@ def leaders_in_time(rows: DataFrame, days: float, factor: float) -> DataFrame:
         used |= {n: coming().get(n) for n in changed}
         known = spark.sparkContext.broadcast({n: used[n] for n in changed if used[n]})
         schema = pa.schema([("n", pa.int32()), ("edge", edge)])
-        told = sorted_(open_.where(F.col("n").isin(changed))).mapInArrow(_again(days, factor, known, schema, True), f"n int, edge array<struct<t:bigint,m:double,id:{id_}>>")
+        told = sorted_(open_.where(F.col("n").isin(changed))).mapInArrow(_again(scan_from, known, schema, True), f"n int, edge array<struct<t:bigint,m:{m_},id:{id_}>>")
         for r in told.collect():  # one row a range
             edges[r["n"]] = (edges[r["n"]][0], [tuple(x) for x in r["edge"]])
     known = spark.sparkContext.broadcast(coming())
     last = pa.schema([("id", arrow["id"]), ("leader", arrow["id"])])
-    return at.where("not open").where("id is not null").select("id", "leader").union(sorted_(open_).mapInArrow(_again(days, factor, known, last, False), f"id {id_}, leader {id_}"))
+    return at.where("not open").where("id is not null").select("id", "leader").union(sorted_(open_).mapInArrow(_again(scan_from, known, last, False), f"id {id_}, leader {id_}"))
 
 
 def _settle(schema: pa.Schema):
