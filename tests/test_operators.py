@@ -237,3 +237,11 @@ def test_stream_daily_totals(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = {str(r["d"]): r["n"] for r in static.groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {str(r["day"])[:10]: r["n"] for r in spark.table("days").collect()} == want
+
+
+def test_feed_times_try_only_fitting_formats(spark):
+    samples = ["2 Jan 2024 10:00:00 +0000", "2 Jan 2024 10:00 +0000", "2024-01-02T10:00:00+0000", "2024-01-02T10:00:00.000+0000", "2024-01-02T10:00:00Z", "2024-01-02", ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = df.select("i", *[F.col("s").rlike(shape).alias(p) for shape, p in dates._FEED_FORMATS], dates.parse_feed_time(F.col("s")).isNotNull().alias("read")).orderBy("i").collect()
+    assert [[j for j in range(6) if r[j + 1]] for r in got] == [[0], [1], [2], [3], [4], [5], []]
+    assert [r["read"] for r in got] == [True] * 6 + [False]
