@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import text
+from tidewire.functions import rules, text
 
 
 def one(spark, expr, **values):
@@ -181,3 +181,9 @@ def test_json_slice(spark):
 def test_money_format(spark):
     df = spark.createDataFrame([(1200.0,), (12.5,), (0.25,), (3.0,)], "m double")
     assert [r["x"] for r in df.select(text.short_money(F.col("m")).alias("x")).collect()] == ["$1.2B", "$12.5M", "$250K", "$3M"]
+
+
+def test_labels_match_each_pattern_once(spark):
+    df = spark.createDataFrame([("zzqq one",), ("none",)], "t string").select(text.labels(F.col("t"), [("Z", "zzqq")]).alias("l"))
+    assert df._jdf.queryExecution().analyzed().toString().count("zzqq") == 1
+    assert [r["l"] for r in df.collect()] == [["Z"], [rules.FALLBACK_TAG]]
