@@ -16,3 +16,10 @@ def test_noise_tests_word_edges_once(spark):
     df = spark.createDataFrame([(h,) for h in heads], "t string")
     got = df.select("t", text.round_noise(F.col("t")).alias("n"), text.any_of(F.col("t"), [f"(?i){p}" for p in rules._NOISE]).alias("each")).collect()
     assert [r["n"] for r in got] == [r["each"] for r in got] and {r["n"] for r in got} == {True, False}
+
+
+def test_identity_forms_are_made_once_a_deal(spark):
+    rows = [(1, "c", "s1", "Firm One Ltd"), (2, "c", None, "Firm One"), (3, "c", None, "Other"), (4, "d", None, "Firm One"), (5, "c", None, "Alpha Re and Beta Re"), (6, "c", None, "Beta Re, Alpha Re"), (7, "c", None, "ab"), (8, "c", None, "ab"), (9, "c", "s9", "Firm One")]
+    pairs = dedupe.same_identity_pairs(spark.createDataFrame(rows, "link long, acquirer_slug string, target_slug string, target string"))
+    assert "gmbh" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (2, 9), (5, 6), (7, 8)]

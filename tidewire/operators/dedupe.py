@@ -244,19 +244,22 @@ def same_identity_pairs(deals: DataFrame) -> DataFrame:
     begins with four characters the other holds somewhere; shorter ones are equal; a consortium is its sorted parties.
     """
     form = text.party_form(F.col("target"))
-    at = deals.where(F.col("acquirer_slug").isNotNull()).select("link", "acquirer_slug", "target_slug", "target", form.alias("f"), F.array_join(text.party_set(F.col("target")), "|").alias("set")).where("f <> ''")
+    at = deals.where(F.col("acquirer_slug").isNotNull()).select("link", "acquirer_slug", "target_slug", form.alias("f"), F.array_join(text.party_set(F.col("target")), "|").alias("set")).where("f <> ''")
+    at = Scratch(deals.sparkSession, "same-identity").put(at)  # forms are made once a deal, not once a pair
     whole = F.array(F.concat(F.lit("="), F.col("f")), F.concat(F.lit("&"), F.col("set")))
     none = F.array().cast("array<string>")
     grams = F.when(F.length("f") >= 4, F.transform(F.sequence(F.lit(1), F.length("f") - 3), lambda i: F.substring(F.col("f"), i, F.lit(4)))).otherwise(none)
     begin = F.when(F.length("f") >= 4, F.array(F.substring("f", 1, 4))).otherwise(none)
 
     def side(x: str, keys: Column) -> DataFrame:
-        return at.select("acquirer_slug", F.explode(F.array_distinct(F.concat(whole, keys))).alias("k"), F.col("link").alias(x), F.col("target_slug").alias(f"s{x}"), F.col("target").alias(f"g{x}"))
+        return at.select("acquirer_slug", F.explode(F.array_distinct(F.concat(whole, keys))).alias("k"), F.col("link").alias(x), F.col("target_slug").alias(f"s{x}"), F.col("f").alias(f"f{x}"), F.col("set").alias(f"set{x}"))
 
+    # ``text.same_party`` of the two forms and sets, where the two meet
+    inside = lambda x, y: (F.length(x) >= 4) & F.contains(F.col(y), F.col(x))
+    same = (F.col("fa") == F.col("fb")) | inside("fa", "fb") | inside("fb", "fa") | (F.contains(F.col("seta"), F.lit("|")) & (F.col("seta") == F.col("setb")))
     pair = side("a", begin).hint("merge").join(side("b", grams).hint("merge"), ["acquirer_slug", "k"])
-    pair = pair.where((F.col("a") != F.col("b")) & (F.col("sa").isNull() | F.col("sb").isNull()))
-    pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ga", "gb").dropDuplicates(["a", "b"])
-    return pair.where(text.same_party(F.col("ga"), F.col("gb"))).select("a", "b")
+    pair = pair.where((F.col("a") != F.col("b")) & (F.col("sa").isNull() | F.col("sb").isNull()) & same)
+    return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def merge_evidence(reports: DataFrame, cluster: str = "leader") -> DataFrame:
