@@ -23,3 +23,12 @@ def test_identity_forms_are_made_once_a_deal(spark):
     pairs = dedupe.same_identity_pairs(spark.createDataFrame(rows, "link long, acquirer_slug string, target_slug string, target string"))
     assert "gmbh" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (2, 9), (5, 6), (7, 8)]
+
+
+def test_long_replies_are_not_read_sign_by_sign():
+    long = 'x {"a": "' + "y" * 8_000_000 + '"} z'
+    begun = time.process_time()
+    assert len(text.json_slice.func(pd.Series([long]))[0]) == len(long) - 4
+    assert time.process_time() - begun < 0.3
+    odd = ['{"a": "}\\"{", "b": {}} }', '{"a": "}', "{{}", '"{"a": 1,}', "\\{}", None]
+    assert list(text.json_slice.func(pd.Series(odd))) == ['{"a": "}\\"{", "b": {}}', None, None, '{"a": 1}', "{}", None]
