@@ -32,3 +32,10 @@ def test_long_replies_are_not_read_sign_by_sign():
     assert time.process_time() - begun < 0.3
     odd = ['{"a": "}\\"{", "b": {}} }', '{"a": "}', "{{}", '"{"a": 1,}', "\\{}", None]
     assert list(text.json_slice.func(pd.Series(odd))) == ['{"a": "}\\"{", "b": {}}', None, None, '{"a": 1}', "{}", None]
+
+
+def test_slugs_are_made_once_a_name(spark):
+    df = spark.createDataFrame([(["Acme Inc", "Desk 1", "Survaival", "Insurance Group", "x" * 61, "Acme Inc"], "Desk 1")], "n array<string>, s string")
+    got = df.select(entities.sane_names(F.col("n"), ["survaival"], F.col("s")).alias("n"))
+    assert got._jdf.queryExecution().analyzed().toString().count("incorporated") == 2  # the name's and the outlet's
+    assert got.collect()[0]["n"] == ["Acme Inc"]
