@@ -39,3 +39,20 @@ def test_slugs_are_made_once_a_name(spark):
     got = df.select(entities.sane_names(F.col("n"), ["survaival"], F.col("s")).alias("n"))
     assert got._jdf.queryExecution().analyzed().toString().count("incorporated") == 2  # the name's and the outlet's
     assert got.collect()[0]["n"] == ["Acme Inc"]
+
+
+def test_raises_are_looked_for_behind_from_and_with_only(monkeypatch):
+    seen = []
+
+    class Spy:
+        @staticmethod
+        def compile(p):
+            made = re.compile(p)
+            if p != rules.TAGS[0][1]:
+                return made
+            return type("Raise", (), {"search": staticmethod(lambda t: seen.append(t) or made.search(t))})
+
+    monkeypatch.setattr(entities, "re", Spy)
+    titles = ["Acme raises $5M led by Peak", "Acme raises $5M from Peak", "Acme walks with Peak", "Acme with $5M from Oslo", None]
+    got = list(entities.investor_positions.func(pd.Series(titles)))
+    assert got == [[23], [21], [], [], []] and seen == [titles[1], titles[3]]
