@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
-from tidewire.operators import dedupe, entities
+from tidewire.operators import dedupe, entities, rollups
 
 
 def test_noise_tests_word_edges_once(spark):
@@ -56,3 +56,9 @@ def test_raises_are_looked_for_behind_from_and_with_only(monkeypatch):
     titles = ["Acme raises $5M led by Peak", "Acme raises $5M from Peak", "Acme walks with Peak", "Acme with $5M from Oslo", None]
     got = list(entities.investor_positions.func(pd.Series(titles)))
     assert got == [[23], [21], [], [], []] and seen == [titles[1], titles[3]]
+
+
+def test_tasks_of_co_occurrence_grow_with_its_rows(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(30) for i in range(k % 4)] + [(3, 1)], "k int, i int")
+    got = {n: sorted(map(tuple, rollups.co_occurrence(rows, "i", "k", 2, rows_a_task=n).collect())) for n in (1, 500_000)}
+    assert got[1] == got[500_000] == [(0, 1, 14, 1), (0, 2, 7, 2), (1, 0, 14, 1), (1, 2, 7, 2), (2, 0, 7, 1), (2, 1, 7, 2)]
