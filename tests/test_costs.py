@@ -1,5 +1,6 @@
 """What a step must not do more often than its input asks for, with the results it has to keep."""
 
+import random
 import re
 import time
 
@@ -62,3 +63,16 @@ def test_tasks_of_co_occurrence_grow_with_its_rows(spark):
     rows = spark.createDataFrame([(k, i) for k in range(30) for i in range(k % 4)] + [(3, 1)], "k int, i int")
     got = {n: sorted(map(tuple, rollups.co_occurrence(rows, "i", "k", 2, rows_a_task=n).collect())) for n in (1, 500_000)}
     assert got[1] == got[500_000] == [(0, 1, 14, 1), (0, 2, 7, 2), (1, 0, 14, 1), (1, 2, 7, 2), (2, 0, 7, 1), (2, 1, 7, 2)]
+
+
+def test_similar_pairs_in_turns_lose_none_and_leave_lone_words_out(spark, monkeypatch):
+    rnd, rows, made = random.Random(1), [], []
+    for i in range(120):
+        rows.append((i, sorted({f"w{rnd.randrange(60)}" if rnd.random() < 0.8 else f"u{i}x{j}" for j in range(rnd.randint(1, 9))})))
+    both = lambda x, y: len(set(x) & set(y))
+    want = [(a, b) for a, x in rows for b, y in rows if a < b and (n := both(x, y)) >= 2 and n / (len(x) + len(y) - n) >= 0.25]
+    put = dedupe.Scratch.put
+    monkeypatch.setattr(dedupe.Scratch, "put", lambda self, *a, **k: made.append(put(self, *a, **k)) or made[-1])
+    got = dedupe.similar_pairs(spark.createDataFrame(rows, "id long, words array<string>"), 2, 0.25, slot_numbers=30)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 100
+    assert made[0].count() <= 60 and len(made) > 4  # lone words have no number; the pairs came in several turns

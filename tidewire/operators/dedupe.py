@@ -69,37 +69,56 @@ def _in_rounds(scratch: Scratch, earlier: DataFrame) -> DataFrame:
     return earlier.join(heads, "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("leader"))
 
 
-def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4) -> DataFrame:
+def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4, slot_numbers: int = 4_000_000) -> DataFrame:
     """``sets(id, words)`` with distinct ids and sorted-out words -> pairs ``(a, b)`` that are similar, with the sets'
     ``ord`` as ``oa`` and ``ob`` where they have one.
 
     Candidates share one of each set's rarest words: at Jaccard >= j a pair shares one of the
-    size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet. Words are numbered from
-    the rarest on, so a set is a short array of numbers that goes along with its rare ones: what two sets can still share
-    behind a common word bounds them before they are compared, and a pair is compared whole where it meets, and taken
-    only at its first common word. Nothing but similar pairs leaves the join.
+    size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet. A word of one set alone
+    is met by none: such words count in the size and are not looked at further, nor are sets that keep too few others.
+    Words are numbered from the rarest on, so a set is a short array of numbers that goes along with its rare ones: what two
+    sets can still share behind a common word bounds them before they are compared, and a pair is compared whole where it
+    meets, and taken only at its first common word. Nothing but similar pairs leaves the join. Sets go along with each of
+    their rare words, so what is shuffled grows with the squares of their sizes: above ``slot_numbers`` numbers a task slot,
+    words go in turns, each a part of them by hash, and the shuffle files of a turn are freed before the next.
     """
     scratch = Scratch(sets.sparkSession, "similar")
     more = ["ord"] if "ord" in sets.columns else []
-    words = sets.where(F.size("words") >= least_shared).select("id", *more, F.explode("words").alias("w"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    own = sets.where(F.size("words") >= least_shared)
+    words = own.select("id", F.explode("words").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # eight bits of rarity (quarters of a power of two) above a number that no two words share
     number = scratch.put(often.select("w", (F.shiftleft(F.floor(4 * F.log2("df")).cast("long"), 55) + F.monotonically_increasing_id()).alias("k")))
-    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"), *[F.first(c).alias(c) for c in more])
-    coded = scratch.put(coded.select("id", F.size("s").alias("n"), "s", *more))
-    rarest = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1).cast("int"))
+    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"))
+    coded = coded.hint("merge").join(own.select("id", F.size("words").alias("n"), *more).hint("merge"), "id").withColumn("alone", F.col("n") - F.size("s"))
+    coded = coded.withColumn("rare", (F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1 - F.col("alone")).cast("int"))
+    coded = scratch.put(coded.where((F.col("rare") > 0) & (F.size("s") >= least_shared)).select("id", "n", "s", "alone", "rare", *more))
+    scratch.collect_garbage()  # the words have been shuffled
+    rarest = F.slice("s", F.lit(1), F.col("rare"))
 
     def side(x: str) -> DataFrame:
-        at = coded.select("id", "n", "s", *more, F.posexplode(rarest).alias("r", "k"))
+        at = coded.select("id", "n", "s", "alone", *more, F.posexplode(rarest).alias("r", "k")).withColumn("r", F.col("alone") + F.col("r"))
         return at.select("k", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("s").alias(f"s{x}"), *[F.col(c).alias(f"o{x}") for c in more])
 
     def alike(both: Column) -> Column:
         return (both >= least_shared) & (both / (F.col("na") + F.col("nb") - both) >= least_jaccard)
 
     at_most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))  # at their first common word, places from 0
-    met = side("a").hint("merge").join(side("b").hint("merge"), "k").where((F.col("a") < F.col("b")) & alike(at_most))
-    met = met.withColumn("both", F.array_intersect("sa", "sb"))
-    return met.where((F.element_at("both", 1) == F.col("k")) & alike(F.size("both"))).select("a", "b", *[f"o{x}" for x in "ab" if more])
+
+    def met(turn: Column) -> DataFrame:
+        one, other = (side(x).where(turn).hint("merge") for x in "ab")
+        near = one.join(other, "k").where((F.col("a") < F.col("b")) & alike(at_most)).withColumn("both", F.array_intersect("sa", "sb"))
+        return near.where((F.element_at("both", 1) == F.col("k")) & alike(F.size("both"))).select("a", "b", *[f"o{x}" for x in "ab" if more])
+
+    numbers = coded.agg(F.sum(F.col("rare").cast("long") * F.size("s"))).first()[0] or 0
+    turns = 1 + numbers // (slot_numbers * sets.sparkSession.sparkContext.defaultParallelism)
+    if turns == 1:
+        return met(F.lit(True))
+    found = []
+    for i in range(turns):
+        found.append(scratch.put(met(F.pmod(F.xxhash64("k"), F.lit(turns)) == i), narrow=True))
+        scratch.collect_garbage()
+    return reduce(DataFrame.union, found)
 
 
 def threads(articles: DataFrame, order: list[Column], row_id: str = "link", title: str = "title") -> DataFrame:
