@@ -74,5 +74,14 @@ def test_similar_pairs_in_turns_lose_none_and_leave_lone_words_out(spark, monkey
     put = dedupe.Scratch.put
     monkeypatch.setattr(dedupe.Scratch, "put", lambda self, *a, **k: made.append(put(self, *a, **k)) or made[-1])
     got = dedupe.similar_pairs(spark.createDataFrame(rows, "id long, words array<string>"), 2, 0.25, slot_numbers=30)
-    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 100
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 30
     assert made[0].count() <= 60 and len(made) > 4  # lone words have no number; the pairs came in several turns
+
+
+def test_deal_patterns_are_tried_where_their_words_are(spark):
+    heads = ["Acme BUYS stakes in digital insurer Beta", "Acme\tacquires Beta Re!\u2028", "Zed sells Beta Re to Acme", "Acme to take over Beta amid probe", "Beta acquired by 3. Acme", "REPORT: Acme completes acquisition of the Beta", "Beta merges with Acme", "A\0 buys B", "Acme expands", None]
+    df = spark.createDataFrame([(h,) for h in heads], "t string").select(text.deal_pair(F.col("t")).alias("p"), text.deal_type(F.col("t")).alias("type"))
+    assert df._jdf.queryExecution().analyzed().toString().count("Contains(") > 50 or df._jdf.queryExecution().analyzed().toString().count("contains(") > 50
+    rows = df.collect()
+    assert [r["p"] and (r["p"]["acquirer"], r["p"]["target"]) for r in rows] == [("Acme", "Beta"), ("Acme", "Beta Re\u2028"), ("Acme", "Beta Re"), ("Acme", "Beta"), ("Acme", "Beta"), ("Acme", "the Beta"), None, ("A\0", "B"), None, None]
+    assert [r["type"] for r in rows] == ["Acquisition"] * 6 + ["Merger"] + ["Acquisition"] * 3
