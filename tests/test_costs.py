@@ -83,5 +83,21 @@ def test_deal_patterns_are_tried_where_their_words_are(spark):
     df = spark.createDataFrame([(h,) for h in heads], "t string").select(text.deal_pair(F.col("t")).alias("p"), text.deal_type(F.col("t")).alias("type"))
     assert df._jdf.queryExecution().analyzed().toString().count("Contains(") > 50 or df._jdf.queryExecution().analyzed().toString().count("contains(") > 50
     rows = df.collect()
-    assert [r["p"] and (r["p"]["acquirer"], r["p"]["target"]) for r in rows] == [("Acme", "Beta"), ("Acme", "Beta Re\u2028"), ("Acme", "Beta Re"), ("Acme", "Beta"), ("Acme", "Beta"), ("Acme", "the Beta"), None, ("A\0", "B"), None, None]
+    assert [r["p"] and (r["p"]["acquirer"], r["p"]["target"]) for r in rows] == [("Acme", "Beta"), ("Acme", "Beta Re\u2028"), ("Acme", "Beta Re"), ("Acme", "Beta"), ("Acme", "Beta"), ("Acme", "the Beta"), None, None, None, None]
     assert [r["type"] for r in rows] == ["Acquisition"] * 6 + ["Merger"] + ["Acquisition"] * 3
+
+
+def test_targets_of_one_acquirer_meet_on_rare_runs(spark):
+    names = [f"Firm{i:06d}" for i in range(400)] + ["Firm000007 Re", "Old Firm000007", "irm0", "Firm", "abc", "abc", "Firm000123 and Beta Re", "Beta Re, Firm000123", "A long name of a firm without end", "long name of a firm"]
+    rows = [(i, "c" if i % 50 else "d", None if i % 3 else "s", n) for i, n in enumerate(names)]
+    pairs = dedupe.same_identity_pairs(spark.createDataFrame(rows, "link long, acquirer_slug string, target_slug string, target string"))
+    form = lambda n: re.sub(r"[^a-z0-9 ]+", " ", n.lower()).replace(" and ", " ").split()
+    forms = [" ".join(form(n)) for n in names]
+    alike = lambda x, y: forms[x] == forms[y] or any(len(forms[p]) >= 4 and forms[p] in forms[q] for p, q in ((x, y), (y, x))) or {x, y} == {406, 407}
+    want = [(x, y) for x, *a in rows for y, *b in rows if x < y and a[0] == b[0] and not (a[1] and b[1]) and alike(x, y)]
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want and len(want) > 500
+    few = spark.createDataFrame(rows[:400], "link long, acquirer_slug string, target_slug string, target string")
+    begun = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    assert dedupe.same_identity_pairs(few).count() == 0 and spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - begun < 40
+    key = few.select(F.explode(dedupe._grams(F.col("target"))).alias("g"), "target").where(dedupe._own_gram(F.col("target"), F.col("g")))
+    assert key.groupBy("g").count().groupBy().agg(F.min("count")).first()[0] == 1 and key.where("length(g) <> 8").isEmpty()

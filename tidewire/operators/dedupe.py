@@ -210,19 +210,35 @@ def same_company_round_pairs(rounds: DataFrame, days: float = 45.0) -> DataFrame
     return pair.where((F.col("a") < F.col("b")) & text.same_round(F.col("ma"), F.col("mb")) & (apart <= days)).select("a", "b")
 
 
+def _grams(f: Column) -> Column:
+    """All runs of 4, 8 and 16 characters of a form."""
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        return F.when(F.length(f) >= n, F.transform(F.sequence(F.lit(1), F.length(f) - n + 1), lambda i: F.substring(f, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(*[runs(n) for n in (4, 8, 16)]))
+
+
+def _own_gram(f: Column, g: Column) -> Column:
+    """Whether a run is of the longest kind that the form has: a form that lies in another shares all of these, and the
+    longer a run, the fewer forms have it."""
+    return F.length(g) == F.when(F.length(f) >= 16, 16).when(F.length(f) >= 8, 8).otherwise(4)
+
+
 def party_pairs(names: DataFrame) -> DataFrame:
     """``names(name)`` -> ``(name, other)``: all ordered pairs of distinct names of one party, each with itself.
 
-    Names meet on their whole form, on their sorted parties, or where one form's rarest four characters lie in the
-    other: a form that lies inside another one shares all of its own.
+    Names meet on their whole form, on their sorted parties, or where one form's rarest run of 4, 8 or 16
+    characters lies in the other: a form that lies inside another one shares all of its own.
     """
     scratch = Scratch(names.sparkSession, "parties")
     form, parties = text.party_form(F.col("name")), text.party_set(F.col("name"))
     at = scratch.put(names.select("name").distinct().select("name", form.alias("f"), F.when(F.size(parties) > 1, F.array_join(parties, "|")).alias("set")).where("f <> ''"))
-    every = F.transform(F.sequence(F.lit(1), F.length("f") - 3), lambda i: F.substring(F.col("f"), i, F.lit(4)))
-    grams = scratch.put(at.where(F.length("f") >= 4).select("name", "f", F.explode(F.array_distinct(every)).alias("g")))
+    grams = scratch.put(at.where(F.length("f") >= 4).select("name", "f", F.explode(_grams(F.col("f"))).alias("g")))
     often = scratch.put(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), narrow=True)
-    rarest = grams.hint("merge").join(often.hint("merge"), "g").groupBy("name", "f").agg(F.min(F.struct("df", "g")).alias("m"))
+    own = grams.where(_own_gram(F.col("f"), F.col("g")))
+    rarest = own.hint("merge").join(often.hint("merge"), "g").groupBy("name", "f").agg(F.min(F.struct("df", "g")).alias("m"))
     rarest = scratch.put(rarest.select("name", "f", F.col("m.g").alias("g")), narrow=True)
     wide = grams.select(F.col("name").alias("other"), F.col("f").alias("fo"), "g")
     inside = rarest.hint("merge").join(wide.hint("merge"), "g").where(F.contains(F.col("fo"), F.col("f"))).select("name", "other")
@@ -259,24 +275,27 @@ def same_deal_pairs(deals: DataFrame, days: float = 180.0) -> DataFrame:
 def same_identity_pairs(deals: DataFrame) -> DataFrame:
     """Deals of one resolved acquirer whose targets are the same party, of which one at least is no known company.
 
-    Targets meet on what any two names of one party share: a name of four characters or more that lies in another
-    begins with four characters the other holds somewhere; shorter ones are equal; a consortium is its sorted parties.
+    Targets meet on what any two names of one party share: a name of four characters or more that lies in another shares
+    its rarest run of 4, 8 or 16 characters, rarest among the acquirer's; shorter ones are equal; a consortium is its
+    sorted parties.
     """
-    form = text.party_form(F.col("target"))
+    scratch, form = Scratch(deals.sparkSession, "same-identity"), text.party_form(F.col("target"))
     at = deals.where(F.col("acquirer_slug").isNotNull()).select("link", "acquirer_slug", "target_slug", form.alias("f"), F.array_join(text.party_set(F.col("target")), "|").alias("set")).where("f <> ''")
-    at = Scratch(deals.sparkSession, "same-identity").put(at)  # forms are made once a deal, not once a pair
+    at = scratch.put(at)  # forms are made once a deal, not once a pair
     whole = F.array(F.concat(F.lit("="), F.col("f")), F.concat(F.lit("&"), F.col("set")))
-    none = F.array().cast("array<string>")
-    grams = F.when(F.length("f") >= 4, F.transform(F.sequence(F.lit(1), F.length("f") - 3), lambda i: F.substring(F.col("f"), i, F.lit(4)))).otherwise(none)
-    begin = F.when(F.length("f") >= 4, F.array(F.substring("f", 1, 4))).otherwise(none)
+    grams = scratch.put(at.select("acquirer_slug", "link", "f", F.explode(_grams(F.col("f"))).alias("g")))
+    often = scratch.put(grams.groupBy("acquirer_slug", "g").agg(F.count(F.lit(1)).alias("df")))
+    own = grams.where(_own_gram(F.col("f"), F.col("g"))).hint("merge").join(often.hint("merge"), ["acquirer_slug", "g"])
+    rarest = own.groupBy("acquirer_slug", "link", "f").agg(F.min(F.struct("df", "g"))["g"].alias("g"))
+    keyed = scratch.put(at.hint("merge").join(rarest.hint("merge"), ["acquirer_slug", "link", "f"], "left"))
 
     def side(x: str, keys: Column) -> DataFrame:
-        return at.select("acquirer_slug", F.explode(F.array_distinct(F.concat(whole, keys))).alias("k"), F.col("link").alias(x), F.col("target_slug").alias(f"s{x}"), F.col("f").alias(f"f{x}"), F.col("set").alias(f"set{x}"))
+        return keyed.select("acquirer_slug", F.explode(F.concat(whole, keys)).alias("k"), F.col("link").alias(x), F.col("target_slug").alias(f"s{x}"), F.col("f").alias(f"f{x}"), F.col("set").alias(f"set{x}"))
 
     # ``text.same_party`` of the two forms and sets, where the two meet
     inside = lambda x, y: (F.length(x) >= 4) & F.contains(F.col(y), F.col(x))
     same = (F.col("fa") == F.col("fb")) | inside("fa", "fb") | inside("fb", "fa") | (F.contains(F.col("seta"), F.lit("|")) & (F.col("seta") == F.col("setb")))
-    pair = side("a", begin).hint("merge").join(side("b", grams).hint("merge"), ["acquirer_slug", "k"])
+    pair = side("a", F.array_compact(F.array("g"))).hint("merge").join(side("b", _grams(F.col("f"))).hint("merge"), ["acquirer_slug", "k"])
     pair = pair.where((F.col("a") != F.col("b")) & (F.col("sa").isNull() | F.col("sb").isNull()) & same)
     return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
