@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
 from tidewire.operators import dedupe, entities, rollups
+from tidewire.plans import state_queries
 
 
 def test_noise_tests_word_edges_once(spark):
@@ -101,3 +102,16 @@ def test_targets_of_one_acquirer_meet_on_rare_runs(spark):
     assert dedupe.same_identity_pairs(few).count() == 0 and spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - begun < 40
     key = few.select(F.explode(dedupe._grams(F.col("target"))).alias("g"), "target").where(dedupe._own_gram(F.col("target"), F.col("g")))
     assert key.groupBy("g").count().groupBy().agg(F.min("count")).first()[0] == 1 and key.where("length(g) <> 8").isEmpty()
+
+
+def test_the_stream_reads_no_file_a_body(spark, sf, monkeypatch):
+    roots, made = [], state_queries.Scratch
+    monkeypatch.setattr(state_queries, "Scratch", lambda *a: roots.append(made(*a)) or roots[-1])
+    got = state_queries.first_seen_stream(spark, sf)
+    landed = spark.read.parquet(f"{roots[0].root}/landed")
+    feed = landed.where("value like '<rss>%'")
+    assert landed.count() > feed.count() > 8 and got.count() > 0
+    at_once = max(4, spark.sparkContext.defaultParallelism)
+    more = spark.range(300 * at_once).select(F.lit("f").alias("feed_url"), F.col("id") * 400, F.lit("<rss><item>x</item></rss>").alias("xml")).toDF("feed_url", "k", "xml")
+    state_queries._land_rows(more, f"{roots[0].root}/more", "before")
+    assert len(spark.read.parquet(f"{roots[0].root}/more").inputFiles()) <= 2 * at_once
