@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text
+from tidewire.llm import chaining
 from tidewire.operators import dedupe, entities, rollups
 from tidewire.plans import state_queries
 
@@ -115,3 +116,11 @@ def test_the_stream_reads_no_file_a_body(spark, sf, monkeypatch):
     more = spark.range(300 * at_once).select(F.lit("f").alias("feed_url"), F.col("id") * 400, F.lit("<rss><item>x</item></rss>").alias("xml")).toDF("feed_url", "k", "xml")
     state_queries._land_rows(more, f"{roots[0].root}/more", "before")
     assert len(spark.read.parquet(f"{roots[0].root}/more").inputFiles()) <= 2 * at_once
+
+
+def test_a_seed_is_marked_once_a_text(spark):
+    """The first occurrence of a seed is told by plain numbers, which are aggregated by hashing, without a sort."""
+    df = spark.createDataFrame([(1, "a b c d e f g " * 40), (2, "a b c d e f g " * 30)], "uid long, text string")
+    got = df.mapInArrow(chaining._seed_rows(5, 1, 50), "seed long, uid long, pos int, head boolean")
+    each = got.groupBy("seed", "uid").agg(F.min("pos").alias("first"), F.min(F.when(F.col("head"), F.col("pos"))).alias("told"), F.count_if("head").alias("n")).collect()
+    assert len(each) == 14 and all(r["first"] == r["told"] and r["n"] == 1 for r in each)
