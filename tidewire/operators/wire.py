@@ -11,15 +11,20 @@ from tidewire.sources import feeds
 from tidewire.storage import Scratch
 
 
-def prominence(articles: DataFrame, neighbours: DataFrame, as_of: Column, id_col: str = "link") -> DataFrame:
+def prominence(articles: DataFrame, neighbours: DataFrame, as_of: Column, group: str = "same") -> DataFrame:
     """``score``: 2.5 recency + 1.5 corroboration + outlet tier + signal words, three decimals.
 
-    Corroboration counts the outlets among an article and its neighbours (pairs ``(a, b)``), not its thread.
+    Corroboration counts the outlets among an article and its neighbours, not its thread. Neighbours are all articles of
+    its own ``group`` and of those that ``neighbours(a, b)`` pairs it with; an article without a group has none. A group has
+    its outlets once, so copies of a headline are not paired with each other.
     """
-    pairs = Scratch(articles.sparkSession, "prominence").put(neighbours.select("a", "b"), narrow=True)  # read in both directions
+    scratch = Scratch(articles.sparkSession, "prominence")
+    told = scratch.put(articles.where(F.col(group).isNotNull()).select(F.col(group).alias("b"), F.col("source").alias("other")).distinct(), narrow=True)
+    pairs = scratch.put(neighbours.select("a", "b"), narrow=True)  # read in both directions
     both = pairs.union(pairs.select(F.col("b"), F.col("a")))  # outlets are a set: a pair may come twice
-    near = both.join(articles.select(F.col(id_col).alias("b"), F.col("source").alias("other")), "b").groupBy("a").agg(F.collect_set("other").alias("others"))
-    out = articles.join(near, F.col(id_col) == F.col("a"), "left")
+    heard = both.hint("merge").join(told.hint("merge"), "b").select("a", "other").union(told.select("b", "other"))
+    near = heard.groupBy("a").agg(F.collect_set("other").alias("others"))
+    out = articles.hint("merge").join(near.hint("merge"), F.col(group) == F.col("a"), "left")
     outlets = F.size(F.array_union(F.array("source"), F.coalesce("others", F.array().cast("array<string>"))))
     tier = F.when(F.col("source").isin(rules.REPUTABLE), 1.0).when(F.col("source").isin(rules.LOW_SIGNAL), -1.2).otherwise(0.0)
     signal = F.least(F.lit(1.0), sum((F.when(F.col("title").rlike(p), w).otherwise(0.0) for p, w in rules.SIGNALS), F.lit(0.0)))
