@@ -7,10 +7,16 @@ are the lexicographically first maximal independent set of the match graph.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewire.functions import dates, text
 from tidewire.operators.graph import connected_components, merge_components
@@ -69,56 +75,107 @@ def _in_rounds(scratch: Scratch, earlier: DataFrame) -> DataFrame:
     return earlier.join(heads, "b").groupBy("a").agg(F.min(F.struct("ob", "b")).alias("l")).select(F.col("a").alias("id"), F.col("l.b").alias("leader"))
 
 
-def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4, slot_numbers: int = 4_000_000) -> DataFrame:
+#: Rarity is told of so many ranges of words' numbers: a table of a megabyte, however many words there are.
+_RANGES = 1 << 20
+#: A set's signature in longs: a bit for each of its words.
+_SIGNS = 4
+
+
+def _coded(rarity: Broadcast):
+    """Sets with the numbers ``s`` of their words -> those that other sets may have too, rarest first, and a signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(rarity.value, np.uint8)
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            n = np.diff(lists.offsets.to_numpy())
+            own, s = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().view(np.uint64)
+            rare = table[(s >> np.uint64(44)).astype(np.int64)]
+            signs = np.zeros((len(n), _SIGNS), np.uint64)
+            np.bitwise_or.at(signs, (own, (s & np.uint64(_SIGNS - 1)).astype(np.int64)), np.uint64(1) << (s >> np.uint64(8) & np.uint64(63)))
+            order = np.lexsort((s, rare, own))
+            order = order[rare[order] > 0]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(own[order], minlength=len(n)))))
+            numbers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[order].view(np.int64)))
+            columns = [*b.columns[:-1], numbers, *[pa.array(signs[:, i].copy().view(np.int64)) for i in range(_SIGNS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *[f"sign{i}" for i in range(_SIGNS)]])
+
+    return run
+
+
+def similar_pairs(sets: DataFrame, least_shared: int = 2, least_jaccard: float = 0.4, slot_numbers: int = 16_000_000) -> DataFrame:
     """``sets(id, words)`` with distinct ids and sorted-out words -> pairs ``(a, b)`` that are similar, with the sets'
     ``ord`` as ``oa`` and ``ob`` where they have one.
 
     Candidates share one of each set's rarest words: at Jaccard >= j a pair shares one of the
-    size - ceil(j * size) + 1 rarest of either side (prefix filter), so frequent words never meet. A word of one set alone
-    is met by none: such words count in the size and are not looked at further, nor are sets that keep too few others.
-    Words are numbered from the rarest on, so a set is a short array of numbers that goes along with its rare ones: what two
-    sets can still share behind a common word bounds them before they are compared, and a pair is compared whole where it
-    meets, and taken only at its first common word. Nothing but similar pairs leaves the join. Sets go along with each of
-    their rare words, so what is shuffled grows with the squares of their sizes: above ``slot_numbers`` numbers a task slot,
-    words go in turns, each a part of them by hash, and the shuffle files of a turn are freed before the next.
+    size - ceil(j * size) + 1 rarest of the longer set and of the size - ceil(2 * j / (1 + j) * size) + 1 rarest of the
+    shorter one (prefix filter), so frequent words never meet. A word of one set alone is met by none: such words count in
+    the size and are not looked at further. Any order of words does that is one for all sets, so a word's rarity is that of
+    its number's range, and a set is a short array of numbers, rarest first, of which what follows goes along with each of its
+    rare ones. Sets meet on a word and a span of sizes. What follows their first common word bounds what they share, and so do
+    their signatures (a bit that the other lacks is a word it lacks); what is left is compared whole where it meets.
+    Nothing but similar pairs leaves the join. Sets go along with each of their rare words, so what is shuffled grows with the
+    squares of their sizes: above ``slot_numbers`` numbers a task slot, words go in turns, each a part of them by hash, and the
+    shuffle files of a turn are freed before the next.
     """
-    scratch = Scratch(sets.sparkSession, "similar")
-    more = ["ord"] if "ord" in sets.columns else []
-    own = sets.where(F.size("words") >= least_shared)
-    words = own.select("id", F.explode("words").alias("w"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # eight bits of rarity (quarters of a power of two) above a number that no two words share
-    number = scratch.put(often.select("w", (F.shiftleft(F.floor(4 * F.log2("df")).cast("long"), 55) + F.monotonically_increasing_id()).alias("k")))
-    coded = words.hint("merge").join(number.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("s"))
-    coded = coded.hint("merge").join(own.select("id", F.size("words").alias("n"), *more).hint("merge"), "id").withColumn("alone", F.col("n") - F.size("s"))
-    coded = coded.withColumn("rare", (F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1 - F.col("alone")).cast("int"))
-    coded = scratch.put(coded.where((F.col("rare") > 0) & (F.size("s") >= least_shared)).select("id", "n", "s", "alone", "rare", *more))
+    spark, scratch = sets.sparkSession, Scratch(sets.sparkSession, "similar")
+    more, signs = ["ord"] if "ord" in sets.columns else [], [f"sign{i}" for i in range(_SIGNS)]
+    own, salt = sets.where(F.size("words") >= least_shared), -1
+    while salt < 0 or pc.any(told.column("clash")).as_py():  # two words of one number: all get others
+        salt += 1
+        words = own.select(F.explode("words").alias("w")).select(F.xxhash64(F.lit(salt), "w").alias("k"), F.xxhash64("w", F.lit(-1)).alias("o"))
+        words = words.groupBy("k").agg(F.count(F.lit(1)).alias("df"), (F.min("o") < F.max("o")).alias("clash"))
+        often = words.groupBy(F.shiftrightunsigned("k", 44).cast("int").alias("range")).agg(F.sum("df").alias("df"), F.max("clash").alias("clash"))
+        # rarity is told in quarters of a power of two
+        told = scratch.put(often.where("df > 1").select("range", F.floor(4 * F.log2("df")).cast("short").alias("level"), "clash"), narrow=True).toArrow()
+    rarity = np.zeros(_RANGES, np.uint8)
+    rarity[told.column("range").to_numpy()] = told.column("level").to_numpy()
+    coded = own.select("id", *more, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(F.lit(salt), w)).alias("s"))
+    kinds = StructType([*coded.schema.fields, *[StructField(c, LongType()) for c in signs]])
+    coded = coded.mapInArrow(_coded(spark.sparkContext.broadcast(rarity.tobytes())), kinds).withColumn("alone", F.col("n") - F.size("s"))
+    coded = coded.withColumn("rare", (F.col("n") - F.greatest(F.lit(least_shared), F.ceil(F.col("n") * least_jaccard - 1e-9)) + 1 - F.col("alone")).cast("int"))
+    sent, numbers = Observation(), F.col("rare").cast("long") * (F.size("s") + 2 * _SIGNS)
+    coded = scratch.put(coded.where((F.col("rare") > 0) & (F.size("s") >= least_shared)).observe(sent, F.sum(numbers).alias("n")))
     scratch.collect_garbage()  # the words have been shuffled
-    rarest = F.slice("s", F.lit(1), F.col("rare"))
 
-    def side(x: str) -> DataFrame:
-        at = coded.select("id", "n", "s", "alone", *more, F.posexplode(rarest).alias("r", "k")).withColumn("r", F.col("alone") + F.col("r"))
-        return at.select("k", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("s").alias(f"s{x}"), *[F.col(c).alias(f"o{x}") for c in more])
+    at = coded.select("id", "n", *more, *signs, "s", F.posexplode(F.slice("s", F.lit(1), F.col("rare"))).alias("r", "k"))
+    before = [F.get("s", F.col("r") - i).alias(f"before{i}") for i in (1, 2)]
+    at = at.select("*", *before).withColumn("s", F.slice("s", F.col("r") + 1, F.col("n"))).withColumn("m", F.size("s"))
+    # the sizes of sets that may be similar if this is the first common word
+    least, most = F.ceil(F.col("n") * least_jaccard - 1e-9), F.floor(F.col("m") * ((1 + least_jaccard) / least_jaccard) + 1e-9) - F.col("n")
+    span = lambda size: F.floor(F.log(1.5, size) + 1e-9).cast("int")
+    short = at.where(most >= F.col("n")).withColumn("span", span(F.col("n")))
+    long = at.where(most >= least).withColumn("span", F.explode(F.sequence(span(least), span(F.least("n", most)))))
 
-    def alike(both: Column) -> Column:
-        return (both >= least_shared) & (both / (F.col("na") + F.col("nb") - both) >= least_jaccard)
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("k", "span", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "m", "s", "before1", "before2", *signs, *more)])
 
-    at_most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))  # at their first common word, places from 0
+    need = (F.col("nx") + F.col("ny")) * (least_jaccard / (1 + least_jaccard)) - 1e-9
+    lacks = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}x").bitwiseAND(F.bitwise_not(f"{c}y"))) for c in signs])
 
     def met(turn: Column) -> DataFrame:
-        one, other = (side(x).where(turn).hint("merge") for x in "ab")
-        near = one.join(other, "k").where((F.col("a") < F.col("b")) & alike(at_most)).withColumn("both", F.array_intersect("sa", "sb"))
-        return near.where((F.element_at("both", 1) == F.col("k")) & alike(F.size("both"))).select("a", "b", *[f"o{x}" for x in "ab" if more])
-
-    numbers = coded.agg(F.sum(F.col("rare").cast("long") * F.size("s"))).first()[0] or 0
-    turns = 1 + numbers // (slot_numbers * sets.sparkSession.sparkContext.defaultParallelism)
+        one, other = (side(df, x).where(turn).hint("merge") for df, x in ((short, "x"), (long, "y")))
+        tests = [(F.col("mx") >= need) & (F.col("my") >= need), (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))), F.col("nx") - lacks >= need]
+        for i, j in ((1, 1), (2, 2), (1, 2), (2, 1)):  # most that meet again have met on a word just before
+            tests.append(~F.coalesce(F.col(f"before{i}x") == F.col(f"before{j}y"), F.lit(False)))
+        near = one.join(other, ["k", "span"]).where(reduce(lambda p, q: p & q, tests))  # at once, which keeps their order
+        # a generator keeps the comparison out of the join's own condition, which then stays short enough to be compiled
+        near = near.select("*", F.explode(F.array(F.size("sx") - F.size(F.array_except("sx", "sy")))).alias("both"))
+        near = near.where((F.col("both") >= least_shared) & (F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) >= least_jaccard))
+        first = F.col("x") < F.col("y")
+        kept = [("", ""), *[(c, "o") for c in more]]
+        return near.select(*[F.when(first, F.col(f"{c}{p}")).otherwise(F.col(f"{c}{q}")).alias(f"{o}{as_}") for p, q, as_ in (("x", "y", "a"), ("y", "x", "b")) for c, o in kept])
+
+    turns = 1 + 2 * (sent.get["n"] or 0) // (slot_numbers * spark.sparkContext.defaultParallelism)
     if turns == 1:
-        return met(F.lit(True))
-    found = []
-    for i in range(turns):
-        found.append(scratch.put(met(F.pmod(F.xxhash64("k"), F.lit(turns)) == i), narrow=True))
-        scratch.collect_garbage()
-    return reduce(DataFrame.union, found)
+        found = met(F.lit(True))
+    else:
+        parts = []
+        for i in range(turns):
+            parts.append(scratch.put(met(F.pmod(F.xxhash64("k"), F.lit(turns)) == i), narrow=True))
+            scratch.collect_garbage()
+        found = reduce(DataFrame.union, parts)
+    return found.dropDuplicates(["a", "b"])  # a pair may be similar by what follows a later common word too
 
 
 def threads(articles: DataFrame, order: list[Column], row_id: str = "link", title: str = "title") -> DataFrame:
